@@ -1,4 +1,7 @@
 """Imports every family so that its queries register."""
 
-from counterlift.catalog import store_queries  # noqa: F401
+from counterlift.catalog import (  # noqa: F401
+    matching_queries,
+    store_queries,
+)
 from counterlift.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -44,7 +44,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS article, p_name AS description, p_brand AS
        'CAT' || CAST(p_size % 5 AS VARCHAR) AS category, p_type AS subcat
 FROM part"""
 
-VIEWS["sites"] = "SELECT s_suppkey AS site, CAST(s_nationkey AS BIGINT) AS market FROM supplier"
+VIEWS["sites"] = "SELECT s_suppkey AS site, CAST(floor(s_suppkey / 50.0) AS BIGINT) AS area FROM supplier"
 
 VIEWS["line_skus"] = """
 SELECT CAST(replace(p_brand, 'Brand#', '') AS INTEGER) AS b, CAST(floor(p_partkey / 1000.0) AS INTEGER) AS blk,

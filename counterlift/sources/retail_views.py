@@ -116,8 +116,10 @@ class Retail:
 
     @cached_property
     def sites(self) -> DataFrame:
+        """site and its trading area of at most SITES_PER_LINE sites."""
         return self.table("supplier").select(
-            F.col("s_suppkey").alias("site"), F.col("s_nationkey").cast("long").alias("market")
+            F.col("s_suppkey").alias("site"),
+            F.floor(F.col("s_suppkey") / SITES_PER_LINE).cast("long").alias("area"),
         )
 
     @cached_property
@@ -206,14 +208,19 @@ class Retail:
     @cached_property
     def campaigns(self) -> DataFrame:
         """campaign_id with its media and campaign dates; one row per booking."""
+        start = F.date_add(
+            F.lit(BASE_DATE).cast("date"), F.lit(CAMPAIGN_OFFSET) + (F.col("b") % 5) * 7
+        )
+        end = F.date_add(start, CAMPAIGN_DAYS - 1)
         return (
-            self.bookings.filter(F.col("kind") == "main")
-            .groupBy(F.col("booking_number").alias("campaign_id"))
-            .agg(
-                F.min("media_start_date").alias("media_start_date"),
-                F.max("media_end_date").alias("media_end_date"),
-                F.min("campaign_start_date").alias("campaign_start_date"),
-                F.max("campaign_end_date").alias("campaign_end_date"),
+            self._line_skus.groupBy("b")
+            .agg(F.min(F.col("blk") % 2).alias("first"))
+            .select(
+                F.format_string("BK%02d", F.col("b")).alias("campaign_id"),
+                F.date_add(start, F.col("first") * 7).alias("media_start_date"),
+                end.alias("media_end_date"),
+                F.date_add(start, 0).alias("campaign_start_date"),
+                F.date_add(end, 0).alias("campaign_end_date"),
             )
         )
 
