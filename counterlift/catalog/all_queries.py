@@ -1,6 +1,7 @@
 """Imports every family so that its queries register."""
 
 from counterlift.catalog import (  # noqa: F401
+    campaign_queries,
     matching_queries,
     store_queries,
 )

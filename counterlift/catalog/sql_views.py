@@ -66,17 +66,17 @@ FROM (SELECT b, blk, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY CAST(p_
 LEFT JOIN line_stores s ON s.bmod = a.b % 4 AND s.blk = a.blk"""
 
 VIEWS["booking_kinds"] = """
-SELECT *, 'main' AS kind, 'L' AS tag, 0 AS shift, main_sku || ',NPD,' AS quoteline_sku, (b + blk) % 8 AS idx
+SELECT *, 'main' AS kind, 'L' AS tag, 0 AS shift, 27 AS len, main_sku || ',NPD,' AS quoteline_sku, (b + blk) % 8 AS idx
 FROM line_lists
-UNION ALL SELECT *, 'repeat', 'R', -28, repeat_sku, 0 FROM line_lists WHERE b % 4 = 0
-UNION ALL SELECT *, 'empty', 'E', 0, 'npd', 0 FROM line_lists WHERE b % 6 = 0"""
+UNION ALL SELECT *, 'repeat', 'R', -21, 20, repeat_sku, 0 FROM line_lists WHERE b % 4 = 0
+UNION ALL SELECT *, 'empty', 'E', 0, 27, 'npd', 0 FROM line_lists WHERE b % 6 = 0"""
 
 VIEWS["bookings"] = f"""
 SELECT 'BK' || lpad(CAST(b AS VARCHAR), 2, '0') AS booking_number, tag || CAST(blk AS VARCHAR) AS line_name, kind,
        {_case('idx', 0)} AS media_type, {_case('idx', 1)} AS media_location, {_case('idx', 2)} AS media,
        'Supermarket' AS business_unit, CASE WHEN b % 12 = 11 THEN 'Draft' ELSE 'Approved' END AS quote_status,
-       start_date + shift AS campaign_start_date, start_date + (shift + 27) AS campaign_end_date,
-       start_date + (shift + 7 * (blk % 2)) AS media_start_date, start_date + (shift + 27) AS media_end_date,
+       start_date + shift AS campaign_start_date, start_date + (shift + len) AS campaign_end_date,
+       start_date + (shift + 7 * (blk % 2)) AS media_start_date, start_date + (shift + len) AS media_end_date,
        quoteline_sku, store_list, CAST(blk % 3 + 1 AS BIGINT) AS quantity,
        CAST(1000 + b * 10 + blk AS DOUBLE) AS media_spend
 FROM booking_kinds"""

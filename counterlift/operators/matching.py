@@ -94,7 +94,7 @@ def nearest_control_grid(features: DataFrame, growth: float = 4.0) -> DataFrame:
     equal coordinates are collapsed to the lowest site first, so a hot cell of
     copies costs one row.
     """
-    known = features.filter(F.col("mean").isNotNull() & F.col("std").isNotNull())
+    known = cut_lineage(features.filter(F.col("mean").isNotNull() & F.col("std").isNotNull()))
     tests = known.filter(F.col("test_or_control") == "Test").select(
         K, F.col("site").alias("test_store"), F.col("mean").alias("tm"), F.col("std").alias("ts")
     )

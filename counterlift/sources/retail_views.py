@@ -165,15 +165,15 @@ class Retail:
         idx = (F.col("b") + F.col("blk")) % 8
         kinds = F.array(
             F.struct(
-                F.lit("main").alias("kind"), F.lit("L").alias("tag"), F.lit(0).alias("shift"),
+                F.lit("main").alias("kind"), F.lit("L").alias("tag"), F.lit(0).alias("shift"), F.lit(27).alias("len"),
                 F.concat("main_sku", F.lit(",NPD,")).alias("quoteline_sku"), idx.alias("idx"),
             ),
             F.struct(
-                F.lit("repeat").alias("kind"), F.lit("R").alias("tag"), F.lit(-28).alias("shift"),
+                F.lit("repeat").alias("kind"), F.lit("R").alias("tag"), F.lit(-21).alias("shift"), F.lit(20).alias("len"),
                 F.col("repeat_sku").alias("quoteline_sku"), F.lit(0).alias("idx"),
             ),
             F.struct(
-                F.lit("empty").alias("kind"), F.lit("E").alias("tag"), F.lit(0).alias("shift"),
+                F.lit("empty").alias("kind"), F.lit("E").alias("tag"), F.lit(0).alias("shift"), F.lit(27).alias("len"),
                 F.lit("npd").alias("quoteline_sku"), F.lit(0).alias("idx"),
             ),
         )
@@ -195,9 +195,9 @@ class Retail:
                 F.lit("Supermarket").alias("business_unit"),
                 F.when(F.col("b") % 12 == 11, "Draft").otherwise("Approved").alias("quote_status"),
                 F.date_add(start, F.col("x.shift")).alias("campaign_start_date"),
-                F.date_add(start, F.col("x.shift") + (CAMPAIGN_DAYS - 1)).alias("campaign_end_date"),
+                F.date_add(start, F.col("x.shift") + F.col("x.len")).alias("campaign_end_date"),
                 F.date_add(start, F.col("x.shift") + 7 * (F.col("blk") % 2)).alias("media_start_date"),
-                F.date_add(start, F.col("x.shift") + (CAMPAIGN_DAYS - 1)).alias("media_end_date"),
+                F.date_add(start, F.col("x.shift") + F.col("x.len")).alias("media_end_date"),
                 F.col("x.quoteline_sku").alias("quoteline_sku"),
                 "store_list",
                 (F.col("blk") % 3 + 1).cast("long").alias("quantity"),
