@@ -2,6 +2,7 @@
 
 from counterlift.catalog import (  # noqa: F401
     campaign_queries,
+    exposure_queries,
     matching_queries,
     store_queries,
 )
