@@ -124,7 +124,7 @@ def assets(r):
 
 
 def schema(r):
-    return C.compliance_schema(r.bookings, r.compliance)
+    return r.stage("schema", lambda: C.compliance_schema(r.bookings, r.compliance))
 
 
 def info(r):
@@ -132,7 +132,7 @@ def info(r):
 
 
 def cohorts(r):
-    return C.compliance_cohorts(schema(r))
+    return r.stage("cohorts", lambda: C.compliance_cohorts(schema(r)))
 
 
 @query("media_taxonomy", "SELECT * FROM taxonomy", money="total_media_spend")
@@ -349,7 +349,7 @@ WHERE d.n = 1 GROUP BY 1, 2, 3, 4"""
 
 def changes(r):
     panel = q.panel(r).join(r.campaigns.select("campaign_id", "campaign_start_date"), "campaign_id").join(r.sites, "site")
-    return Y.store_change_pairs(panel, ["area"])
+    return r.stage("changes", lambda: Y.store_change_pairs(panel, ["area"]))
 
 
 def ranked(r):
@@ -357,7 +357,7 @@ def ranked(r):
 
 
 def with_media(r):
-    return Y.attach_compliance(ranked(r), C.compliant_media(cohorts(r)))
+    return r.stage("with_media", lambda: Y.attach_compliance(ranked(r), C.compliant_media(cohorts(r))))
 
 
 _CH = "perc_change_in_sales perc_change_in_share other_change_in_sales other_change_in_share abs_diff_sales abs_diff_share"
@@ -479,7 +479,7 @@ def oos(r):
 
 def rates(r):
     # the readings are sparse: four weeks instead of one
-    return K.stockout_rate(cohorts(r), r.bookings, oos(r), days=28)
+    return r.stage("rates", lambda: K.stockout_rate(cohorts(r), r.bookings, oos(r), days=28))
 
 
 @query("hourly_stock_panel", "SELECT * FROM stock_panel")

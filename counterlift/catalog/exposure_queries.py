@@ -107,12 +107,17 @@ def impressions(r):
     return X.asset_impressions(r.hits, r.id_map)
 
 
+def sets_source(r):
+    return r.stage("taxonomy", lambda: taxonomy(r))
+
+
 def sets(r):
-    return X.sku_sets(taxonomy(r))
+    return X.sku_sets(sets_source(r))
 
 
 def exposures(r):
-    return X.distinct_exposures(X.attribute_exposures(impressions(r), taxonomy(r)))
+    return r.stage(
+        "exposures", lambda: X.distinct_exposures(X.attribute_exposures(impressions(r), sets_source(r))))
 
 
 def controls(r):
@@ -120,7 +125,7 @@ def controls(r):
 
 
 def test_control(r):
-    return X.union_cohorts(exposures(r), controls(r))
+    return r.stage("test_control", lambda: X.union_cohorts(exposures(r), controls(r)))
 
 
 def brands(r):
@@ -128,11 +133,11 @@ def brands(r):
 
 
 def sku_conv(r):
-    return X.conversions(test_control(r), r.transactions, sets(r))
+    return r.stage("sku_conv", lambda: X.conversions(test_control(r), r.transactions, sets(r)))
 
 
 def brand_conv(r):
-    return X.conversions(test_control(r), r.transactions, sets(r), "brand", brands(r))
+    return r.stage("brand_conv", lambda: X.conversions(test_control(r), r.transactions, sets(r), "brand", brands(r)))
 
 
 _AGG = "sales_online sales_instore"
@@ -450,7 +455,7 @@ def freq(r, level):
 
 
 def summaries(r):
-    return P.shopper_summary(freq(r, "sku"), freq(r, "brand"))
+    return r.stage("summaries", lambda: P.shopper_summary(freq(r, "sku"), freq(r, "brand")))
 
 
 def never(r):
@@ -458,7 +463,7 @@ def never(r):
 
 
 def history(r):
-    return P.exposure_plus_history(brand_conv(r), summaries(r).unionByName(never(r)))
+    return r.stage("history", lambda: P.exposure_plus_history(brand_conv(r), summaries(r).unionByName(never(r))))
 
 
 def feats(r):
@@ -470,11 +475,11 @@ def clustered(r):
 
 
 def sampled(r):
-    return P.cap_sample(clustered(r))
+    return r.stage("sampled", lambda: P.cap_sample(clustered(r)))
 
 
 def matches(r):
-    return P.rank_match(sampled(r), feats(r))
+    return r.stage("matches", lambda: P.rank_match(sampled(r), feats(r)))
 
 
 def uplift(r):

@@ -125,16 +125,20 @@ def area_pairs(r):
     return pairs.select(*M.PAIR, "abs_perc_diff")
 
 
+def weekly_baseline(r):
+    return r.stage("weekly_baseline", lambda: S.baseline_sales(q.weekly(r)))
+
+
 def nearest(r):
     return M.nearest_control_grid(features(r))
 
 
 def matched(r):
-    return M.two_pass_unique(nearest(r))
+    return r.stage("matched", lambda: M.two_pass_unique(nearest(r)))
 
 
 def area_nearest(r):
-    return M.nearest_control(area_pairs(r))
+    return r.stage("area_nearest", lambda: M.nearest_control(area_pairs(r)))
 
 
 def did(r):
@@ -332,10 +336,6 @@ def campaign_totals(r):
     return q.during(r).select("campaign_id", "site", F.col("total_sales_campaign_period").alias("campaign_sales"))
 
 
-def weekly_baseline(r):
-    return S.baseline_sales(q.weekly(r))
-
-
 def empirical(r):
     return E.empirical_pair_diff(area_nearest(r), campaign_totals(r), weekly_baseline(r))
 

@@ -123,15 +123,18 @@ def weekly(r: Retail):
 
 
 def baseline(r: Retail):
-    return S.baseline_stats(weekly(r))
+    return r.stage("baseline", lambda: S.baseline_stats(weekly(r)))
 
 
 def during(r: Retail):
-    return S.campaign_sales(r.sales, r.campaigns, r.campaign_skus, r.campaign_stores)
+    return r.stage(
+        "during", lambda: S.campaign_sales(r.sales, r.campaigns, r.campaign_skus, r.campaign_stores))
 
 
 def pre_during(r: Retail):
-    return S.pre_vs_during(during(r), r.sales, r.campaigns, r.campaign_skus, baseline(r))
+    return r.stage(
+        "pre_during",
+        lambda: S.pre_vs_during(during(r), r.sales, r.campaigns, r.campaign_skus, baseline(r)))
 
 
 def uplifted(r: Retail):
@@ -167,7 +170,7 @@ def _(r):
 
 @query("baseline_stats", "SELECT * FROM baseline", money=BASE_MONEY, ratio=BASE_RATIO)
 def _(r):
-    return baseline(r)
+    return S.baseline_stats(weekly(r))
 
 
 @query("baseline_sales_only", "SELECT * FROM baseline_sales",
@@ -199,7 +202,7 @@ def _(r):
 
 @query("campaign_sales", "SELECT * FROM during", money="total_sales_campaign_period")
 def _(r):
-    return during(r)
+    return S.campaign_sales(r.sales, r.campaigns, r.campaign_skus, r.campaign_stores)
 
 
 @query("campaign_sales_with_skus", """

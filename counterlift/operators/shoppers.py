@@ -151,31 +151,41 @@ _MATCH_SCHEMA = (
 
 def _rank_match(exposed: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     """Candidate with the lowest sum of the eight difference ranks, per exposed row."""
-    names = list(exposed.columns[:3]) + ["candidate", "sum_of_diff_ranks"] + [f"{f}_diff" for f in FEATURES]
-    if exposed.empty or candidates.empty:
-        return pd.DataFrame({n: [] for n in names})
     candidates = candidates.sort_values("crn", kind="stable")
-    ids = candidates["crn"].to_numpy()
+    ids = candidates["crn"].to_numpy(dtype=object)
     values = candidates[FEATURES].to_numpy(dtype=float)
+    mine = exposed[FEATURES].to_numpy(dtype=float)
+    own_ids = exposed["crn"].to_numpy(dtype=object)
     n = len(ids)
     positions = np.arange(1, n + 1)
-    rows = []
-    for row in exposed.itertuples(index=False):
-        mine = np.array([getattr(row, f) for f in FEATURES], dtype=float)
-        diff = np.abs(values - mine)
-        usable = ids != row.crn
+    kept, chosen, sums, diffs = [], [], [], []
+    for i in range(len(own_ids)):
+        usable = ids != own_ids[i]
+        if not usable.any():
+            continue
+        diff = np.abs(values - mine[i])
         total = np.zeros(n, dtype=np.int64)
         for j in range(len(FEATURES)):
-            d = np.where(usable, diff[:, j], np.inf)
             ranks = np.empty(n, dtype=np.int64)
-            ranks[np.argsort(d, kind="stable")] = positions
+            ranks[np.argsort(np.where(usable, diff[:, j], np.inf), kind="stable")] = positions
             total += ranks
-        total = np.where(usable, total, np.iinfo(np.int64).max)
-        best = int(np.argmin(total))
-        if usable[best]:
-            rows.append((row.booking_id, row.cluster, row.crn, ids[best], int(total[best]), *diff[best]))
-    return pd.DataFrame(rows, columns=["booking_id", "cluster", "crn", "candidate", "sum_of_diff_ranks",
-                                       *[f"{f}_diff" for f in FEATURES]])
+        best = int(np.argmin(np.where(usable, total, np.iinfo(np.int64).max)))
+        kept.append(i)
+        chosen.append(ids[best])
+        sums.append(int(total[best]))
+        diffs.append(diff[best])
+    picked = exposed.iloc[kept]
+    table = np.array(diffs, dtype=float).reshape(len(kept), len(FEATURES))
+    return pd.DataFrame(
+        {
+            "booking_id": pd.Series(picked["booking_id"].to_numpy(dtype=object), dtype=object),
+            "cluster": picked["cluster"].to_numpy(dtype=np.int64),
+            "crn": pd.Series(own_ids[kept] if kept else [], dtype=object),
+            "candidate": pd.Series(chosen, dtype=object),
+            "sum_of_diff_ranks": np.array(sums, dtype=np.int64),
+            **{f"{f}_diff": table[:, j] for j, f in enumerate(FEATURES)},
+        }
+    )
 
 
 def rank_match(sample: DataFrame, feats: DataFrame, cap: int = 6000, chunks: int = 12) -> DataFrame:
@@ -205,6 +215,8 @@ def rank_match(sample: DataFrame, feats: DataFrame, cap: int = 6000, chunks: int
         .drop("ok")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     )
+    # fresh column ids: both sides may come from one stage table
+    candidates = candidates.toDF(*candidates.columns)
     keys = ["booking_id", "cluster", "chunk"]
     return exposed.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(
         lambda left, right: _rank_match(left[["booking_id", "cluster", "crn", *FEATURES]], right), _MATCH_SCHEMA

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from counterlift.operators import effects, matching, store_sales
+from counterlift.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -29,10 +30,11 @@ def store_uplift(
     weekly = store_sales.weekly_store_sales(
         sales, campaigns, skus, options.lookback_weeks, options.gap_weeks
     )
-    baseline = store_sales.baseline_stats(weekly)
-    during = store_sales.campaign_sales(sales, campaigns, skus, stores)
+    # both are read for the test and for the control side of every pair
+    baseline = cut_lineage(store_sales.baseline_stats(weekly))
+    during = cut_lineage(store_sales.campaign_sales(sales, campaigns, skus, stores))
     features = matching.match_features(baseline, stores, options.history_divisor)
-    matched = matching.two_pass_unique(matching.nearest_control_grid(features))
+    matched = cut_lineage(matching.two_pass_unique(matching.nearest_control_grid(features)))
     enough = matching.min_matched(matched, features, options.min_matched_stores)
     kept = matched.join(enough.select("campaign_id"), "campaign_id", "left_semi")
     z = effects.sales_z(kept, during, baseline, options.history_divisor)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,20 +22,29 @@ def local_session(cores: int | str = "*", app: str = "counterlift") -> SparkSess
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share, as named by ``spark.checkpoint.dir``.
+
+    Only where the session names none (tests, a local session) a folder of this
+    run is made.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="run-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder named by the session.
+    """Writes ``df`` as a stage table in the shared folder and returns its scan.
 
-    ``spark.checkpoint.dir`` is the shared folder of a cluster.  Only where the
-    session names none and nothing was set on the context (tests) a folder of
-    this run is used.
+    The table survives lost executors, is read column by column, and its size
+    tells the optimizer which joins may broadcast.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="run-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

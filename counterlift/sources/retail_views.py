@@ -12,12 +12,13 @@ of ``PARTS_PER_LINE`` consecutive parts and ``SITES_PER_LINE`` suppliers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterlift.functions import random_key  # noqa: F401  (re-exported for callers)
+from counterlift.session import cut_lineage
 
 BASE_DATE = "2023-09-03"  # a Sunday
 FOLD_DAYS = 168
@@ -55,10 +56,17 @@ class Retail:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._stages: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Stage table written once per job where several later steps read it."""
+        if name not in self._stages:
+            self._stages[name] = cut_lineage(build())
+        return self._stages[name]
+
     # ---- store side -----------------------------------------------------
 
     @cached_property
