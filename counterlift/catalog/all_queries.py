@@ -4,6 +4,7 @@ from counterlift.catalog import (  # noqa: F401
     campaign_queries,
     exposure_queries,
     matching_queries,
+    model_queries,
     search_queries,
     store_queries,
 )

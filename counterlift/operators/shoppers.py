@@ -188,33 +188,33 @@ def _rank_match(exposed: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame
     )
 
 
-def rank_match(sample: DataFrame, feats: DataFrame, cap: int = 6000, chunks: int = 12) -> DataFrame:
+def rank_match(sample: DataFrame, feats: DataFrame, cap: int = 6000, chunk_rows: int = 500) -> DataFrame:
     """Best not exposed shopper of each exposed one inside its cluster.
 
     Each of the eight absolute differences is ranked among the candidates (ties by
     id) and the ranks are summed.  The candidates of a cluster are at most ``cap``
-    by the sampling step, which is checked; the exposed are split into ``chunks``
-    groups and each group meets one copy of the candidates, so pairs exist only as
-    one vector at a time inside a task and are never shuffled.
+    by the sampling step, which is checked; the exposed are split into groups of
+    about ``chunk_rows`` and each group meets one copy of the candidates, so pairs
+    exist only as one vector at a time inside a task and are never shuffled.
     """
     rows = sample.join(feats, KEY).select("booking_id", F.col("cluster").cast("long"), "crn", "cohort", *FEATURES)
-    over = (
-        rows.filter(F.col("cohort") == "Not Exposed").groupBy("booking_id", "cluster")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    checked = over.select(
-        "booking_id", "cluster", F.assert_true(F.col("n") <= cap, F.lit("candidates exceed the sampling cap")).alias("ok")
-    )
-    exposed = rows.filter(F.col("cohort") == "Exposed").drop("cohort").withColumn(
-        "chunk", F.pmod(F.xxhash64("crn"), F.lit(chunks)).cast("int")
-    )
-    candidates = (
-        rows.filter(F.col("cohort") == "Not Exposed").drop("cohort")
-        .join(checked, ["booking_id", "cluster"])
-        .filter(F.col("ok").isNull())
-        .drop("ok")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    sizes = rows.groupBy("booking_id", "cluster").agg(
+        F.count_if(F.col("cohort") == "Exposed").alias("n_exposed"),
+        F.count_if(F.col("cohort") == "Not Exposed").alias("n_candidates"),
     )
+    within = F.assert_true(F.col("n_candidates") <= cap, F.lit("candidates exceed the sampling cap"))
+    # assert_true yields NULL when it holds, so the fallback carries the value
+    groups = sizes.select(
+        "booking_id", "cluster",
+        F.coalesce(within.cast("int"), F.ceil(F.col("n_exposed") / chunk_rows).cast("int")).alias("chunks"),
+    ).filter(F.col("chunks") > 0)
+    split = rows.join(groups, ["booking_id", "cluster"])
+    exposed = split.filter(F.col("cohort") == "Exposed").withColumn(
+        "chunk", F.pmod(F.xxhash64("crn"), F.col("chunks").cast("long")).cast("int")
+    ).drop("cohort", "chunks")
+    candidates = split.filter(F.col("cohort") == "Not Exposed").withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    ).drop("cohort", "chunks")
     # fresh column ids: both sides may come from one stage table
     candidates = candidates.toDF(*candidates.columns)
     keys = ["booking_id", "cluster", "chunk"]
