@@ -5,6 +5,7 @@ from counterlift.catalog import (  # noqa: F401
     exposure_queries,
     matching_queries,
     model_queries,
+    relational_queries,
     search_queries,
     store_queries,
 )
