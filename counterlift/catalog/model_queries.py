@@ -50,7 +50,7 @@ SELECT *, pooled_effect - 1.96 * se * sqrt(weight) AS lo, pooled_effect + 1.96 *
                          FROM pool_in GROUP BY 1) m ON m.campaign_id = p.campaign_id) a) b"""
 VIEWS["pool_in"] = """
 SELECT p.*, s.tau2 FROM p_stats p JOIN (
-  SELECT campaign_id, greatest(0, coalesce((wyy - wy * wy / w1 - (k - 1)) / nullif(w1 - w2 / w1, 0), 0)) AS tau2 FROM (
+  SELECT campaign_id, greatest(0, coalesce(CASE WHEN k > 1 THEN (wyy - wy * wy / w1 - (k - 1)) / nullif(w1 - w2 / w1, 0) END, 0)) AS tau2 FROM (
     SELECT campaign_id, sum(1 / (se * se)) AS w1, sum(1 / (se * se * se * se)) AS w2, sum(mean / (se * se)) AS wy,
            sum(mean * mean / (se * se)) AS wyy, count(*) AS k FROM p_stats WHERE se > 0 GROUP BY 1) a) s
 ON s.campaign_id = p.campaign_id WHERE p.se > 0"""

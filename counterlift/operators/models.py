@@ -129,7 +129,9 @@ def partial_pool(stats: DataFrame, s0: float = 0.0035, s1: float | None = None)
         )
         q = F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w1")
         tau2 = safe_divide(q - (F.col("k") - 1), F.col("w1") - F.col("w2") / F.col("w1"))
-        spread = sums.select(K, F.greatest(F.lit(0.0), F.coalesce(tau2, F.lit(0.0))).alias("tau2"))
+        # a single pair has no spread; its denominator is rounding noise
+        several = F.when(F.col("k") > 1, tau2)
+        spread = sums.select(K, F.greatest(F.lit(0.0), F.coalesce(several, F.lit(0.0))).alias("tau2"))
         known = known.join(spread, K)
     else:
         known = known.withColumn("tau2", F.lit(s1 * s1))
