@@ -64,6 +64,7 @@ DROPPED_STATUSES = ["Not Approved", "Draft", "For Review", "Sent"]
 UNBOOKABLE_TYPES = ["Counter Card", "POC", "Spotify", "YouTube", "Social", "Social - Wrapper", "Event"]
 UNBOOKABLE_MEDIA = ["Competition Management Fee", "Additional Production Fees"]
 REPORTED_EXCLUSIONS = ["in-store", "Others", "eDM", "Radio", "Mass_Social_Media"]
+REPORTED_EXCLUSION_PATTERNS = ["%Woolworths Rewards%", "%SAMPLING%", "%Road Block%"]
 COMPLIANCE_TYPES = ["AISLE FIN", "BUS STOP", "CATEGORY HEADER", "DECAL", "FLOOR MEDIA"]
 
 
@@ -100,6 +101,9 @@ def media_taxonomy(bookings: DataFrame, from_date: str, before_date: str) -> Dat
         & (F.col("media_end_date") < F.lit(before_date).cast("date"))
     )
     mt = F.col("media_type")
+    reported = ~mt.isin(REPORTED_EXCLUSIONS) & ~F.lower(mt).like("%branded shop%")
+    for pattern in REPORTED_EXCLUSION_PATTERNS:
+        reported = reported & ~mt.like(pattern)
     return (
         bookable.withColumn("media_type", reporting_type())
         .withColumn("article", F.explode(split_list("quoteline_sku")))
@@ -109,13 +113,7 @@ def media_taxonomy(bookings: DataFrame, from_date: str, before_date: str) -> Dat
             F.max("media_end_date").alias("media_end_date"),
             (F.sum("quantity") * F.sum("media_spend")).alias("total_media_spend"),
         )
-        .filter(
-            ~mt.isin(REPORTED_EXCLUSIONS)
-            & ~mt.like("%Woolworths Rewards%")
-            & ~mt.like("%SAMPLING%")
-            & ~mt.like("%Road Block%")
-            & ~F.lower(mt).like("%branded shop%")
-        )
+        .filter(reported)
     )
 
 
@@ -137,22 +135,23 @@ def campaign_assets(bookings: DataFrame, media_like: Sequence[str] = ("%digital
     def cleaned(c: str) -> Column:
         return F.array_sort(F.array_distinct(F.transform(split_list(c), lambda x: F.trim(x))))
 
+    screens = bookings.filter(
+        wanted
+        & (F.col("business_unit") == "Supermarket")
+        & F.col("store_list").isNotNull()
+        & F.col("quoteline_sku").isNotNull()
+    )
+    # numbered on slim rows, so that the lists stay out of the sort
     order = W.partitionBy("booking_number").orderBy("media_start_date", "line_name")
-    return (
-        bookings.filter(
-            wanted
-            & (F.col("business_unit") == "Supermarket")
-            & F.col("store_list").isNotNull()
-            & F.col("quoteline_sku").isNotNull()
-        )
-        .withColumn("asset_num", F.row_number().over(order))
-        .select(
-            F.concat_ws("_", "booking_number", F.col("asset_num").cast("string")).alias(K),
-            "booking_number", "campaign_start_date", "campaign_end_date", "media_start_date", "media_end_date",
-            "media_type", "line_name", "asset_num",
-            cleaned("quoteline_sku").alias("skus"),
-            cleaned("store_list").alias("store_ids"),
-        )
+    numbered = screens.select("booking_number", "line_name", "media_start_date").withColumn(
+        "asset_num", F.row_number().over(order)
+    )
+    return screens.join(numbered, ["booking_number", "line_name", "media_start_date"]).select(
+        F.concat_ws("_", "booking_number", F.col("asset_num").cast("string")).alias(K),
+        "booking_number", "campaign_start_date", "campaign_end_date", "media_start_date", "media_end_date",
+        "media_type", "line_name", "asset_num",
+        cleaned("quoteline_sku").alias("skus"),
+        cleaned("store_list").alias("store_ids"),
     )
 
 

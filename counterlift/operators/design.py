@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,26 +35,35 @@ def activity_gate(panel: DataFrame, key: str = "site") -> DataFrame:
     )
 
 
-def global_row_number(df: DataFrame, hex_key: str, name: str, prefix: int = 3) -> DataFrame:
-    """Row number over the whole frame in the order of a hexadecimal key.
+def bucketed_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column, name: str) -> DataFrame:
+    """``row_number`` per group for groups too large for one task.
 
-    Rows are numbered inside the buckets of the key's first digits and shifted by
-    the size of the earlier buckets (at most 16 ** prefix of them), so no task
-    sorts the whole frame.
+    ``bucket`` must grow with the order and take a bounded number of values.  Rows
+    are numbered inside (group, bucket) and shifted by the size of the group's
+    earlier buckets.
     """
-    keyed = df.withColumn("_bucket", F.substring(hex_key, 1, prefix))
-    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    shifts = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_shift"))
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(hex_key))
+    by = list(by)
+    keyed = df.withColumn("_bucket", bucket)
+    sizes = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.select(*by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(*order))
     return (
         keyed.withColumn("_in", inside)
-        .join(shifts, "_bucket")
+        .join(shifts, [*by, "_bucket"])
         .withColumn(name, F.col("_in") + F.col("_shift"))
         .drop("_bucket", "_in", "_shift")
     )
 
 
+def global_row_number(df: DataFrame, hex_key: str, name: str, prefix: int = 3) -> DataFrame:
+    """Row number over the whole frame in the order of a hexadecimal key.
+
+    The key's first ``prefix`` digits are the buckets, so no task sorts the frame.
+    """
+    return bucketed_row_number(df, [], [hex_key], F.substring(hex_key, 1, prefix), name)
+
+
 def allocate(stores: DataFrame, cutoffs: Sequence[tuple[int, str]], otherwise: str, seed: str) -> DataFrame:
     """Cohorts by random rank: the first cut-off the rank does not exceed names it."""
     ranked = global_row_number(
@@ -75,14 +84,16 @@ def assignment(allocated: DataFrame, pairs: DataFrame, top_n: int, control: str
         .distinct()
         .withColumn("_u", F.lit(1))
     )
-    order = W.partitionBy("cohort", "assignment").orderBy("random_allocation")
-    return (
+    marked = (
         allocated.join(used, "site", "left")
         .withColumn("assignment", F.when(F.col("_u") == 1, "Assigned").otherwise("Unassigned"))
         .drop("_u")
-        .withColumn("n_store", F.row_number().over(order))
-        .filter((F.col("n_store") <= top_n) | (F.col("cohort") == control))
     )
+    numbered = bucketed_row_number(
+        marked, ["cohort", "assignment"], ["random_allocation"],
+        F.floor(F.col("random_allocation") / 10000), "n_store",
+    )
+    return numbered.filter((F.col("n_store") <= top_n) | (F.col("cohort") == control))
 
 
 def weekly_averages(weekly: DataFrame) -> DataFrame:
@@ -102,12 +113,12 @@ def stratified_stores(averages: DataFrame, low: float = 20, high: float = 60, to
         K, "transaction_group",
         F.round(F.col("group_count") * float(total) / F.col("total_count")).alias("stratified_sample_size"),
     )
-    order = W.partitionBy(K, "transaction_group").orderBy(random_key(seed, K, "site"))
+    keyed = grouped.withColumn("_key", random_key(seed, K, "site"))
     return (
-        grouped.withColumn("row_num", F.row_number().over(order))
+        bucketed_row_number(keyed, [K, "transaction_group"], ["_key"], F.substring("_key", 1, 2), "row_num")
         .join(wanted, [K, "transaction_group"])
         .filter(F.col("row_num") <= F.col("stratified_sample_size"))
-        .drop("row_num")
+        .drop("row_num", "_key")
     )
 
 

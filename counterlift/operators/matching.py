@@ -121,13 +121,17 @@ def nearest_control_grid(features: DataFrame, growth: float = 4.0) -> DataFrame:
             out = out.withColumn("gy", F.explode(F.transform(steps, lambda i: F.col("gy") + i)))
         return out
 
-    while not pending.isEmpty():
-        in_grid = pending.filter((F.col("tm") > 0) & (F.col("ts") > 0) & (F.col("r") <= widest))
-        if in_grid.isEmpty():
+    while True:
+        usable = (F.col("tm") > 0) & (F.col("ts") > 0) & (F.col("r") <= widest)
+        left = pending.agg(F.count(F.lit(1)).alias("all"), F.count_if(usable).alias("grid")).first()
+        if left["all"] == 0:
+            break
+        if left["grid"] == 0:
             scored = pending.join(controls, K).groupBy(K, "rep").agg(best)
             last = scored.select(K, "rep", "b.d", "b.control_store")
             found = last if found is None else found.unionByName(last)
             break
+        in_grid = pending.filter(usable)
         radii = in_grid.select(K, "r").distinct()
         near = cells(in_grid, "tm", "ts", 1).join(
             cells(grid_controls.join(radii, K), "cm", "cs", 0), [K, "r", "gx", "gy"]
@@ -139,9 +143,8 @@ def nearest_control_grid(features: DataFrame, growth: float = 4.0) -> DataFrame:
         hits = settled.select(K, "rep", "b.d", "b.control_store")
         found = hits if found is None else found.unionByName(hits)
         step = F.when(F.col("r") < widest, F.least(F.lit(widest), F.col("r") * growth)).otherwise(F.lit(1.0))
-        pending = cut_lineage(
-            scored.filter(F.col("b").isNull() | (F.col("b.d") > F.col("r")))
-            .select(K, "tm", "ts", "rep", step.alias("r"))
+        pending = scored.filter(F.col("b").isNull() | (F.col("b.d") > F.col("r"))).select(
+            K, "tm", "ts", "rep", step.alias("r")
         )
     if found is None:
         found = pending.select(K, "rep", F.lit(0.0).alias("d"), F.col("rep").alias("control_store"))

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from counterlift.functions import random_key, safe_divide, week_diff_sunday
+from counterlift.operators.design import bucketed_row_number
+from counterlift.session import cut_lineage
 
 FEATURES = [
     "total_orders_brand", "spend_brand", "avg_days_between_brand", "avg_spend_per_order_brand",
@@ -116,18 +118,19 @@ def cap_sample(clustered: DataFrame, cap: int = 6000, seed: str = "sample") -> D
 
     The share is that of the cluster and cohort among all shoppers of the campaign.
     """
-    people = clustered.select("booking_id", "cluster", "cohort", "crn").distinct()
+    people = cut_lineage(clustered.select("booking_id", "cluster", "cohort", "crn").distinct())
     counts = cluster_counts(people)
     totals = people.groupBy("booking_id").agg(F.count_distinct("crn").alias("total"))
     n = F.col("customer_count")
     size = F.when(n > cap, F.floor(cap * n / F.col("total"))).otherwise(n)
-    sizes = counts.join(totals, "booking_id").select("booking_id", "cluster", "cohort", size.alias("sample_size"))
-    order = W.partitionBy("booking_id", "cluster", "cohort").orderBy(random_key(seed, "booking_id", "crn"), "crn")
+    stratum = ["booking_id", "cluster", "cohort"]
+    sizes = counts.join(totals, "booking_id").select(*stratum, size.alias("sample_size"))
+    keyed = people.withColumn("_key", random_key(seed, "booking_id", "crn"))
     return (
-        people.withColumn("rank", F.row_number().over(order))
-        .join(sizes, ["booking_id", "cluster", "cohort"])
+        bucketed_row_number(keyed, stratum, ["_key", "crn"], F.substring("_key", 1, 3), "rank")
+        .join(sizes, stratum)
         .filter(F.col("rank") <= F.col("sample_size"))
-        .drop("rank", "sample_size")
+        .drop("rank", "sample_size", "_key")
     )
 
 
