@@ -208,7 +208,7 @@ def _(r):
     return C.exclude_prior_promoted(lines, C.campaign_skus(lines))
 
 
-@query("compliance_schema", "SELECT * FROM comp_schema")
+@query("compliance_schema", "SELECT * FROM comp_schema", result="schema")
 def _(r):
     return schema(r)
 
@@ -245,7 +245,7 @@ def _(r):
     return C.discount_depth(schema(r), r.bookings, r.price_lines)
 
 
-@query("compliance_cohorts", "SELECT * FROM cohorts")
+@query("compliance_cohorts", "SELECT * FROM cohorts", result="cohorts")
 def _(r):
     return cohorts(r)
 
@@ -364,7 +364,7 @@ _CH = "perc_change_in_sales perc_change_in_share other_change_in_sales other_cha
 _SIM = "avg_diff_sales avg_diff_share"
 
 
-@query("store_change_pairs", "SELECT * FROM changes", ratio=_CH)
+@query("store_change_pairs", "SELECT * FROM changes", ratio=_CH, result="changes")
 def _(r):
     return changes(r)
 
@@ -389,7 +389,7 @@ def _(r):
     return ranked(r)
 
 
-@query("attach_compliance_to_pairs", "SELECT * FROM sim_media", ratio=_SIM + " median_support")
+@query("attach_compliance_to_pairs", "SELECT * FROM sim_media", ratio=_SIM + " median_support", result="with_media")
 def _(r):
     return with_media(r)
 
@@ -497,7 +497,7 @@ def _(r):
     return oos(r)
 
 
-@query("campaign_stockout_rate", "SELECT * FROM oos_rates", ratio="perc_of_trading_hours_oos")
+@query("campaign_stockout_rate", "SELECT * FROM oos_rates", ratio="perc_of_trading_hours_oos", result="rates")
 def _(r):
     return rates(r)
 

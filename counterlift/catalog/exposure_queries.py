@@ -186,7 +186,7 @@ def _(r):
     return X.attribute_exposures(impressions(r), taxonomy(r))
 
 
-@query("distinct_exposures", "SELECT * FROM exposures")
+@query("distinct_exposures", "SELECT * FROM exposures", result="exposures")
 def _(r):
     return exposures(r)
 
@@ -196,17 +196,17 @@ def _(r):
     return controls(r)
 
 
-@query("test_control_union", "SELECT * FROM test_control")
+@query("test_control_union", "SELECT * FROM test_control", result="test_control")
 def _(r):
     return test_control(r)
 
 
-@query("sku_conversions", "SELECT * FROM sku_conv", money="amount")
+@query("sku_conversions", "SELECT * FROM sku_conv", money="amount", result="sku_conv")
 def _(r):
     return sku_conv(r)
 
 
-@query("brand_conversions", "SELECT * FROM brand_conv", money="amount")
+@query("brand_conversions", "SELECT * FROM brand_conv", money="amount", result="brand_conv")
 def _(r):
     return brand_conv(r)
 
@@ -513,7 +513,7 @@ def _(r):
     return freq(r, "brand")
 
 
-@query("shopper_summary", "SELECT * FROM summaries", money=_SUM_MONEY, ratio=_SUM_RATIO)
+@query("shopper_summary", "SELECT * FROM summaries", money=_SUM_MONEY, ratio=_SUM_RATIO, result="summaries")
 def _(r):
     return summaries(r)
 
@@ -523,7 +523,7 @@ def _(r):
     return never(r).select("booking_id", "campaign_start_date", "campaign_end_date", "cohort", "crn")
 
 
-@query("exposure_plus_history", "SELECT * FROM history", money=_SUM_MONEY + " total_converted_spend", ratio=_SUM_RATIO)
+@query("exposure_plus_history", "SELECT * FROM history", money=_SUM_MONEY + " total_converted_spend", ratio=_SUM_RATIO, result="history")
 def _(r):
     return history(r)
 
@@ -553,7 +553,7 @@ def _(r):
 
 
 @query("best_shopper_match", "SELECT * FROM shopper_matches",
-       money=" ".join(f"{f}_diff" for f in P.FEATURES))
+       money=" ".join(f"{f}_diff" for f in P.FEATURES), result="matches")
 def _(r):
     return matches(r)
 

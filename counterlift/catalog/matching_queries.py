@@ -174,12 +174,12 @@ def _(r):
     return nearest(r)
 
 
-@query("nearest_control_in_area", "SELECT * FROM area_nearest", ratio="abs_perc_diff")
+@query("nearest_control_in_area", "SELECT * FROM area_nearest", ratio="abs_perc_diff", result="area_nearest")
 def _(r):
     return area_nearest(r)
 
 
-@query("two_pass_unique", "SELECT * FROM matched", ratio="abs_perc_diff")
+@query("two_pass_unique", "SELECT * FROM matched", ratio="abs_perc_diff", result="matched")
 def _(r):
     return matched(r)
 

@@ -100,7 +100,7 @@ def _(r):
     return L.store_posterior(baskets(r), 20)
 
 
-@query("posterior_z", "SELECT * FROM post_z", ratio="z percentage_change")
+@query("posterior_z", "SELECT * FROM post_z", ratio="z percentage_change", result="post_z")
 def _(r):
     return post_z(r)
 
@@ -110,7 +110,7 @@ def _(r):
     return pair_draws(r)
 
 
-@query("pair_mean_standard_error", "SELECT * FROM p_stats", ratio="mean sd se")
+@query("pair_mean_standard_error", "SELECT * FROM p_stats", ratio="mean sd se", result="p_stats")
 def _(r):
     return stats(r)
 

@@ -40,8 +40,11 @@ def _rounded_sql(sql: str, money: list[str], ratio: list[str]) -> str:
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql.strip()}) checked"
 
 
-def query(name: str, sql: str | None = None, money: str = "", ratio: str = ""):
-    """Register a function of the retail view; ``money``/``ratio`` list float columns."""
+def query(name: str, sql: str | None = None, money: str = "", ratio: str = "", result: str | None = None):
+    """Register a function of the retail view; ``money``/``ratio`` list float columns.
+
+    ``result`` names the stage that is the query's own result, which is not staged.
+    """
 
     def deco(fn: Callable[[Retail], DataFrame]):
         if name in QUERIES:
@@ -49,7 +52,7 @@ def query(name: str, sql: str | None = None, money: str = "", ratio: str = ""):
         m, q = money.split(), ratio.split()
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return _rounded(fn(Retail(spark, folder)), m, q)
+            return _rounded(fn(Retail(spark, folder, result)), m, q)
 
         QUERIES[name] = run
         if sql is not None:

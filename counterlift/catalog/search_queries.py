@@ -134,7 +134,7 @@ def _(r):
     return T.impressions_with_terms(e.impressions(r))
 
 
-@query("campaign_hits", "SELECT * FROM c_hits")
+@query("campaign_hits", "SELECT * FROM c_hits", result="c_hits")
 def _(r):
     return c_hits(r)
 
@@ -144,7 +144,7 @@ def _(r):
     return c_pages(r)
 
 
-@query("exposed_shoppers_at_time", "SELECT * FROM exposed_t")
+@query("exposed_shoppers_at_time", "SELECT * FROM exposed_t", result="exposed_t")
 def _(r):
     return exposed(r)
 
@@ -169,7 +169,7 @@ def _(r):
     return conv(r)
 
 
-@query("conversion_summary", "SELECT * FROM summary_t", money=_S_MONEY, ratio=_S_RATIO)
+@query("conversion_summary", "SELECT * FROM summary_t", money=_S_MONEY, ratio=_S_RATIO, result="summary_t")
 def _(r):
     return summary(r)
 
@@ -203,7 +203,7 @@ def _(r):
     return T.visitors_by_page(r.hits, r.bookings)
 
 
-@query("search_test_group", "SELECT * FROM test_s")
+@query("search_test_group", "SELECT * FROM test_s", result="test_s")
 def _(r):
     return test_group(r)
 
@@ -220,7 +220,7 @@ def _(r):
     return T.search_control_group(termed(r), test_group(r), reach_all(r))
 
 
-@query("unmatched_conversion", "SELECT * FROM unmatched_s", money=_S_MONEY, ratio=_S_RATIO)
+@query("unmatched_conversion", "SELECT * FROM unmatched_s", money=_S_MONEY, ratio=_S_RATIO, result="unmatched")
 def _(r):
     return unmatched(r)
 

@@ -216,7 +216,7 @@ def _(r):
 
 
 @query("pre_vs_during", "SELECT * FROM pre_during",
-       money=f"total_sales_campaign_period total_sales_pre_period {BASE_MONEY}", ratio=BASE_RATIO)
+       money=f"total_sales_campaign_period total_sales_pre_period {BASE_MONEY}", ratio=BASE_RATIO, result="pre_during")
 def _(r):
     return pre_during(r)
 

@@ -53,16 +53,22 @@ def _pick(index: Column, pos: int) -> Column:
 class Retail:
     """Lazily built views of one data directory."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, result: str | None = None):
         self.spark = spark
         self.folder = folder
+        self.result = result
         self._stages: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Stage table written once per job where several later steps read it."""
+        """Stage table written once per job where several later steps read it.
+
+        The stage that is itself the job's result is not written.
+        """
+        if name == self.result:
+            return build()
         if name not in self._stages:
             self._stages[name] = cut_lineage(build())
         return self._stages[name]
