@@ -2,9 +2,13 @@
 
 from counterlift.llm import (  # noqa: F401
     cap_filters,
+    decontamination,
     jaccard_join,
+    language_id,
     packing,
+    pii,
     token_files,
+    toxicity,
     url_lists,
     warc,
 )
