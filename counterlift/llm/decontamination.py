@@ -29,7 +29,7 @@ RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 WIDTH = 5
 LEAST_WORDS = 7
 ITEMS_AT_ONCE = 2000  # items whose index is broadcast together, about 60 MB
-CHUNK_WORDS = 32768
+CHUNK_GROUPS = 8192
 _SALT = mix(np.arange(1, 4, dtype=U64) * _MULT)
 _FLIPS = np.array([sum(1 << i for i in c) for r in range(BLOCK_RADIUS + 1) for c in combinations(range(BLOCK_BITS), r)], np.int64)
 
@@ -69,15 +69,22 @@ def sign_rows(words: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int8) * 2 - 1) * weight[:, None]
 
 
-def fingerprints(signed: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """SimHash of the windows of ``length`` words at ``start``, as two 64-bit numbers each."""
-    run = np.zeros((len(signed) + 1, signed.shape[1]), np.int32)
-    np.cumsum(signed, axis=0, dtype=np.int32, out=run[1:])
-    return _fingerprints(run, start, length)
+def group_sums(words: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Running sums, by groups of STRIDE words at ``start``, of the words' signed weights.
 
+    Sums wrap at 16 bits; their differences over a window of less than 8192 words are exact.
+    """
+    at = (start[:, None] + np.arange(STRIDE)).ravel()
+    sums = sign_rows(words[at], weight[at]).reshape(len(start), STRIDE, -1).sum(1, dtype=np.int16)
+    run = np.zeros((len(start) + 1, sums.shape[1]), np.int16)
+    np.cumsum(sums, axis=0, dtype=np.int16, out=run[1:])
+    return run
 
-def _fingerprints(run: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    return np.packbits(run[start + length] > run[start], axis=1).view(np.uint64)
+
+def fingerprints(run: np.ndarray, length: int) -> np.ndarray:
+    """SimHash of the window of ``length`` words from each group on, as two 64-bit numbers."""
+    k = length // STRIDE
+    return np.packbits((run[k:] - run[:-k]) > 0, axis=1).view(np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +100,11 @@ def shingle_hashes(words: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, n
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard: weight of the common shingles over weight of all."""
-    common = float(a[1][np.isin(a[0], b[0], assume_unique=True)].sum())
+    """Weighted Jaccard, weight of the common shingles over weight of all, or the plain one if that is larger."""
+    both = np.isin(a[0], b[0], assume_unique=True)
+    common, plain = float(a[1][both].sum()), int(both.sum())
     every = float(a[1].sum() + b[1].sum()) - common
-    return common / every if every else 0.0
+    return max(common / every, plain / (len(a[0]) + len(b[0]) - plain)) if every else 0.0
 
 
 def build_index(items: list[tuple[int, str]]) -> ItemIndex | None:
@@ -118,7 +126,7 @@ def build_index(items: list[tuple[int, str]]) -> ItemIndex | None:
         out.shingles.append(s)
         out.weights.append(sw)
         length = window_length(len(cut[i]))
-        prints = fingerprints(sign_rows(cut[i], w), np.arange(STRIDE), length)
+        prints = np.concatenate([fingerprints(group_sums(cut[i], w, np.arange(o, o + length, STRIDE)), length) for o in range(STRIDE)])
         by_class.setdefault(length, []).extend((prints[o], k, o) for o in range(STRIDE))
     for length, entries in by_class.items():
         prints = np.stack([e[0] for e in entries])
@@ -161,20 +169,24 @@ def _hits(piece: pa.RecordBatch, index: ItemIndex, least: float) -> dict[tuple[i
         return best
     weight = index.weigh(h)
     ends = words.first[words.doc + 1]
-    local = np.arange(len(h)) - words.first[words.doc]
-    longest = max(index.classes)
+    groups = words.count // STRIDE
+    owner = np.repeat(np.arange(words.n_docs), groups)
+    begin = words.first[owner] + STRIDE * (np.arange(len(owner)) - (np.cumsum(groups) - groups)[owner])
+    longest = max(index.classes) // STRIDE
     tried: set[tuple[int, int]] = set()
-    for lo in range(0, len(h), CHUNK_WORDS):
-        hi = min(len(h), lo + CHUNK_WORDS + longest)
-        run = np.zeros((hi - lo + 1, BLOCKS * BLOCK_BITS), np.int32)
-        np.cumsum(sign_rows(h[lo:hi], weight[lo:hi]), axis=0, dtype=np.int32, out=run[1:])
-        at = np.arange(lo, min(len(h), lo + CHUNK_WORDS))
-        at = at[local[at] % STRIDE == 0]
+    for lo in range(0, len(owner), CHUNK_GROUPS):
+        hi = min(len(owner), lo + CHUNK_GROUPS + longest - 1)
+        run = group_sums(h, weight, begin[lo:hi])
         for length, (entries, item, offset, lists) in index.classes.items():
-            start = at[at + length <= ends[at]]
+            k = length // STRIDE
+            n = min(CHUNK_GROUPS, hi - lo - k + 1)
+            if n <= 0:
+                continue
+            whole = owner[lo : lo + n] == owner[lo + k - 1 : lo + k - 1 + n]
+            start = begin[lo : lo + n][whole]
             if not len(start):
                 continue
-            window, entry = within_radius(_fingerprints(run, start - lo, length), entries, lists)
+            window, entry = within_radius(fingerprints(run[: n + k], length)[whole], entries, lists)
             for p, k, o in zip(start[window].tolist(), item[entry].tolist(), offset[entry].tolist(), strict=True):
                 doc = int(words.doc[p])
                 a = max(int(words.first[doc]), p - o)
