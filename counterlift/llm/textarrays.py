@@ -15,7 +15,7 @@ U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
 _ODD = 0xD6E8FEB86659FD93
 _INV = pow(_ODD, -1, 1 << 64)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
