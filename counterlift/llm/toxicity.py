@@ -62,46 +62,72 @@ def _surprise(bad: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
     return np.where(p > share, np.exp(-gain), 1.0)
 
 
+def _telling(mark: np.ndarray, context: np.ndarray, bad_doc: np.ndarray, share: float) -> np.ndarray:
+    """Marks that occur in toxic rows, in different contexts, more often than chance allows."""
+    order = np.lexsort((context, mark))
+    m, c = mark[order], context[order]
+    one = np.ones(len(m), bool)
+    one[1:] = (m[1:] != m[:-1]) | (c[1:] != c[:-1])
+    m, toxic = m[one], bad_doc[order][one]
+    value, at = np.unique(m, return_inverse=True)
+    bad, good = np.bincount(at, toxic, len(value)), np.bincount(at, ~toxic, len(value))
+    return value[(_surprise(bad, good, share) < CHANCE) & (bad >= 20 * good) & (value != 0)]
+
+
+def _sliced(texts: list[str], toxic: np.ndarray) -> Iterator[tuple[np.ndarray, Tokens]]:
+    """Labels and tokens of one slice of the texts after another."""
+    at = 0
+    for piece in slices(pa.record_batch({"text": pa.array(texts, pa.string())}), "text"):
+        t = Tokens(string_column(piece, "text"))
+        yield toxic[at : at + piece.num_rows], t
+        at += piece.num_rows
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> crf.Chain:
     """A CRF from labelled texts; without rows of both labels it tags nothing."""
     toxic = np.asarray(toxic, bool)
     none = crf.train([np.zeros(0, U64)], np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 2)
     if not toxic.any() or toxic.all():
         return none
-    t = Tokens(pa.array(texts, pa.string()))
-    share = float(toxic[t.words.doc].mean())
-    is_bad = np.zeros(len(t.words.doc), bool)
+    # tokens take many times the room of their text, so each pass makes those of one slice after another
+    marks, contexts, bad_doc, chain_tokens, clean = [[] for _ in range(len(PREFIXES) + 1)], [], [], [], []
+    for label, t in _sliced(texts, toxic):
+        word = t.marks[0]
+        contexts.append(mix(np.roll(word, 1)) ^ np.roll(word, -1))
+        for kept, mark in zip(marks, t.marks, strict=True):
+            kept.append(mark)
+        bad_doc.append(label[t.words.doc])
+        clean.append(~label[t.words.doc[t.first]])
+        chain_tokens.append(t.length)
     # a context is the pair of neighbours: copies of a text add none
-    word = t.marks[0]
-    context = mix(np.roll(word, 1)) ^ np.roll(word, -1)
-    for mark in t.marks:
-        order = np.lexsort((context, mark))
-        m, c = mark[order], context[order]
-        one = np.ones(len(m), bool)
-        one[1:] = (m[1:] != m[:-1]) | (c[1:] != c[:-1])
-        m, d = m[one], t.words.doc[order][one]
-        value, at = np.unique(m, return_inverse=True)
-        bad = np.bincount(at, toxic[d], len(value))
-        good = np.bincount(at, ~toxic[d], len(value))
-        found = value[(_surprise(bad, good, share) < CHANCE) & (bad >= 20 * good) & (value != 0)]
-        is_bad |= np.isin(mark, found)
-    is_bad &= toxic[t.words.doc]
-    chain = np.repeat(np.arange(len(t.first)), t.length)
-    has = np.bincount(chain, is_bad, len(t.first)) > 0
+    context, bad_doc, clean = np.concatenate(contexts), np.concatenate(bad_doc), np.concatenate(clean)
+    length, share = np.concatenate(chain_tokens), float(bad_doc.mean())
+    is_bad = np.zeros(len(bad_doc), bool)
+    for k in range(len(marks)):
+        mark, marks[k] = np.concatenate(marks[k]), []
+        is_bad |= np.isin(mark, _telling(mark, context, bad_doc, share))
+    is_bad &= bad_doc
+    del contexts, context, marks
+    chain = np.repeat(np.arange(len(length)), length)
+    has = np.bincount(chain, is_bad, len(length)) > 0
     if not has.any():
         return none
     rng = np.random.default_rng(0)
-    clean = ~toxic[t.words.doc[t.first]]
-    pick = np.zeros(len(t.first), bool)
+    pick = np.zeros(len(length), bool)
     pick[rng.permutation(np.flatnonzero(has))[:TRAIN_SENTENCES]] = True
     pick[rng.permutation(np.flatnonzero(clean & ~has))[:TRAIN_SENTENCES]] = True
     for again in range(MINING + 1):
-        keep, length = np.repeat(pick, t.length), t.length[pick]
-        first = np.cumsum(length) - length
-        model = crf.train([c[keep] for c in t.columns], is_bad[keep].astype(int), first, length, 2, least=2, rounds=30)
+        keep, size = np.repeat(pick, length), length[pick]
+        at, columns = 0, []
+        for _, t in _sliced(texts, toxic):
+            n = len(t.marks[0])
+            columns.append([c[keep[at : at + n]] for c in t.columns])
+            at += n
+        table_ = [np.concatenate(c) for c in zip(*columns, strict=True)]
+        model = crf.train(table_, is_bad[keep].astype(int), np.cumsum(size) - size, size, 2, least=2, rounds=30)
         if again < MINING:  # clean sentences that it suspects join the table
-            p = model.sparse_marginals(t.columns, t.first, t.length)[:, 1]
-            pick |= clean & ~has & (np.maximum.reduceat(p, t.first) > SUSPECT)
+            most = [np.maximum.reduceat(model.sparse_marginals(t.columns, t.first, t.length)[:, 1], t.first) for _, t in _sliced(texts, toxic) if len(t.first)]
+            pick |= clean & ~has & (np.concatenate(most) > SUSPECT)
     # the table holds all sentences with toxic tokens, but few of the others
     shift = np.log(max(1.0, (clean & ~has).sum() / max(1, (pick & ~has).sum())))
     model.starts[1] -= shift
