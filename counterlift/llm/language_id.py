@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from counterlift.llm.registry import query, table
 from counterlift.llm.textarrays import _MULT, U64, Words, mix, slices, string_column
 from counterlift.llm.toxicity import _letters, remainder
+from counterlift.session import cut_lineage
 
 TRAIN_ROWS = 3000  # per language, by smallest hash of the id: the bounded training sample
 MAX_LANGUAGES = 64
@@ -82,26 +84,35 @@ class LanguageFilter:
         return out
 
 
-def fit(texts: list[str], langs: list[str]) -> LanguageFilter:
-    """Filter from labelled texts: which n-grams each language contains often enough."""
-    names = sorted(set(langs))
+def build_filter(names: list[str], value: np.ndarray, lang: np.ndarray, share: np.ndarray) -> LanguageFilter:
+    """Filter from (n-gram, language, share) rows: an n-gram is held by its language and those close to it."""
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = np.zeros(SLOTS, U64)
-    if not names:
-        return LanguageFilter(names, rows)
-    where = {n: i for i, n in enumerate(names)}
-    owner, value = ngrams(Words(pa.array(texts, pa.string()), solid=_letters))
-    lang = np.array([where[x] for x in langs])[owner]
     known, at = np.unique(value, return_inverse=True)
-    share = np.stack([np.bincount(at[lang == i], minlength=len(known)) / max(1, (lang == i).sum()) for i in range(len(names))])
-    held = (share >= LEAST_SHARE) & (share >= DOMINANCE * share.max(axis=0))
+    largest = np.zeros(len(known))
+    np.maximum.at(largest, at, share)
+    held = share >= DOMINANCE * largest[at]
     for i in range(len(names)):
-        for p in _positions(known[held[i]]):
+        for p in _positions(value[held & (lang == i)]):
             np.bitwise_or.at(rows, p, U64(1) << U64(i))
     return LanguageFilter(names, rows)
 
 
+_COUNTED = pa.schema([("gram", pa.int64()), ("lang", pa.string()), ("n", pa.int64())])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-gram counts of each language in each slice of texts."""
+    for batch in batches:
+        for piece in slices(batch, "text"):
+            owner, value = ngrams(Words(string_column(piece, "text"), solid=_letters))
+            langs = np.array(string_column(piece, "lang").to_pylist(), object)
+            for name in sorted(set(langs.tolist())):
+                gram, n = np.unique(value[(langs == name)[owner]], return_counts=True)
+                yield pa.record_batch([pa.array(gram.view(np.int64)), pa.array([name] * len(gram), pa.string()), pa.array(n)], schema=_COUNTED)
+
+
 def _has_letter(words: Words, texts: pa.Array) -> np.ndarray:
     ascii_letter = np.zeros(256, bool)
     ascii_letter[65:91] = ascii_letter[97:123] = True
@@ -138,21 +149,26 @@ def _predict(shared):
 
 
 def train_languages(docs: DataFrame) -> LanguageFilter:
-    """Filter from rows with a language whose remainder by 4 is not 2, at most TRAIN_ROWS per language."""
+    """Filter from rows with a language whose remainder by 4 is not 2, at most TRAIN_ROWS per language.
+
+    Tasks count the n-grams of the sample; only those with a share of LEAST_SHARE or more reach the
+    driver, at most 1 / LEAST_SHARE for each language. An id with several rows trains with all of them.
+    """
     usable = docs.filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = [r[0] for r in usable.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    parts = [
-        usable.filter(F.col("lang") == n).select(F.col("doc_id").cast("long").alias("doc_id"), "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-        for n in known
-    ]
-    if not parts:
-        return fit([], [])
-    ids = parts[0]
-    for p in parts[1:]:
-        ids = ids.union(p)
-    ids = ids.select("doc_id").distinct()
-    got = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang").join(F.broadcast(ids), "doc_id").orderBy("doc_id", "lang", "text").toArrow()
-    return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    names = [r[0] for r in usable.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    parts = [usable.filter(F.col("lang") == n).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for n in names]
+    if not parts or len(names) > MAX_LANGUAGES:
+        return build_filter(names, np.zeros(0, U64), np.zeros(0, int), np.zeros(0))
+    ids = reduce(DataFrame.union, parts).distinct()
+    counted = usable.join(F.broadcast(ids), "doc_id").select("text", "lang").mapInArrow(_count, "gram long, lang string, n long")
+    grams = cut_lineage(counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")))
+    total = grams.groupBy("lang").agg(F.sum("n").alias("total"))
+    often = grams.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= LEAST_SHARE)
+    got = often.select("gram", "lang", "share").toArrow()
+    where = {n: i for i, n in enumerate(names)}
+    value = got.column("gram").to_numpy().astype(np.int64).view(U64)
+    return build_filter(names, value, np.array([where[x] for x in got.column("lang").to_pylist()], int), got.column("share").to_numpy())
 
 
 def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
