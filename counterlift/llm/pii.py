@@ -30,6 +30,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 
+def _by_start_and_kind(span: tuple[int, int, int]) -> tuple[int, int, int]:
+    return span[0], span[2], span[1]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -68,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                 out.append((m.start(), m.end(), 3))
-    return sorted(out)
+    return sorted(out, key=_by_start_and_kind)
 
 
 _class = np.full(256, 5, np.uint8)  # marks, unless they have a class of their own
@@ -183,13 +187,13 @@ def tag(texts: pa.Array, model: crf.Chain) -> Iterator[tuple[str, list, list]]:
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans))
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=_by_start_and_kind))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text with every span, or run of overlapping spans, replaced by the first one's kind in brackets."""
     out, at = [], 0
-    for a, b, k in sorted(spans):
+    for a, b, k in sorted(spans, key=_by_start_and_kind):
         if a >= at:
             out += [text[at:a], f"[{KINDS[k].upper()}]"]
         at = max(at, b)
