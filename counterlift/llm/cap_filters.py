@@ -24,6 +24,7 @@ from counterlift.session import cut_lineage
 
 CODEWORDS = 256  # of each half: 65,536 filter directions
 MEAN_FILTERS = 64.0  # directions that a random vector exceeds, on average
+SLACK = 0.02  # below its best product, for a vector that exceeds no direction
 SKETCH_BITS = 128
 SKETCH_RADIUS = 44  # a pair at cosine 0.95 differs in 13 +- 3.4 bits, unrelated ones in 64 +- 5.7
 BLOCK_ROWS = 256
@@ -41,12 +42,12 @@ def codes(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarr
     books = []
     for size in (half, max(1, dim - half)):
         c = rng.standard_normal((CODEWORDS, size))
-        books.append(c / np.linalg.norm(c, axis=1, keepdims=True))
+        books.append(np.unique(c / np.linalg.norm(c, axis=1, keepdims=True), axis=0))  # one coordinate has two codewords
     probe = rng.standard_normal((200, dim))
     probe /= np.linalg.norm(probe, axis=1, keepdims=True)
     first, second = _products(probe @ rotation, *books)
     sums = (first[:, :, None] + second[:, None, :]).reshape(-1)
-    take = int(MEAN_FILTERS * len(probe))
+    take = min(len(sums), int(MEAN_FILTERS * len(probe)))
     threshold = float(np.partition(sums, len(sums) - take)[len(sums) - take])
     return rotation, books[0], books[1], threshold, rng.standard_normal((dim, SKETCH_BITS))
 
@@ -58,14 +59,18 @@ def _products(x: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarr
 
 
 def decode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of every filter direction that each unit vector exceeds."""
+    """(row, filter) of every filter direction that each unit vector exceeds.
+
+    A vector that exceeds none, as one whose weight lies in one half may, has those close to its best.
+    """
     rotation, one, two, threshold, _ = codes(unit.shape[1])
     a, b = _products(unit @ rotation, one, two)
     best = np.argsort(-b, axis=1)
     sorted_b = np.take_along_axis(b, best, 1)
-    alive = a + sorted_b[:, :1] >= threshold  # codewords that reach it with the best partner
+    least = np.minimum(threshold, a.max(1) + sorted_b[:, 0] - SLACK)
+    alive = a + sorted_b[:, :1] >= least[:, None]  # codewords that reach it with the best partner
     row, i = np.nonzero(alive)
-    reach = (sorted_b[row] >= (threshold - a[row, i])[:, None]).sum(1)
+    reach = (sorted_b[row] >= (least[row] - a[row, i])[:, None]).sum(1)
     out = np.repeat(np.arange(len(row)), reach)
     nth = np.arange(len(out)) - np.repeat(np.cumsum(reach) - reach, reach)
     return row[out], i[out] * CODEWORDS + best[row[out], nth]
