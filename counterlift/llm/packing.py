@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from counterlift.llm import graph
 from counterlift.llm.registry import query, table
 from counterlift.llm.textarrays import slices, string_column
-from counterlift.llm.tokenize import ChunkEncoder
+from counterlift.llm.tokenize import worker_encoder
 
 CAPACITY = 4096
 OPEN_BINS = 512
@@ -68,7 +68,7 @@ _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.
 
 def _pieces(vocabulary: str, end_id: int, glue: bool, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(vocabulary, glue)
+        encoder = worker_encoder(vocabulary, glue)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = encoder.encode([t or "" for t in string_column(part, "text").to_pylist()])

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from counterlift.llm import graph
 from counterlift.llm.registry import query, table
 from counterlift.llm.textarrays import slices, string_column
-from counterlift.llm.tokenize import ChunkEncoder
+from counterlift.llm.tokenize import worker_encoder
 from counterlift.llm.warc import open_folder, place_file
 from counterlift.session import cut_lineage, shared_folder
 
@@ -120,7 +120,7 @@ _FILES = "part int, file string, n_docs long, n_tokens long"
 
 def _write(folder: str, vocabulary: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(vocabulary, glue=True)
+        encoder = worker_encoder(vocabulary, glue=True)
 
         def docs():
             for batch in batches:

@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer, with a bounded cache of encoded chunks.
 
 Both vocabularies never let a token cross a lone space, so a text is cut there, every distinct
-chunk is encoded once per task by the tokenizers library, and the ids are strung together.
+chunk is encoded once per worker by the tokenizers library, and the ids are strung together.
 """
 
 from __future__ import annotations
@@ -32,21 +32,30 @@ SPACE = chr(BYTE_ALPHABET[32])
 
 
 @lru_cache(maxsize=4)
-def load(path: str):
+def load(path: str, plain: bool = False):
+    """The tokenizer; ``plain`` says that strings of special tokens in a text are ordinary text."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
+    tok.encode_special_tokens = plain
     return tok
 
 
+@lru_cache(maxsize=4)
+def worker_encoder(path: str, glue: bool, plain: bool = False) -> ChunkEncoder:
+    """The one encoder of this Python worker, so that its cache outlives a task."""
+    return ChunkEncoder(path, glue, plain)
+
+
 class ChunkEncoder:
     """Ids of texts. ``glue`` says that a space belongs to the chunk after it (byte-level BPE);
     otherwise white space is dropped by the tokenizer."""
 
-    def __init__(self, path: str, glue: bool):
-        self.tok, self.glue = load(path), glue
+    def __init__(self, path: str, glue: bool, plain: bool = False):
+        self.tok, self.glue = load(path, plain), glue
         self.model = self.tok.model
+        added = [] if plain else [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.known: dict[str, bytes] = {}  # chunks that follow a space
         self.pieces: dict[str, bytes] = {}
 
@@ -80,7 +89,11 @@ class ChunkEncoder:
         return self._library(lead + chunk) if chunk else b""
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text."""
+        """uint32 ids of each text. One that holds an added token's string is left to the library as a whole."""
+        whole = {i for i, t in enumerate(texts) if self.added and self.added.search(t)}
+        if whole:
+            ids = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) if i in whole else next(ids) for i, t in enumerate(texts)]
         cut = [None if self.glue and RUN.search(t) else t.split(" ") for t in texts]
         distinct = set().union(*(c[1:] for c in cut if c))
         if len(self.known) > CACHE_CHUNKS:
