@@ -6,7 +6,9 @@ with the windows at its first STRIDE offsets, so one of them lines up with a doc
 wherever the passage starts. A multi-index of eight 16-bit blocks, each entered with all keys
 at distance two or less, returns every entry within RADIUS = 23 bits (24 differing bits need
 three in some block). Candidates are verified by the weighted Jaccard similarity of five-word
-shingles between the item and the document's words at the item's place.
+shingles between the item and the document's words at the item's place. Items of fewer than
+LEAST_WORDS words have at most two shingles, so only their exact words reach the similarity; they
+are found by the hash of every run of as many words.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ STRIDE = 4
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 16, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 WIDTH = 5
-LEAST_WORDS = 7
+LEAST_WORDS = 7  # of an item that is searched by fingerprints; shorter ones are searched by their exact words
 ITEMS_AT_ONCE = 2000  # items whose index is broadcast together, about 60 MB
 CHUNK_GROUPS = 8192
 _SALT = mix(np.arange(1, 4, dtype=U64) * _MULT)
@@ -55,6 +57,7 @@ class ItemIndex:
     word_weight: np.ndarray
     rare: int
     classes: dict[int, tuple] = field(default_factory=dict)
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by words: sorted hashes and their items
 
     def weigh(self, words: np.ndarray) -> np.ndarray:
         """Weight of each word: 1 for those in most items, up to ``rare`` for those in none."""
@@ -107,12 +110,20 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(common / every, plain / (len(a[0]) + len(b[0]) - plain)) if every else 0.0
 
 
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` words."""
+    h = np.zeros(len(words) - n + 1, U64)
+    for k in range(n):
+        h = mix(h * _MULT + words[k : k + len(h)])
+    return h
+
+
 def build_index(items: list[tuple[int, str]]) -> ItemIndex | None:
-    """Index of items of at least LEAST_WORDS words; shorter and null ones are left out."""
+    """Index of items; those that are null or without words are left out."""
     words = Words(pa.array([t for _, t in items], pa.string()))
     h = words.hashes()
     cut = [h[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-    use = [i for i, c in enumerate(cut) if len(c) >= LEAST_WORDS]
+    use = [i for i, c in enumerate(cut) if len(c)]
     if not use:
         return None
     vocabulary, often = np.unique(np.concatenate([np.unique(cut[i]) for i in use]), return_counts=True)
@@ -120,11 +131,15 @@ def build_index(items: list[tuple[int, str]]) -> ItemIndex | None:
     weight = np.clip(np.round(1 + (rare - 1) * np.log(len(use) / often) / max(np.log(len(use)), 1e-9)), 1, rare).astype(np.int8)
     out = ItemIndex([items[i][0] for i in use], [], [], np.array([len(cut[i]) for i in use]), vocabulary, weight, rare)
     by_class: dict[int, list[tuple[np.ndarray, int, int]]] = {}
+    by_words: dict[int, list[tuple[np.uint64, int]]] = {}
     for k, i in enumerate(use):
         w = out.weigh(cut[i])
         s, sw = shingle_hashes(cut[i], w)
         out.shingles.append(s)
         out.weights.append(sw)
+        if len(cut[i]) < LEAST_WORDS:
+            by_words.setdefault(len(cut[i]), []).append((run_hashes(cut[i], len(cut[i]))[0], k))
+            continue
         length = window_length(len(cut[i]))
         prints = np.concatenate([fingerprints(group_sums(cut[i], w, np.arange(o, o + length, STRIDE)), length) for o in range(STRIDE)])
         by_class.setdefault(length, []).extend((prints[o], k, o) for o in range(STRIDE))
@@ -139,6 +154,9 @@ def build_index(items: list[tuple[int, str]]) -> ItemIndex | None:
             starts = np.searchsorted(reach[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32)
             lists.append((starts, owner[order]))
         out.classes[length] = (prints, np.array([e[1] for e in entries]), np.array([e[2] for e in entries]), lists)
+    for n, entries in by_words.items():
+        entries.sort()
+        out.short[n] = (np.array([h for h, _ in entries], U64), np.array([k for _, k in entries]))
     return out
 
 
@@ -167,6 +185,17 @@ def _hits(piece: pa.RecordBatch, index: ItemIndex, least: float) -> dict[tuple[i
     best: dict[tuple[int, int], tuple[float, int]] = {}
     if not len(h):
         return best
+    for n, (hashes, items) in index.short.items():
+        if len(h) < n:
+            continue
+        run = run_hashes(h, n)
+        lo, hi = np.searchsorted(hashes, run, "left"), np.searchsorted(hashes, run, "right")
+        at = np.flatnonzero((hi > lo) & (words.doc[: len(run)] == words.doc[n - 1 :]))
+        for p, a, b in zip(at.tolist(), lo[at].tolist(), hi[at].tolist(), strict=True):
+            for k in items[a:b].tolist():
+                best.setdefault((int(words.doc[p]), k), (1.0, p))
+    if not index.classes:
+        return {(d, k): (s, a - int(words.first[d])) for (d, k), (s, a) in best.items()}
     weight = index.weigh(h)
     ends = words.first[words.doc + 1]
     groups = words.count // STRIDE
@@ -214,33 +243,65 @@ def _search(shared, least: float):
     return run
 
 
-def benchmark_passages(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFrame:
-    """doc_id, item_id, start_word and similarity of the best match of every item in every document.
+def _without(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            for piece in slices(batch, "text", 1 << 20):
+                clean = np.ones(piece.num_rows, bool)
+                clean[[d for d, _ in _hits(piece, index, least)]] = False
+                yield piece.filter(pa.array(clean))
 
-    ``benchmark`` (item_id, text) is the query set; it is taken in blocks of ITEMS_AT_ONCE items by
-    id, each searched over all documents. Items of fewer than LEAST_WORDS words, null or without id
-    match nothing, as do null and short documents. Repeated rows are searched each by itself. A
-    document without id is reported with a null one. Other columns are ignored; with empty tables the
-    result is empty.
-    """
-    spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return run
+
+
+def _indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
+    """Indexes of ITEMS_AT_ONCE items after another, by id and text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    schema = "doc_id long, item_id long, start_word long, similarity double"
-    out, after = None, None
+    after = None
     while True:
         left = items if after is None else items.filter((F.col("item_id") > after[0]) | ((F.col("item_id") == after[0]) & (F.col("text") > after[1])))
         block = [tuple(r) for r in left.orderBy("item_id", "text").limit(ITEMS_AT_ONCE).collect()]
         index = build_index(block) if block else None
         if index is not None:
-            hits = d.mapInArrow(_search(spark.sparkContext.broadcast(index), least), schema)
-            out = hits if out is None else out.union(hits)
+            yield index
         if len(block) < ITEMS_AT_ONCE:
-            break
+            return
         after = block[-1]
+
+
+def benchmark_passages(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFrame:
+    """doc_id, item_id, start_word and similarity of the best match of every item in every document.
+
+    ``benchmark`` (item_id, text) is the query set; it is taken in blocks of ITEMS_AT_ONCE items by
+    id, each searched over all documents. Items that are null, without words or without id match
+    nothing, as do null and empty documents; ties go to the first place. Texts are read whole, however
+    long. Repeated rows are searched each by itself. A document without id is reported with a null
+    one. Other columns are ignored; with empty tables the result is empty.
+    """
+    spark = docs.sparkSession
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, item_id long, start_word long, similarity double"
+    out = None
+    for index in _indexes(benchmark):
+        hits = d.mapInArrow(_search(spark.sparkContext.broadcast(index), least), schema)
+        out = hits if out is None else out.union(hits)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def without_passages(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``benchmark``, each judged by its own text.
+
+    As ``benchmark_passages``; ids play no part, so rows without id or with a repeated one are
+    kept or dropped by themselves. All columns pass through.
+    """
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    schema = out.schema
+    for index in _indexes(benchmark):
+        out = out.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(index), least), schema)
+    return out
+
+
 @query("op3_decontamination")
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -10,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterlift.llm import graph
 from counterlift.llm.registry import query, table
 from counterlift.llm.textarrays import slices, string_column
 from counterlift.llm.tokenize import worker_encoder
 
 CAPACITY = 4096
-OPEN_BINS = 512
-GROUP_BYTES = 4 << 20  # text per packing group, about 350 full sequences
+OPEN_BINS = 128
+GROUP_BYTES = 16 << 20  # text per packing group, about 1,400 full sequences: the bound on open bins is reached
 
 
 class BestFit:
@@ -116,14 +115,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, glue: bool = F
     each group is packed online in doc_id order, so the waste is at most one half-full sequence
     per group besides what best-fit leaves. sequence_id holds the group and the bin. A null or
     empty text is the end id alone; rows that repeat are packed as often; a null doc_id is packed
-    like any other. Other columns are ignored; an empty table gives an empty result.
+    like any other. Texts are encoded whole, however long. Other columns are ignored; an empty table
+    gives an empty result.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = d.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
     groups = max(1, -(-int(held) // GROUP_BYTES))
     pieces = d.mapInArrow(_pieces(vocabulary, end_id, glue, capacity), "doc_id long, piece long, start long, length long, ids binary")
     placed = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    dealt = placed.repartition(min(groups, graph.partitions_of(docs)), "grp").sortWithinPartitions("grp", "doc_id", "piece", "ids")
+    dealt = placed.repartition(groups, "grp").sortWithinPartitions("grp", "doc_id", "piece", "ids")
     return dealt.mapInArrow(_pack(capacity, most), _PACKED)
 
 

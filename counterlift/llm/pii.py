@@ -1,12 +1,15 @@
 """Personal data: base patterns, and spans added by a linear-chain CRF over word shapes.
 
-The CRF's chains are the stretches of a text around words that hold a digit, @ or +, with two
-words on either side; all other words carry no personal data by definition. It is trained on a
-small table of such stretches labelled by the base patterns, and decoded by Viterbi.
+The CRF's chains are the stretches of a text around words that hold a digit, @, + or a written
+"at" or "dot" (``[at]``, ``dot``), with three words on either side; all other words carry no personal
+data by definition. It is trained on a small labelled table of written-out and spaced forms and of
+look-alikes, and decoded by Viterbi.
 """
 
 from __future__ import annotations
 
+import copy
+import random
 import re
 from collections.abc import Iterator
 
@@ -20,8 +23,8 @@ from counterlift.llm.registry import query, table
 from counterlift.llm.textarrays import _MULT, U64, Words, mix, slices, string_column
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 1500  # rows of the labelled table, by smallest hash of the id
-AROUND = 2
+TRAIN_ROWS = 4000  # rows of the labelled table that a fit takes at most
+AROUND = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -80,19 +83,39 @@ _class[48:58] = 1
 _class[65:91] = 2
 _class[97:123] = 3
 _class[128:] = 4
-for _i, _c in enumerate(b"@+.-()_:/=", 6):
+for _i, _c in enumerate(b"@+.-()_:/=[]{}", 6):
     _class[_c] = _i
 _hint = np.zeros(256, bool)
 _hint[48:58] = _hint[64] = _hint[43] = True
+_open = np.zeros(256, bool)
+_open[list(b"[({<")] = True
+_NAMED = 5  # words of so many bytes at most count by their letters, longer ones by their shape
+
+
+def _follows(low: np.ndarray, word: bytes) -> np.ndarray:
+    """Bytes after which ``word`` stands, in lower-case bytes."""
+    out = np.ones(len(low), bool)
+    for k, c in enumerate(word, 1):
+        out[:-k] &= low[k:] == c
+        out[-k:] = False
+    return out
 
 
 class Stretches:
-    """Words near a digit, @ or +, with shape features, as chains; ``at`` indexes them in ``words``."""
+    """Words near a digit, @, + or a written at or dot, with their features, as chains; ``at`` indexes them in ``words``."""
 
     def __init__(self, texts: pa.Array):
         self.words = w = Words(texts, keep_case=True)
-        hints = np.concatenate(([0], np.cumsum(_hint[w.raw])))
+        self.low = low = np.where((w.raw >= 65) & (w.raw < 91), w.raw + np.uint8(32), w.raw)
+        hint = _hint[w.raw]
+        for written in (b"at", b"dot") if len(low) else ():
+            hint |= _open[w.raw] & _follows(low, written)
+        hints = np.concatenate(([0], np.cumsum(hint)))
         marked = hints[w.end] > hints[w.start]
+        three = np.flatnonzero(w.end - w.start == 3)
+        for k, c in enumerate(b"dot"):
+            three = three[low[w.start[three] + k] == c]
+        marked[three] = True
         near = marked.copy()
         for k in range(1, AROUND + 1):
             if len(near) > k:
@@ -107,24 +130,34 @@ class Stretches:
         self.length = np.diff(np.append(self.first, len(at)))
         self.columns = self._features(at, new)
 
+    def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        other = copy.copy(self.words)
+        other.data, other._sum = data, None
+        return other.range_hash(start, end)
+
     def _features(self, at: np.ndarray, new: np.ndarray) -> list[np.ndarray]:
+        """Hashes of a word's shape, its shape without repeats, its letters if short, and those of its neighbours."""
         w = self.words
-        size = np.minimum(w.end[at] - w.start[at], 64)
-        n = len(at)
-        shape, short, last = np.zeros(n, U64), np.zeros(n, U64), np.zeros(n, np.uint8)
-        for k in range(int(size.max()) if n else 0):  # words are read up to their 64th byte
-            on = np.flatnonzero(size > k)
-            c = _class[w.raw[w.start[at[on]] + k]]
-            shape[on] = mix(shape[on] * _MULT + c.astype(U64) + U64(1))
-            turn = c != last[on]
-            short[on] = np.where(turn, mix(short[on] * _MULT + c.astype(U64) + U64(99)), short[on])
-            last[on] = c
-        before, after = np.zeros(n, U64), np.zeros(n, U64)
-        if n:
-            before[1:] = np.where(new[1:], U64(0), shape[:-1])
-            after[:-1] = np.where(new[1:], U64(0), shape[1:])
-        salts = np.arange(1, 7, dtype=U64) * _MULT
-        columns = [shape, short, before, after, mix(short + size.astype(U64)), np.zeros(n, U64)]
+        start, end, n = w.start[at], w.end[at], len(at)
+        if not n:
+            return [np.zeros(0, U64) for _ in range(8)]
+        kind = _class[w.raw]
+        turn = np.ones(len(kind), bool)
+        turn[1:] = kind[1:] != kind[:-1]
+        turn[start] = True
+        place = np.concatenate(([0], np.cumsum(turn)))
+        shape = self._hashes(kind, start, end)
+        short = self._hashes(kind[turn], place[start], place[end])
+        name = np.where(end - start <= _NAMED, self._hashes(self.low, start, end), short)
+
+        def beside(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            before, after = np.zeros(n, U64), np.zeros(n, U64)
+            before[1:] = np.where(new[1:], U64(0), x[:-1])
+            after[:-1] = np.where(new[1:], U64(0), x[1:])
+            return before, after
+
+        columns = [shape, short, name, *beside(shape), *beside(name), np.zeros(n, U64)]
+        salts = np.arange(1, len(columns) + 1, dtype=U64) * _MULT
         return [mix(c + s) for c, s in zip(columns, salts, strict=True)]
 
     def spans(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,20 +167,79 @@ class Stretches:
         return w.code_points(a), w.code_points(w.end[rows] - 1) + 1
 
 
-def fit(texts: list[str]) -> crf.Chain:
-    """CRF trained on the stretches of ``texts``, labelled by the base patterns."""
-    s = Stretches(pa.array(texts, pa.string()))
+def fit(rows: list[tuple[str, list[tuple[int, int, int]]]]) -> crf.Chain:
+    """CRF trained on the stretches of texts with labelled (start, end, kind) spans."""
+    s = Stretches(pa.array([t for t, _ in rows], pa.string()))
     labels = np.zeros(len(s.at), int)
     begin, end = s.spans(s.at)
-    doc = s.words.doc[s.at]
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    for i, text in enumerate(texts):
+    bounds = np.searchsorted(s.words.doc[s.at], np.arange(len(rows) + 1))
+    for i, (_, spans) in enumerate(rows):
         lo, hi = bounds[i], bounds[i + 1]
-        for a, b, kind in base_spans(text) if hi > lo else ():
+        for a, b, kind in spans:
             labels[lo:hi][(begin[lo:hi] < b) & (end[lo:hi] > a)] = kind + 1
     return crf.train(s.columns, labels, s.first, s.length, len(KINDS) + 1)
 
 
+# The labelled table: {0} to {3} stand for personal data of KINDS, <...> for a draw; the rest carries none.
+_FORMS = (
+    ("<name> at <name> dot <end>", "<name> [at] <name> [dot] <end>", "<name>[at]<name>.<end>", "<name>(at)<name>.<end>", "<name> (at) <name> (dot) <end>",
+     "<name> AT <name> DOT <end>", "<name> @ <name>.<end>", "<name> @ <name> . <end>", "<name>@<name>.<end>", "<name>{at}<name>{dot}<end>"),
+    ("<o>.<o>.<o>.<o>", "<o>[.]<o>[.]<o>[.]<o>", "<o> . <o> . <o> . <o>", "<o>(dot)<o>(dot)<o>(dot)<o>", "<o> dot <o> dot <o> dot <o>"),
+    ("<f>.<f>.<f>.<f>", "<f>/<f>/<f>/<f>", "<f>_<f>_<f>_<f>", "<f> / <f> / <f> / <f>", "<f>  <f>  <f>  <f>"),
+    ("+<c> <t> <t> <f>", "+<c> (<t>) <t>-<f>", "(<t>) <t>-<f>", "<t>-<t>-<f>", "<t>.<t>.<f>", "00<c> <t> <t> <f>", "(0<c>) <t> <t> <f>", "+<c>/<t>/<t><f>"),
+)
+_FRAMES = (
+    "write to {0} please", "mail: {0}", "ask {0} or {0} today", "{0}", "from {1} at night", "host {1} is down", "{1}", "the card {2} was used", "paid with {2} now",
+    "card number {2}", "call {3} today", "phone {3}", "tel. {3} or {3}", "reach {0} or {3} soon", "my number is {3} and {0}", "{3}",
+)
+_OTHER = (
+    "on <year>-<m>-<m> it rained", "it costs <t>.<m> in all", "version <m>.<m>.<m> is out", "page <t> of <t> here", "room <f> upstairs", "order <f><f><f><f> came", "the number <f><f><f><f> was drawn",
+    "see <name> at <m>:<m> there", "look at the dot there", "one dot more or less", "a dot com firm", "<name> at <name> and <name>", "meet at <m> am", "in <year> and <year>", "isbn <t>-<m>-<f>-<t>-<m>",
+    "token = \"<hex>\" <name>", "id <hex> of it", "<f> people <f> times", "<m>% of <f>", "http://<name>.<end>/<t>?q=<m>", "it is <m>.<m>.<year> today", "<name>@<m> said", "<f><f><f> units", "+<m> points",
+    "<t> <t> <t> steps", "<m>/<m>/<year> it was", "chapter <m>.<m> says", "a + b = <m>", "<name> <m> <name> <t>", "<f>-<f> season",
+)
+def labelled_table(rows: int = TRAIN_ROWS, seed: int = 0) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """(text, spans) rows made of the forms above, as many with look-alikes as with personal data."""
+    rng = random.Random(seed)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+    def drawn(form: str) -> str:
+        def one(m: re.Match) -> str:
+            what = m.group(1)
+            if what == "name":
+                word = "".join(rng.choices(letters, k=rng.randint(2, 10)))
+                return word + rng.choice(("", "", "", f".{rng.choice(letters)}", f"{rng.randint(1, 99)}")) if rng.random() < 0.5 else rng.choice((word, word.title()))
+            if what == "end":
+                return rng.choice(("com", "org", "net", "de", "fr", "es", "info", "example.com"))
+            if what == "hex":
+                return "".join(rng.choices("0123456789abcdef", k=rng.choice((8, 16, 32, 40))))
+            if what == "year":
+                return str(rng.randint(1900, 2030))
+            if what in "oc":
+                return str(rng.randint(1, 255 if what == "o" else 99))
+            return "".join(rng.choices(digits, k={"m": rng.randint(1, 2), "t": 3, "f": 4}[what]))
+
+        return re.sub("<([a-z]+)>", one, form)
+
+    def others() -> list[str]:
+        words = ("".join(rng.choices("abcdeghilmnorstuéèñäü", k=rng.randint(1, 11))) for _ in range(rng.randint(0, 5)))
+        return [rng.choice((w, w, w, w.title(), w.upper())) + rng.choice(("", "", "", "", ",", ".", "!!", " |")) for w in words]
+
+    out = []
+    for i in range(rows):
+        frame = rng.choice(_FRAMES) if i % 2 else drawn(rng.choice(_OTHER))
+        text, spans = "", []
+        for part in re.split(r"(\{[0-3]\})", " ".join([*others(), frame, *others()])):
+            if re.fullmatch(r"\{[0-3]\}", part):
+                kind = int(part[1])
+                form = drawn(rng.choice(_FORMS[kind]))
+                spans.append((len(text), len(text) + len(form), kind))
+                part = form
+            text += part
+        out.append((text, spans))
+    return out
+
+
 def _added(text: str, words: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of runs of words with one tag, without outer marks, that touch no base span."""
     runs: list[list[int]] = []
@@ -217,19 +309,19 @@ def _find(shared):
     return run
 
 
-def train_pii(docs: DataFrame) -> crf.Chain:
-    """CRF from at most TRAIN_ROWS rows that hold a digit, @ or +, chosen by a hash of the text."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9]{3}|@"))
-    chosen = rows.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(TRAIN_ROWS)
-    return fit([r[0] for r in chosen.collect()])
+def train_pii(labelled: list[tuple[str, list[tuple[int, int, int]]]] | None = None) -> crf.Chain:
+    """CRF from the first TRAIN_ROWS rows of a small labelled table of (text, spans); by default that of ``labelled_table``."""
+    return fit((labelled_table() if labelled is None else labelled)[:TRAIN_ROWS])
 
 
 def find_pii(docs: DataFrame, model: crf.Chain) -> DataFrame:
     """The rows of ``docs`` with base, spans (kind:start:end in code points, comma-joined) and masked.
 
     ``base`` has the base patterns' spans, ``spans`` these and the CRF's, ``masked`` the text with
-    all of them replaced. A null text has no spans and stays null. Every row is treated by itself,
-    also repeated ones; other columns pass through, but ones named base, spans or masked are replaced.
+    all of them replaced. A null text has no spans and stays null, an empty one has none. Every row is
+    treated by itself, also repeated ones, and read whole, however long; spans that start together go by
+    kind. Other columns pass through, but ones named base, spans or masked are replaced; an empty
+    table gives an empty result.
     """
     d = docs.drop("base", "spans", "masked").withColumn("text", F.col("text").cast("string"))
     shared = d.sparkSession.sparkContext.broadcast(model)
@@ -240,6 +332,6 @@ def find_pii(docs: DataFrame, model: crf.Chain) -> DataFrame:
 @query("op5_pii_crf")
 def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_pii(docs, train_pii(docs)).drop("text", "masked")
+    found = find_pii(docs, train_pii()).drop("text", "masked")
     counts = [F.regexp_count("base", F.lit(f"{k}:")).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")

@@ -35,6 +35,7 @@ SEEK_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 FRAME_BYTES = 1 << 20
+FILE_BYTES = 64 << 20  # text per file beyond which there are more files than shuffle partitions
 
 
 def _frame_checksum(raw: bytes) -> int:
@@ -151,12 +152,15 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
     Returns part, file, n_docs, n_tokens and base, the number of ids in the files before. Null and
     empty texts give the end id alone; rows that repeat are written as often (ordered by text among
-    themselves); a null doc_id sorts first. Other columns are ignored; an empty table writes nothing.
+    themselves); a null doc_id sorts first. Texts are encoded whole, however long. Other columns are
+    ignored; an empty table writes nothing.
     Files follow each other in doc_id order, each holds a range. ``width`` is 2 bytes for a
     vocabulary of at most 65,536 ids, else 4.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = d.repartitionByRange(graph.partitions_of(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    held = d.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
+    n_files = max(graph.partitions_of(docs), -(-int(held) // FILE_BYTES))
+    ordered = d.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
     files = cut_lineage(ordered.mapInArrow(_write(folder, vocabulary, end_id, width), _FILES))
     # one row per file, not per document
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,7 +190,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document in the files."""
-    names = files.select("file", "base").repartition(graph.partitions_of(files), "file")
+    names = files.select("file", "base").repartition(max(1, files.count()), "file")  # one row per file
     return names.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
 
 

@@ -8,6 +8,7 @@ Scoring tags every token of every whole text; sentences are the chains.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from counterlift.llm.registry import query, table
 from counterlift.llm.textarrays import _MULT, U64, Words, mix, slices, string_column
 
 TOXIC_ROWS, CLEAN_ROWS = 1000, 4000  # the bounded training sample, by smallest hash of the id
+FIT_BYTES = 16 << 20  # characters of the sample of each label that the fit reads at most
 TRAIN_SENTENCES = 2500  # of each kind
 CHANCE = 1e-7  # a word marks toxic tokens if chance explains its rows less often than this
 REJECT = 0.7
@@ -166,16 +168,31 @@ def remainder(doc_id, divisor: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor
 
 
+def _fit_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of the sample, rows of both labels in order of their hash until FIT_BYTES are read."""
+    texts, toxic, held = [], [], {0: 0, 1: 0}
+    for batch in batches:
+        for text, label in zip(string_column(batch, "text").to_pylist(), string_column(batch, "toxic").to_pylist(), strict=True):
+            held[label] += len(text or "")
+            if held[label] <= FIT_BYTES:
+                texts.append(text or "")
+                toxic.append(label)
+    yield pa.record_batch({"model": pa.array([pickle.dumps(fit(texts, np.array(toxic, int)))], pa.binary())})
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame) -> crf.Chain:
-    """Model from the labelled rows whose remainder by 3 is not 1, at most TOXIC_ROWS and CLEAN_ROWS of them."""
+    """Model from the labelled rows whose remainder by 3 is not 1, at most TOXIC_ROWS and CLEAN_ROWS of them
+    and FIT_BYTES of text of each kind; one task fits it, and only its weights reach the driver."""
     usable = labels.filter((remainder("doc_id", 3) != 1) & F.col("toxic").isin(0, 1))
-    marked = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    marked = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = [marked.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(n).select("doc_id", "toxic") for k, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     ids = chosen[0].union(chosen[1])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()
-    return fit([x or "" for x in got.column("text").to_pylist()], np.array(got.column("toxic").to_pylist(), int))
+    sample = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    ordered = sample.withColumn("h", order).repartition(1).sortWithinPartitions("h", "doc_id").select("text", "toxic")
+    made = ordered.mapInArrow(_fit_in_task, "model binary").first()
+    return pickle.loads(made[0]) if made else fit([], np.zeros(0, int))
 
 
 def toxic_scores(docs: DataFrame, model: crf.Chain) -> DataFrame:

@@ -136,13 +136,48 @@ def test_decontamination_finds_planted_passages(spark):
         docs.append((d, " ".join(text), "x"))
     docs += [(500, None, "x"), (501, "", "x"), (502, "short", "x"), (503, items[4][1].upper(), "x"), (None, items[4][1], "x")]
     planted |= {(503, 4), (None, 4)}
-    bench = spark.createDataFrame([*items, (90, None), (91, ""), (92, "too short"), (None, items[3][1])], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (90, None), (91, ""), (92, "too short x"), (None, items[3][1])], "item_id long, text string")
     frame = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
     got = benchmark_passages(frame, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == planted
     assert all(r.similarity >= 0.75 for r in got)
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Every item against every window of its length, by the similarity of their shingles."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    items = [(k, " ".join(rng.choices(words, k=n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 10, 15, 24, 40, 70])]
+    docs = []
+    for d in range(80):
+        text = rng.choices(words, k=rng.choice([20, 80, 200]))
+        for _ in range(rng.randint(0, 2)):
+            passage = rng.choice(items[3:])[1].split()
+            for _ in range(rng.randint(0, 2)):
+                passage[rng.randrange(len(passage))] = rng.choice(words)
+            at = rng.randrange(len(text))
+            text[at:at] = passage
+        docs.append((d, " ".join(text)))
+    got = {(r.doc_id, r.item_id) for r in benchmark_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+    def shingles(x):
+        return {tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))}
+
+    want, allowed = set(), set()
+    for d, text in docs:
+        x = text.split()
+        for k, item in items:
+            y = item.split()
+            s = shingles(y)
+            best = max((len(s & t) / len(s | t) for i in range(len(x) - len(y) + 1) for t in [shingles(x[i : i + len(y)])]), default=0)
+            if best >= 0.75:
+                want.add((d, k))
+            if best >= 0.55:  # weights of rare words may lift a window over the limit
+                allowed.add((d, k))
+    assert len(want & got) >= 0.99 * len(want) and got <= allowed
+    assert {(d, k) for d, k in want if k < 7} <= got
+
+
 def test_decontamination_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
