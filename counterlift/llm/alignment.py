@@ -33,8 +33,8 @@ class ByteTokens:
         # ids as they stand in a listing of groups, by the mark that follows
         self.listed = {mark: np.array([f"{i}{mark}" for i in range(len(tokens))], object) for mark in ",|;"}
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join([self.tokens[i] for i in ids.tolist()])
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -57,32 +57,64 @@ def _second(path: str):
     return model, ByteTokens([bytes([int(p[1:-1], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
 
 
-def align(a: np.ndarray, b: np.ndarray, first: ByteTokens, second: ByteTokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(A token, B token, last of its group) of every overlapping pair, by place, for tokens that cover the same bytes.
+def align(a: np.ndarray, b: np.ndarray, first: ByteTokens, second: ByteTokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(A token, B token, last of its group, end) of every overlapping pair, by place, for tokens that cover the same bytes.
 
     Between two neighbouring token ends lies exactly one A and one B token, so the pairs are as
-    many as distinct ends. Tokens without bytes overlap nothing.
+    many as distinct ends. Both vocabularies have a byte for every token that is used.
     """
     end_a, end_b = np.cumsum(first.lengths[a]), np.cumsum(second.lengths[b])
-    ends = np.union1d(end_a, end_b)
-    ends = ends[ends > 0]
-    i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-    return i, j, (end_a[i] == ends) & (end_b[j] == ends)
+    size = int(end_a[-1]) + 1 if len(a) else 1
+    is_a, is_b = np.zeros(size, bool), np.zeros(size, bool)
+    is_a[end_a] = is_b[end_b] = True
+    ends = np.flatnonzero(is_a | is_b)
+    # tokens that ended before a place
+    i, j = np.cumsum(is_a)[ends] - is_a[ends], np.cumsum(is_b)[ends] - is_b[ends]
+    return i, j, is_a[ends] & is_b[ends], ends
 
 
-def listing(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, last: np.ndarray, first: ByteTokens, second: ByteTokens) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of both sides, group by group."""
+def listed_tokens(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, last: np.ndarray, first: ByteTokens, second: ByteTokens) -> np.ndarray:
+    """The strings whose joining is ``a1,a2|b1;a3|b2,b3;``: the ids of both sides, group by group."""
     cut_a, cut_b = i[last], j[last]  # last token of each group
-    group_a = np.searchsorted(cut_a, np.arange(len(a)))
-    group_b = np.searchsorted(cut_b, np.arange(len(b)))
+    before_a = np.concatenate(([0], cut_b + 1))[:-1]  # B tokens listed before a group's A tokens
     out = np.empty(len(a) + len(b), object)
-    place_a = np.arange(len(a)) + np.concatenate(([0], cut_b + 1))[group_a]
-    place_b = np.arange(len(b)) + (cut_a + 1)[group_b]
+    place_a = np.arange(len(a)) + np.repeat(before_a, np.diff(cut_a, prepend=-1))
+    place_b = np.arange(len(b)) + np.repeat(cut_a + 1, np.diff(cut_b, prepend=-1))
     out[place_a] = first.listed[","][a]
     out[place_b] = second.listed[","][b]
     out[place_a[cut_a]] = first.listed["|"][a[cut_a]]
     out[place_b[cut_b]] = second.listed[";"][b[cut_b]]
-    return "".join(out.tolist())[:-1]
+    return out
+
+
+def aligned_rows(texts: list[str], first_path: str, second_path: str) -> list[tuple | None]:
+    """(n_a, n_b, n_groups, n_links, sha256 of the groups, pairs, times) of each non-empty text; None if its tokens do not give back its bytes."""
+    encoder, first = _first(first_path)
+    model, second = _second(second_path)
+    ids_a, ids_b = encoder.encode(texts, " "), model.encode(texts, num_threads=1)
+    raw = [f" {t}".encode() for t in texts]
+    whole = [k for k, (x, y, r) in enumerate(zip(ids_a, ids_b, raw, strict=True)) if first.joined(x.tolist()) == r and second.joined(y) == r]
+    out: list[tuple | None] = [None] * len(texts)
+    if not whole:
+        return out
+    # the texts one after another: groups end with a text, as tokens of both do
+    a = np.concatenate([ids_a[k] for k in whole]).astype(np.int64)
+    b = np.array([y for k in whole for y in ids_b[k]], np.int64)
+    n_a, n_b = np.array([len(ids_a[k]) for k in whole]), np.array([len(ids_b[k]) for k in whole])
+    i, j, last, ends = align(a, b, first, second)
+    text_ends = np.cumsum([len(raw[k]) for k in whole])
+    owner = np.searchsorted(text_ends, ends)
+    n_links, n_groups = np.bincount(owner, minlength=len(whole)), np.bincount(owner[last], minlength=len(whole))
+    scale = len(first.tokens) * len(second.tokens)
+    pair, times = np.unique(owner * scale + a[i] * len(second.tokens) + b[j], return_counts=True)
+    cut = np.searchsorted(pair, np.arange(len(whole) + 1) * scale).tolist()
+    pair, times = pair % scale, times.astype(np.int32)
+    tokens = listed_tokens(a, b, i, j, last, first, second)
+    at = np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+    for m, k in enumerate(whole):
+        digest = hashlib.sha256("".join(tokens[at[m] : at[m + 1]].tolist())[:-1].encode()).hexdigest()
+        out[k] = (int(n_a[m]), int(n_b[m]), int(n_groups[m]), int(n_links[m]), digest, pair[cut[m] : cut[m + 1]], times[cut[m] : cut[m + 1]])
+    return out
 
 
 _ALIGNED = pa.schema(
@@ -93,24 +125,10 @@ _ALIGNED = pa.schema(
 
 def _aligned(first_path: str, second_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = _first(first_path)
-        model, second = _second(second_path)
-        width = len(second.tokens)
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = [f" {t}" for t in string_column(part, "text").to_pylist()]
-                rows = []
-                ids_a = encoder.encode(texts)
-                ids_b = model.encode([t[1:] for t in texts], num_threads=1)
-                for text, key, n, a, b in zip(texts, string_column(part, "text_key").to_pylist(), string_column(part, "n_docs").to_pylist(), ids_a, ids_b, strict=True):
-                    b = np.array(b, np.int64)
-                    raw = text.encode()
-                    if first.joined(a) != raw or second.joined(b) != raw:
-                        continue  # no tokens
-                    i, j, last = align(a, b, first, second)
-                    pair, times = np.unique(a[i].astype(np.int64) * width + b[j], return_counts=True)
-                    digest = hashlib.sha256(listing(a, b, i, j, last, first, second).encode()).hexdigest()
-                    rows.append((key, n, len(a), len(b), int(last.sum()), len(i), digest, pair, times.astype(np.int32)))
+                held = zip(*(string_column(part, c).to_pylist() for c in ("text_key", "n_docs")), aligned_rows(string_column(part, "text").to_pylist(), first_path, second_path), strict=True)
+                rows = [(key, n, *r) for key, n, r in held if r is not None]
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ALIGNED, strict=True)], schema=_ALIGNED)
 

@@ -88,12 +88,12 @@ class ChunkEncoder:
             return self._chunk(head, lead) + (self._library("\n") if self.glue else b"") + self._chunk(tail, "")
         return self._library(lead + chunk) if chunk else b""
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text. One that holds an added token's string is left to the library as a whole."""
+    def encode(self, texts: list[str], lead: str = "") -> list[np.ndarray]:
+        """uint32 ids of each text after ``lead``, nothing or a space. One that holds an added token's string is left to the library as a whole."""
         whole = {i for i, t in enumerate(texts) if self.added and self.added.search(t)}
         if whole:
-            ids = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
-            return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) if i in whole else next(ids) for i, t in enumerate(texts)]
+            ids = iter(self.encode([t for i, t in enumerate(texts) if i not in whole], lead))
+            return [np.array(self.tok.encode(lead + t, add_special_tokens=False).ids, np.uint32) if i in whole else next(ids) for i, t in enumerate(texts)]
         cut = [None if self.glue and RUN.search(t) else t.split(" ") for t in texts]
         distinct = set().union(*(c[1:] for c in cut if c))
         if len(self.known) > CACHE_CHUNKS:
@@ -104,7 +104,7 @@ class ChunkEncoder:
             known[c] = self._chunk(c, " ")
         out = []
         for text, c in zip(texts, cut, strict=True):
-            raw = self._runs(text) if c is None else b"".join([self._chunk(c[0], ""), *map(known.__getitem__, c[1:])])
+            raw = self._runs(lead + text) if c is None else b"".join([self._chunk(c[0], lead), *map(known.__getitem__, c[1:])])
             out.append(np.frombuffer(raw, np.uint32))
         return out
 
