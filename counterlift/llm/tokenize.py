@@ -1,7 +1,8 @@
-"""Token ids of whole texts by a public tokenizer, with a bounded cache of encoded chunks.
+"""Token ids of whole texts by a public tokenizer, with a bounded cache of encoded pieces.
 
-Both vocabularies never let a token cross a lone space, so a text is cut there, every distinct
-chunk is encoded once per worker by the tokenizers library, and the ids are strung together.
+A text of common Latin characters is cut into the pieces of the tokenizer's own pattern; every
+distinct piece is merged once per worker by the tokenizers library. Other texts are cut at lone
+spaces, which no token crosses, and each distinct chunk is encoded once.
 """
 
 from __future__ import annotations
@@ -14,6 +15,13 @@ import numpy as np
 
 CACHE_CHUNKS = 600_000  # encoded chunks that a worker keeps; then it starts anew
 
+# ASCII without control characters, and Latin-1 letters: here the tokenizers' patterns need no Unicode tables
+SIMPLE = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+# The patterns of the two vocabularies, on such texts
+GLUED = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+| ?[0-9]+| ?[^\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|\s+(?!\S)|\s+"
+)
+LOWER = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 # One word of Latin letters and ASCII marks after it: the library cuts it at that place and nowhere else
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 # White space next to white space, or at an end: a space may then belong to a run
@@ -47,6 +55,21 @@ def worker_encoder(path: str, glue: bool, plain: bool = False) -> ChunkEncoder:
     return ChunkEncoder(path, glue, plain)
 
 
+class Pieces(dict):
+    """Ids by piece, each merged when first asked for."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece[-1] > " ":
+            text = f"{SPACE}{piece[1:]}" if piece[0] == " " else piece
+        else:
+            text = piece.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        ids = self[piece] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return ids
+
+
 class ChunkEncoder:
     """Ids of texts. ``glue`` says that a space belongs to the chunk after it (byte-level BPE);
     otherwise white space is dropped by the tokenizer."""
@@ -57,18 +80,11 @@ class ChunkEncoder:
         added = [] if plain else [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
         self.known: dict[str, bytes] = {}  # chunks that follow a space
-        self.pieces: dict[str, bytes] = {}
-
-    def _merge(self, piece: str) -> bytes:
-        """Ids of a piece that holds no token border, in the byte-level alphabet."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if piece.isascii():
-                text = f"{SPACE}{piece[1:]}" if piece[0] == " " else piece
-            else:
-                text = piece.encode().decode("latin-1").translate(BYTE_ALPHABET)
-            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-        return ids
+        self.pieces = Pieces(self.model)
+
+    def _simple(self, text: str) -> bytes:
+        found = GLUED.findall(text) if self.glue else LOWER.findall(text.lower())
+        return b"".join(map(self.pieces.__getitem__, found))
 
     def _library(self, text: str) -> bytes:
         """The library's own steps: normalise, cut into pieces, merge each piece."""
@@ -81,8 +97,8 @@ class ChunkEncoder:
         plain = PLAIN.fullmatch(chunk)
         if plain:
             word, marks = plain.groups()
-            ids = self._merge(f"{lead}{word}" if self.glue else word.lower())
-            return ids + self._merge(marks) if marks else ids
+            ids = self.pieces[f"{lead}{word}" if self.glue else word.lower()]
+            return ids + self.pieces[marks] if marks else ids
         head, line, tail = chunk.partition("\n")
         if line and head and tail:
             return self._chunk(head, lead) + (self._library("\n") if self.glue else b"") + self._chunk(tail, "")
@@ -94,19 +110,19 @@ class ChunkEncoder:
         if whole:
             ids = iter(self.encode([t for i, t in enumerate(texts) if i not in whole], lead))
             return [np.array(self.tok.encode(lead + t, add_special_tokens=False).ids, np.uint32) if i in whole else next(ids) for i, t in enumerate(texts)]
-        cut = [None if self.glue and RUN.search(t) else t.split(" ") for t in texts]
-        distinct = set().union(*(c[1:] for c in cut if c))
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.pieces) > CACHE_CHUNKS:
             self.pieces.clear()
-            self.known = {c: self.known[c] for c in distinct & self.known.keys()}
-        known = self.known
-        for c in distinct - known.keys():
+        if len(self.known) > CACHE_CHUNKS:
+            self.known.clear()
+        return [np.frombuffer(self._simple(lead + t) if SIMPLE.fullmatch(t) else self._odd(t, lead), np.uint32) for t in texts]
+
+    def _odd(self, text: str, lead: str) -> bytes:
+        if self.glue and RUN.search(text):
+            return self._runs(lead + text)
+        chunks, known = text.split(" "), self.known
+        for c in set(chunks[1:]) - known.keys():
             known[c] = self._chunk(c, " ")
-        out = []
-        for text, c in zip(texts, cut, strict=True):
-            raw = self._runs(lead + text) if c is None else b"".join([self._chunk(c[0], lead), *map(known.__getitem__, c[1:])])
-            out.append(np.frombuffer(raw, np.uint32))
-        return out
+        return b"".join([self._chunk(chunks[0], lead), *map(known.__getitem__, chunks[1:])])
 
     def _runs(self, text: str) -> bytes:
         """A text with runs of white space: cut only at spaces between two other characters."""
