@@ -8,6 +8,7 @@ from counterlift.catalog import store_queries as q
 from counterlift.catalog.registry import query
 from counterlift.catalog.sql_views import VIEWS
 from counterlift.functions import pair_diff, random_key
+from counterlift.operators import campaign_matching as CM
 from counterlift.operators import effects as E
 from counterlift.operators import matching as M
 from counterlift.operators import store_sales as S
@@ -84,15 +85,15 @@ FROM area_pairs p JOIN (SELECT campaign_id, unnest(ut) AS test_store, unnest(uc)
 ON m.campaign_id = p.campaign_id AND m.test_store = p.test_store AND m.control_store = p.control_store"""
 
 
-def _sequential(order: str, body: str) -> str:
+def _sequential(order: str, body: str, pairs: str = "area_pairs") -> str:
     """Pairs taken one after another in ``order``, while both stores are free."""
     return f"""
 SELECT * FROM (
 WITH RECURSIVE ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY {order}) AS n FROM area_pairs),
+  SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY {order}) AS n FROM {pairs}),
 scan AS (
   SELECT campaign_id, CAST([] AS BIGINT[]) AS ut, CAST([] AS BIGINT[]) AS uc, CAST(0 AS BIGINT) AS n
-  FROM (SELECT DISTINCT campaign_id FROM area_pairs) k
+  FROM (SELECT DISTINCT campaign_id FROM {pairs}) k
   UNION ALL
   SELECT campaign_id, list_append(any_value(ut), t), list_append(any_value(uc), c), n FROM (
     SELECT s.campaign_id, s.ut, s.uc, p.n, p.test_store AS t, p.control_store AS c,
@@ -111,6 +112,8 @@ FROM final f JOIN ranked p ON p.campaign_id = f.campaign_id AND p.test_store = f
  AND p.control_store = f.control_store"""
 _GLOBAL = _sequential("abs_perc_diff, test_store, control_store", _PAIRS_BODY)
 _INPUT_ORDER = "md5(concat_ws('|', campaign_id, CAST(test_store AS VARCHAR), CAST(control_store AS VARCHAR), 'file')), test_store"
+_CAMPAIGN = _sequential("abs_perc_diff, test_store, control_store", _PAIRS_BODY,
+                        "(SELECT * FROM all_pairs WHERE abs_perc_diff IS NOT NULL)")
 _GREEDY = _sequential(_INPUT_ORDER, _PAIRS_BODY)
 del VIEWS["global_pairs"]
 
@@ -130,7 +133,7 @@ def weekly_baseline(r):
 
 
 def nearest(r):
-    return M.nearest_control_grid(features(r))
+    return CM.nearest_control_of_all(features(r))
 
 
 def matched(r):
@@ -214,6 +217,18 @@ def _(r):
     return M.total_difference(M.global_match(area_pairs(r)))
 
 
+@query("campaign_matching", _CAMPAIGN, ratio="abs_perc_diff")
+def _(r):
+    return CM.match_campaigns(features(r))
+
+
+@query("campaign_total_difference", f"""
+SELECT campaign_id, count(*) AS n_pairs, sum(abs_perc_diff) AS total_difference FROM ({_CAMPAIGN}) g GROUP BY 1""",
+       ratio="total_difference")
+def _(r):
+    return M.total_difference(CM.match_campaigns(features(r)))
+
+
 # the stores that turned out to carry the media: planned ones and every 7th control
 VIEWS["ran_stores"] = """
 SELECT campaign_id, site FROM features WHERE (test_or_control = 'Test') <> (site % 7 = 0)"""
@@ -270,6 +285,27 @@ def _(r):
     return M.correlation_pairs(q.weekly(r), r.campaign_stores, r.sites)
 
 
+VIEWS["unlike_pairs"] = """
+SELECT t.campaign_id, t.site AS test_store, c.site AS control_store,
+       round(1 - list_dot_product(t.u, c.u), 9) AS abs_perc_diff
+FROM unit_series t JOIN unit_series c ON c.campaign_id = t.campaign_id
+JOIN campaign_stores a ON a.campaign_id = t.campaign_id AND a.site = t.site
+LEFT JOIN campaign_stores b ON b.campaign_id = c.campaign_id AND b.site = c.site WHERE b.site IS NULL"""
+VIEWS["unit_series"] = """
+SELECT campaign_id, site, list_transform(d, lambda x: x / sqrt(list_dot_product(d, d))) AS u FROM (
+  SELECT campaign_id, site, list(CAST(v - mu AS DOUBLE) ORDER BY sales_week) AS d FROM dense_series GROUP BY 1, 2) s
+WHERE list_dot_product(d, d) > 0"""
+_CORRELATION = _sequential("abs_perc_diff, test_store, control_store", """
+SELECT p.campaign_id, p.test_store, p.control_store, 1 - p.abs_perc_diff AS corr
+FROM final f JOIN ranked p ON p.campaign_id = f.campaign_id AND p.test_store = f.test_store
+ AND p.control_store = f.control_store""", "unlike_pairs")
+
+
+@query("correlation_matching", _CORRELATION, ratio="corr")
+def _(r):
+    return CM.match_on_correlation(q.weekly(r), r.campaign_stores)
+
+
 @query("did_effect", "SELECT * FROM did", money="test_raw_uplift control_raw_uplift raw_uplift_effect "
        "test_stddev_sales_amount control_stddev_sales_amount",
        ratio="abs_perc_diff test_perc_uplift control_perc_uplift perc_uplift_effect")

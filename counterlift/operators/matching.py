@@ -52,8 +52,8 @@ def candidate_pairs(features: DataFrame, block: Sequence[str] = (), equal_weeks:
     """Every test x control pair that shares the campaign and the block columns.
 
     The listing is quadratic in the block, so ``block`` should name something of
-    bounded size (a trading area).  Use ``nearest_control_grid`` where only the
-    best partner of each store is wanted.
+    bounded size (a trading area).  Use ``campaign_matching`` where only the best
+    partner of each store, or one-to-one pairs, are wanted.
     """
     keys = [K, *block] + (["weeks_count"] if equal_weeks else [])
     test = features.filter(F.col("test_or_control") == "Test").select(
@@ -82,79 +82,6 @@ def nearest_control(pairs: DataFrame) -> DataFrame:
     )
 
 
-def nearest_control_grid(features: DataFrame, growth: float = 4.0) -> DataFrame:
-    """``nearest_control`` over whole campaigns without listing their pairs.
-
-    A distance of at most ``r`` forces the logarithms of both means and of both
-    deviations to lie within ``w = -ln(1 - r)`` of each other.  Stores are hashed
-    to cells of width ``w`` in that plane and each test looks at its cell and the
-    eight around it; a best distance of at most ``r`` is then the true minimum.
-    Tests without such a hit go on with a larger radius, and those that no finite
-    radius below one settles are compared with their whole campaign.  Stores with
-    equal coordinates are collapsed to the lowest site first, so a hot cell of
-    copies costs one row.
-    """
-    known = cut_lineage(features.filter(F.col("mean").isNotNull() & F.col("std").isNotNull()))
-    tests = known.filter(F.col("test_or_control") == "Test").select(
-        K, F.col("site").alias("test_store"), F.col("mean").alias("tm"), F.col("std").alias("ts")
-    )
-    controls = cut_lineage(
-        known.filter((F.col("test_or_control") == "Control") & (F.col("mean") != 0) & (F.col("std") != 0))
-        .groupBy(K, F.col("mean").alias("cm"), F.col("std").alias("cs"))
-        .agg(F.min("site").alias("control_store"))
-    )
-    radius = F.greatest(F.lit(1e-4), F.least(F.lit(0.25), 0.25 / F.sqrt(F.col("n"))))
-    start = controls.groupBy(K).agg(F.count(F.lit(1)).alias("n")).select(K, radius.alias("r"))
-    pending = cut_lineage(tests.groupBy(K, "tm", "ts").agg(F.min("test_store").alias("rep")).join(start, K))
-    points = pending.select(K, "tm", "ts", "rep")
-    grid_controls = controls.filter((F.col("cm") > 0) & (F.col("cs") > 0))
-    found: DataFrame | None = None
-    best = F.min(F.struct(distance("tm", "ts", "cm", "cs").alias("d"), "control_store")).alias("b")
-    widest = 0.9
-
-    def cells(df: DataFrame, m: str, s: str, spread: int) -> DataFrame:
-        w = -F.log1p(-F.col("r"))
-        steps = F.array(*[F.lit(i) for i in range(-spread, spread + 1)])
-        out = df.withColumns({"gx": F.floor(F.log(m) / w), "gy": F.floor(F.log(s) / w)})
-        if spread:
-            out = out.withColumn("gx", F.explode(F.transform(steps, lambda i: F.col("gx") + i)))
-            out = out.withColumn("gy", F.explode(F.transform(steps, lambda i: F.col("gy") + i)))
-        return out
-
-    while True:
-        usable = (F.col("tm") > 0) & (F.col("ts") > 0) & (F.col("r") <= widest)
-        left = pending.agg(F.count(F.lit(1)).alias("all"), F.count_if(usable).alias("grid")).first()
-        if left["all"] == 0:
-            break
-        if left["grid"] == 0:
-            scored = pending.join(controls, K).groupBy(K, "rep").agg(best)
-            last = scored.select(K, "rep", "b.d", "b.control_store")
-            found = last if found is None else found.unionByName(last)
-            break
-        in_grid = pending.filter(usable)
-        radii = in_grid.select(K, "r").distinct()
-        near = cells(in_grid, "tm", "ts", 1).join(
-            cells(grid_controls.join(radii, K), "cm", "cs", 0), [K, "r", "gx", "gy"]
-        )
-        scored = cut_lineage(
-            pending.join(near.groupBy(K, "rep").agg(best), [K, "rep"], "left")
-        )
-        settled = scored.filter(F.col("b.d") <= F.col("r"))
-        hits = settled.select(K, "rep", "b.d", "b.control_store")
-        found = hits if found is None else found.unionByName(hits)
-        step = F.when(F.col("r") < widest, F.least(F.lit(widest), F.col("r") * growth)).otherwise(F.lit(1.0))
-        pending = scored.filter(F.col("b").isNull() | (F.col("b.d") > F.col("r"))).select(
-            K, "tm", "ts", "rep", step.alias("r")
-        )
-    if found is None:
-        found = pending.select(K, "rep", F.lit(0.0).alias("d"), F.col("rep").alias("control_store"))
-    return (
-        tests.join(points, [K, "tm", "ts"])
-        .join(found, [K, "rep"])
-        .select(K, "test_store", "control_store", F.col("d").alias("abs_perc_diff"))
-    )
-
-
 def two_pass_unique(nearest: DataFrame) -> DataFrame:
     """Of the tests that chose the same control the closest one keeps it."""
     best = F.min(F.struct("abs_perc_diff", "test_store")).alias("b")
@@ -176,50 +103,42 @@ def min_matched(matched: DataFrame, features: DataFrame, threshold: int = 50) ->
     return got.filter(F.col("test_stores_matched") >= threshold).join(available, K)
 
 
-def _one_to_one(edges: DataFrame, max_rounds: int) -> DataFrame:
+def _one_to_one(edges: DataFrame) -> DataFrame:
     """Sequential free-to-free matching in weight order, computed in parallel rounds.
 
     An edge that is the lightest at both of its ends is what the sequential scan
     would take, whatever happens elsewhere; taking all such edges at once and
-    removing their stores leaves the same problem again.  Ties are ordered by
-    test, then control, so the result is unique.
+    removing their stores leaves the same problem again, until none is left.  Ties
+    are ordered by test, then control, so the result is unique.
     """
     remaining = cut_lineage(edges)
     taken: DataFrame | None = None
-    lightest = F.min(F.struct("w", "test_store", "control_store")).alias("e")
-    for _ in range(max_rounds):
-        if remaining.isEmpty():
-            break
+    lightest = F.min(F.struct("w", "test_store", "control_store", "abs_perc_diff")).alias("e")
+    while taken is None or not remaining.isEmpty():
         by_test = remaining.groupBy(K, "test_store").agg(lightest).select(K, "e")
         by_control = remaining.groupBy(K, "control_store").agg(lightest).select(K, "e")
-        chosen = cut_lineage(by_test.join(by_control, [K, "e"]).select(K, "e.test_store", "e.control_store"))
+        chosen = cut_lineage(by_test.join(by_control, [K, "e"]).select(K, "e.test_store", "e.control_store", "e.abs_perc_diff"))
         taken = chosen if taken is None else taken.unionByName(chosen)
         remaining = cut_lineage(
             remaining.join(chosen.select(K, "test_store"), [K, "test_store"], "left_anti").join(
                 chosen.select(K, "control_store"), [K, "control_store"], "left_anti"
             )
         )
-    if not remaining.isEmpty():
-        raise RuntimeError(f"matching not finished after {max_rounds} rounds")
-    if taken is None:
-        taken = remaining.select(*PAIR)
     return taken
 
 
-def global_match(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """One-to-one pairs taken by increasing distance."""
-    edges = pairs.select(*PAIR, F.col("abs_perc_diff").alias("w"))
-    return _one_to_one(edges, max_rounds).join(pairs.select(*PAIR, "abs_perc_diff"), list(PAIR))
+def global_match(pairs: DataFrame) -> DataFrame:
+    """One-to-one pairs taken by increasing distance from a given pair list."""
+    return _one_to_one(pairs.select(*PAIR, "abs_perc_diff", F.col("abs_perc_diff").alias("w")))
 
 
-def greedy_match(pairs: DataFrame, order_col: str, max_rounds: int = 1000) -> DataFrame:
+def greedy_match(pairs: DataFrame, order_col: str) -> DataFrame:
     """One-to-one pairs taken in input order.
 
     The number of rounds follows the longest chain of dependent choices: short
     for shuffled input, up to the number of test stores for input sorted by store.
     """
-    edges = pairs.select(*PAIR, F.col(order_col).alias("w"))
-    return _one_to_one(edges, max_rounds).join(pairs.select(*PAIR, "abs_perc_diff"), list(PAIR))
+    return _one_to_one(pairs.select(*PAIR, "abs_perc_diff", F.col(order_col).alias("w")))
 
 
 def total_difference(matched: DataFrame) -> DataFrame:

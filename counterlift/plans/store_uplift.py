@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from counterlift.operators import effects, matching, store_sales
+from counterlift.operators import campaign_matching, effects, matching, store_sales
 from counterlift.session import cut_lineage
 
 
@@ -34,7 +34,7 @@ def store_uplift(
     baseline = cut_lineage(store_sales.baseline_stats(weekly))
     during = cut_lineage(store_sales.campaign_sales(sales, campaigns, skus, stores))
     features = matching.match_features(baseline, stores, options.history_divisor)
-    matched = cut_lineage(matching.two_pass_unique(matching.nearest_control_grid(features)))
+    matched = cut_lineage(matching.two_pass_unique(campaign_matching.nearest_control_of_all(features)))
     enough = matching.min_matched(matched, features, options.min_matched_stores)
     kept = matched.join(enough.select("campaign_id"), "campaign_id", "left_semi")
     z = effects.sales_z(kept, during, baseline, options.history_divisor)

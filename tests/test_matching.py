@@ -5,6 +5,7 @@ import random
 import pytest
 
 from counterlift.operators import matching as M
+from counterlift.operators.campaign_matching import nearest_control_of_all
 
 PAIRS = "campaign_id string, test_store long, control_store long, abs_perc_diff double"
 FEATS = "campaign_id string, site long, mean double, std double, test_or_control string, weeks_count long"
@@ -52,9 +53,11 @@ def test_greedy_follows_input_order(spark):
     assert got == sequential(rows, key=lambda r: at[r])
 
 
-def test_round_cap_fails_loudly(spark):
-    with pytest.raises(RuntimeError):
-        M.global_match(spark.createDataFrame(graph(4), PAIRS), max_rounds=1)
+def test_a_long_chain_of_choices_ends(spark):
+    rows = [("A", i, 100 + j, float(i + j)) for i in range(25) for j in (i, i + 1)]
+    got = {(r.campaign_id, r.test_store, r.control_store) for r in M.global_match(spark.createDataFrame(rows, PAIRS)).collect()}
+    assert got == sequential(rows, key=lambda r: (r[3], r[1], r[2]))
+    assert M.global_match(spark.createDataFrame([], PAIRS)).collect() == []
 
 
 def test_grid_equals_all_pairs(spark):
@@ -78,7 +81,7 @@ def test_grid_equals_all_pairs(spark):
     key = ["campaign_id", "test_store", "control_store"]
     brute = M.nearest_control(M.pair_distance(M.candidate_pairs(feats)).select(*key, "abs_perc_diff"))
     want = {tuple(r[c] for c in key) for r in brute.collect()}
-    got = M.nearest_control_grid(feats).collect()
+    got = nearest_control_of_all(feats).collect()
     assert {tuple(r[c] for c in key) for r in got} == want
     assert len(got) == len(want)
 
