@@ -382,16 +382,16 @@ SELECT booking_id, cluster, cohort, crn FROM (
   JOIN c_counts k ON k.booking_id = p.booking_id AND k.cluster = p.cluster AND k.cohort = p.cohort
   JOIN (SELECT booking_id, count(DISTINCT crn) AS total FROM clustered GROUP BY 1) t ON t.booking_id = p.booking_id) x
 WHERE n <= size"""
-VIEWS["sampled"] = _SAMPLE.format(cap=6000)
+VIEWS["people"] = "SELECT DISTINCT booking_id, cluster, cohort, crn FROM clustered"
 _DIFFS = ", ".join(f"abs(u.{f} - e.{f}) AS {f}_diff" for f in P.FEATURES)
 _RANKS = " + ".join(
     f"row_number() OVER (PARTITION BY booking_id, cluster, crn ORDER BY {f}_diff, candidate)" for f in P.FEATURES)
 VIEWS["pair_ranks"] = f"""
 SELECT *, CAST({_RANKS} AS BIGINT) AS sum_of_diff_ranks FROM (
   SELECT e.booking_id, e.cluster, e.crn, u.crn AS candidate, {_DIFFS}
-  FROM (SELECT f.*, s.cluster FROM sampled s JOIN feats f ON f.booking_id = s.booking_id AND f.crn = s.crn
+  FROM (SELECT f.*, s.cluster FROM people s JOIN feats f ON f.booking_id = s.booking_id AND f.crn = s.crn
         AND f.cohort = s.cohort WHERE s.cohort = 'Exposed') e
-  JOIN (SELECT f.*, s.cluster FROM sampled s JOIN feats f ON f.booking_id = s.booking_id AND f.crn = s.crn
+  JOIN (SELECT f.*, s.cluster FROM people s JOIN feats f ON f.booking_id = s.booking_id AND f.crn = s.crn
         AND f.cohort = s.cohort WHERE s.cohort = 'Not Exposed') u
   ON u.booking_id = e.booking_id AND u.cluster = e.cluster AND u.crn <> e.crn) x"""
 VIEWS["shopper_matches"] = """
@@ -426,7 +426,7 @@ FROM (SELECT u.*, t.total_exposed_shoppers, h.sampled_exposed_shoppers, h.sample
     ON t.booking_id = u.booking_id
   LEFT JOIN (SELECT h.booking_id, count(DISTINCT h.crn) AS sampled_exposed_shoppers,
                     count(DISTINCT CASE WHEN converted = 1 THEN h.crn END) AS sampled_converted_shoppers
-             FROM history h JOIN (SELECT DISTINCT booking_id, crn FROM sampled) s
+             FROM history h JOIN (SELECT DISTINCT booking_id, crn FROM people) s
                ON s.booking_id = h.booking_id AND s.crn = h.crn WHERE h.cohort = 'Exposed' GROUP BY 1) h
     ON h.booking_id = u.booking_id
   LEFT JOIN (SELECT booking_id, count(DISTINCT converted_crn) AS converted_exposed_sku FROM sku_conv
@@ -474,12 +474,12 @@ def clustered(r):
     return feats(r).withColumn("cluster", F.least("total_orders_brand", F.lit(9.0)).cast("long") + 1)
 
 
-def sampled(r):
-    return r.stage("sampled", lambda: P.cap_sample(clustered(r)))
+def people(r):
+    return r.stage("people", lambda: clustered(r).select("booking_id", "cluster", "cohort", "crn").distinct())
 
 
 def matches(r):
-    return r.stage("matches", lambda: P.rank_match(sampled(r), feats(r)))
+    return r.stage("matches", lambda: P.rank_match(people(r), feats(r)))
 
 
 def uplift(r):
@@ -487,7 +487,7 @@ def uplift(r):
 
 
 def camp_up(r):
-    return P.campaign_uplift(uplift(r), test_control(r), history(r), sampled(r), sku_conv(r), brand_conv(r))
+    return P.campaign_uplift(uplift(r), test_control(r), history(r), people(r), sku_conv(r), brand_conv(r))
 
 
 def profile(r):
@@ -547,9 +547,9 @@ def _(r):
 SELECT booking_id, cluster, count(CASE WHEN cohort = 'Exposed' THEN 1 END) AS n_exposed,
        count(CASE WHEN cohort = 'Not Exposed' THEN 1 END) AS n_not_exposed,
        count(CASE WHEN cohort = 'Exposed' THEN 1 END) * count(CASE WHEN cohort = 'Not Exposed' THEN 1 END) AS n_pairs
-FROM sampled GROUP BY 1, 2""")
+FROM people GROUP BY 1, 2""")
 def _(r):
-    return P.within_cluster_pair_counts(sampled(r))
+    return P.within_cluster_pair_counts(people(r))
 
 
 @query("best_shopper_match", "SELECT * FROM shopper_matches",
@@ -614,6 +614,6 @@ def _(r):
 
 @query("cluster_balance", """
 SELECT booking_id, cluster, count(DISTINCT CASE WHEN cohort = 'Exposed' THEN crn END) AS n_exposed,
-       count(DISTINCT CASE WHEN cohort = 'Not Exposed' THEN crn END) AS n_not_exposed FROM sampled GROUP BY 1, 2""")
+       count(DISTINCT CASE WHEN cohort = 'Not Exposed' THEN crn END) AS n_not_exposed FROM people GROUP BY 1, 2""")
 def _(r):
-    return P.cluster_balance(sampled(r)).fillna(0, ["n_exposed", "n_not_exposed"])
+    return P.cluster_balance(people(r)).fillna(0, ["n_exposed", "n_not_exposed"])

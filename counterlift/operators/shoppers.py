@@ -134,10 +134,10 @@ def cap_sample(clustered: DataFrame, cap: int = 6000, seed: str = "sample") -> D
     )
 
 
-def within_cluster_pair_counts(sample: DataFrame) -> DataFrame:
+def within_cluster_pair_counts(people: DataFrame) -> DataFrame:
     """Size of the exposed x not exposed comparison of each cluster, without listing it."""
     return (
-        sample.groupBy("booking_id", "cluster")
+        people.groupBy("booking_id", "cluster")
         .agg(
             F.count_if(F.col("cohort") == "Exposed").alias("n_exposed"),
             F.count_if(F.col("cohort") == "Not Exposed").alias("n_not_exposed"),
@@ -147,43 +147,100 @@ def within_cluster_pair_counts(sample: DataFrame) -> DataFrame:
 
 
 _MATCH_SCHEMA = (
-    "booking_id string, cluster long, crn string, candidate string, sum_of_diff_ranks long, "
+    "booking_id string, cluster long, place string, candidate string, sum_of_diff_ranks long, "
     + ", ".join(f"{f}_diff double" for f in FEATURES)
 )
 
 
-def _rank_match(exposed: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-    """Candidate with the lowest sum of the eight difference ranks, per exposed row."""
+class RankedCandidates:
+    """The candidates of one cluster as a sorted list per feature, about 160 bytes each.
+
+    ``best`` finds the one whose ranks by the absolute difference to a point, summed over the
+    features, are lowest, without ranking all: the nearest of every list are ranked first, and the
+    search ends when those not yet seen in any list must have a larger sum.
+    """
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        """``ids`` ascending; ``values`` candidates x features."""
+        self.ids, self.values = ids, values
+        self.order = [np.argsort(v, kind="stable") for v in values.T]
+        self.sorted = [v[o] for v, o in zip(values.T, self.order, strict=True)]
+
+    def _ranks(self, j: int, rows: np.ndarray, at: int, below: np.ndarray, above: np.ndarray, x: float) -> np.ndarray:
+        """Ranks of some candidates in list ``j`` by difference, then id: bisection on either side of the point."""
+        d = np.abs(self.values[rows, j] - x)
+        lo_a, hi_a = np.searchsorted(above, d, "left"), np.searchsorted(above, d, "right")
+        lo_b, hi_b = np.searchsorted(below, d, "left"), np.searchsorted(below, d, "right")
+        rank = lo_a + lo_b + 1
+        tied = np.flatnonzero(hi_a - lo_a + hi_b - lo_b > 1)
+        if len(tied):
+            order = self.order[j]
+            _, one, group = np.unique(d[tied], return_index=True, return_inverse=True)
+            for k, first in enumerate(tied[one].tolist()):
+                same = np.concatenate((order[at + lo_a[first] : at + hi_a[first]], order[at - hi_b[first] : at - lo_b[first]]))
+                mine = tied[group == k]
+                rank[mine] += np.searchsorted(np.sort(same), rows[mine])
+        return rank
+
+    def best(self, point: np.ndarray) -> tuple[int, int]:
+        """(candidate, sum of ranks); of equal sums the lower id."""
+        n, lists = len(self.ids), []
+        for v, x in zip(self.sorted, point.tolist(), strict=True):
+            at = int(np.searchsorted(v, x, "left"))
+            lists.append((at, x - v[:at][::-1], v[at:] - x))
+        seen = np.zeros(n, bool)
+        least, found, depth = np.iinfo(np.int64).max, -1, 32
+        while True:
+            bound, near = 0, []
+            for (at, below, above), order in zip(lists, self.order, strict=True):
+                a, b = min(depth, len(below)), min(depth, len(above))
+                edge = min(below[a] if a < len(below) else np.inf, above[b] if b < len(above) else np.inf)
+                near.append(order[at - a : at + b])
+                # whoever is outside has at least the difference ``edge``
+                bound += 1 + int(np.searchsorted(below, edge, "left") + np.searchsorted(above, edge, "left")) if edge < np.inf else n + 1
+            rows = np.unique(np.concatenate(near))
+            rows = rows[~seen[rows]]
+            seen[rows] = True
+            total = np.zeros(len(rows), np.int64)
+            for j, (at, below, above) in enumerate(lists):
+                total += self._ranks(j, rows, at, below, above, float(point[j]))
+                keep = total + len(lists) - 1 - j <= least
+                rows, total = rows[keep], total[keep]
+            if len(rows):
+                k = int(np.lexsort((rows, total))[0])
+                if (total[k], rows[k]) < (least, found if found >= 0 else n):
+                    least, found = int(total[k]), int(rows[k])
+            if bound > least or depth >= n:
+                return found, least
+            depth *= 4
+
+
+def _rank_match(places: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    """Candidate with the lowest sum of the eight difference ranks, for every place of a chunk."""
     candidates = candidates.sort_values("crn", kind="stable")
-    ids = candidates["crn"].to_numpy(dtype=object)
-    values = candidates[FEATURES].to_numpy(dtype=float)
-    mine = exposed[FEATURES].to_numpy(dtype=float)
-    own_ids = exposed["crn"].to_numpy(dtype=object)
-    n = len(ids)
-    positions = np.arange(1, n + 1)
+    ids, values = candidates["crn"].to_numpy(dtype=object), candidates[FEATURES].to_numpy(dtype=float)
+    every = RankedCandidates(ids, values)
+    points, own = places[FEATURES].to_numpy(dtype=float), places["own"].to_numpy(dtype=object)
     kept, chosen, sums, diffs = [], [], [], []
-    for i in range(len(own_ids)):
-        usable = ids != own_ids[i]
-        if not usable.any():
+    for i, point in enumerate(points):
+        pool = every
+        if own[i] is not None:  # a shopper of both cohorts is no candidate for itself
+            others = ids != own[i]
+            pool = RankedCandidates(ids[others], values[others])
+        if not len(pool.ids):
             continue
-        diff = np.abs(values - mine[i])
-        total = np.zeros(n, dtype=np.int64)
-        for j in range(len(FEATURES)):
-            ranks = np.empty(n, dtype=np.int64)
-            ranks[np.argsort(np.where(usable, diff[:, j], np.inf), kind="stable")] = positions
-            total += ranks
-        best = int(np.argmin(np.where(usable, total, np.iinfo(np.int64).max)))
+        best, total = pool.best(point)
         kept.append(i)
-        chosen.append(ids[best])
-        sums.append(int(total[best]))
-        diffs.append(diff[best])
-    picked = exposed.iloc[kept]
+        chosen.append(pool.ids[best])
+        sums.append(total)
+        diffs.append(np.abs(pool.values[best] - point))
+    picked = places.iloc[kept]
     table = np.array(diffs, dtype=float).reshape(len(kept), len(FEATURES))
     return pd.DataFrame(
         {
             "booking_id": pd.Series(picked["booking_id"].to_numpy(dtype=object), dtype=object),
             "cluster": picked["cluster"].to_numpy(dtype=np.int64),
-            "crn": pd.Series(own_ids[kept] if kept else [], dtype=object),
+            "place": pd.Series(picked["place"].to_numpy(dtype=object), dtype=object),
             "candidate": pd.Series(chosen, dtype=object),
             "sum_of_diff_ranks": np.array(sums, dtype=np.int64),
             **{f"{f}_diff": table[:, j] for j, f in enumerate(FEATURES)},
@@ -191,38 +248,34 @@ def _rank_match(exposed: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame
     )
 
 
-def rank_match(sample: DataFrame, feats: DataFrame, cap: int = 6000, chunk_rows: int = 500) -> DataFrame:
-    """Best not exposed shopper of each exposed one inside its cluster.
+def rank_match(people: DataFrame, feats: DataFrame, chunk_rows: int = 2000) -> DataFrame:
+    """Best not exposed shopper of each exposed one inside its cluster, over all shoppers.
 
     Each of the eight absolute differences is ranked among the candidates (ties by
-    id) and the ranks are summed.  The candidates of a cluster are at most ``cap``
-    by the sampling step, which is checked; the exposed are split into groups of
-    about ``chunk_rows`` and each group meets one copy of the candidates, so pairs
-    exist only as one vector at a time inside a task and are never shuffled.
+    id) and the ranks are summed; of equal sums the lower id is chosen.  Exposed shoppers with equal
+    features stand at one place, which is searched once.  The places of a cluster are dealt to chunks of about
+    ``chunk_rows``; each chunk meets the cluster's candidates as sorted lists of about 160 bytes
+    a candidate, whatever their number.
     """
-    rows = sample.join(feats, KEY).select("booking_id", F.col("cluster").cast("long"), "crn", "cohort", *FEATURES)
-    sizes = rows.groupBy("booking_id", "cluster").agg(
-        F.count_if(F.col("cohort") == "Exposed").alias("n_exposed"),
-        F.count_if(F.col("cohort") == "Not Exposed").alias("n_candidates"),
+    rows = cut_lineage(people.join(feats, KEY).select("booking_id", F.col("cluster").cast("long"), "crn", "cohort", *FEATURES))
+    cluster = ["booking_id", "cluster"]
+    candidates = rows.filter(F.col("cohort") == "Not Exposed").drop("cohort")
+    both = candidates.select(*cluster, "crn").withColumn("own", F.col("crn"))
+    place = F.sha2(F.concat_ws("|", *[F.col(f).cast("string") for f in FEATURES], "own"), 256)
+    exposed = rows.filter(F.col("cohort") == "Exposed").drop("cohort").join(both, [*cluster, "crn"], "left").withColumn("place", place)
+    places = exposed.groupBy(*cluster, "place").agg(F.min("own").alias("own"), *[F.min(f).alias(f) for f in FEATURES])
+    places = cut_lineage(places)
+    chunks = places.groupBy(*cluster).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
+    asked = places.join(chunks, cluster).withColumn("chunk", F.pmod(F.xxhash64("place"), F.col("chunks").cast("long")).cast("int")).drop("chunks")
+    met = candidates.join(chunks, cluster).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    # fresh column ids: both sides come from one stage table
+    met = met.toDF(*met.columns)
+    keys = [*cluster, "chunk"]
+    found = asked.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInPandas(
+        lambda left, right: _rank_match(left[["booking_id", "cluster", "place", "own", *FEATURES]], right), _MATCH_SCHEMA
     )
-    within = F.assert_true(F.col("n_candidates") <= cap, F.lit("candidates exceed the sampling cap"))
-    # assert_true yields NULL when it holds, so the fallback carries the value
-    groups = sizes.select(
-        "booking_id", "cluster",
-        F.coalesce(within.cast("int"), F.ceil(F.col("n_exposed") / chunk_rows).cast("int")).alias("chunks"),
-    ).filter(F.col("chunks") > 0)
-    split = rows.join(groups, ["booking_id", "cluster"])
-    exposed = split.filter(F.col("cohort") == "Exposed").withColumn(
-        "chunk", F.pmod(F.xxhash64("crn"), F.col("chunks").cast("long")).cast("int")
-    ).drop("cohort", "chunks")
-    candidates = split.filter(F.col("cohort") == "Not Exposed").withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    ).drop("cohort", "chunks")
-    # fresh column ids: both sides may come from one stage table
-    candidates = candidates.toDF(*candidates.columns)
-    keys = ["booking_id", "cluster", "chunk"]
-    return exposed.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(
-        lambda left, right: _rank_match(left[["booking_id", "cluster", "crn", *FEATURES]], right), _MATCH_SCHEMA
+    return exposed.select(*cluster, "place", "crn").join(found, [*cluster, "place"]).select(
+        *cluster, "crn", "candidate", "sum_of_diff_ranks", *[f"{f}_diff" for f in FEATURES]
     )
 
 
