@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterlift.llm.registry import query, table
-from counterlift.llm.textarrays import _MULT, U64, Words, mix, slices, string_column
+from counterlift.llm.textarrays import _MULT, U64, Words, mix, slices, string_column, gives_back
 
 STRIDE = 4
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 16, 2
@@ -284,7 +284,7 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, least: float = 0.7
     schema = "doc_id long, item_id long, start_word long, similarity double"
     out = None
     for index in _indexes(benchmark):
-        hits = d.mapInArrow(_search(spark.sparkContext.broadcast(index), least), schema)
+        hits = d.mapInArrow(gives_back(_search(spark.sparkContext.broadcast(index), least)), schema)
         out = hits if out is None else out.union(hits)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -298,7 +298,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, least: float = 0.75)
     out = docs.withColumn("text", F.col("text").cast("string"))
     schema = out.schema
     for index in _indexes(benchmark):
-        out = out.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(index), least), schema)
+        out = out.mapInArrow(gives_back(_without(docs.sparkSession.sparkContext.broadcast(index), least)), schema)
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterlift.llm.registry import query, table
-from counterlift.llm.textarrays import slices, string_column
+from counterlift.llm.textarrays import slices, string_column, gives_back
 from counterlift.llm.tokenize import worker_encoder
 
 CAPACITY = 4096
@@ -121,10 +121,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, glue: bool = F
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = d.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
     groups = max(1, -(-int(held) // GROUP_BYTES))
-    pieces = d.mapInArrow(_pieces(vocabulary, end_id, glue, capacity), "doc_id long, piece long, start long, length long, ids binary")
+    pieces = d.mapInArrow(gives_back(_pieces(vocabulary, end_id, glue, capacity)), "doc_id long, piece long, start long, length long, ids binary")
     placed = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     dealt = placed.repartition(groups, "grp").sortWithinPartitions("grp", "doc_id", "piece", "ids")
-    return dealt.mapInArrow(_pack(capacity, most), _PACKED)
+    return dealt.mapInArrow(gives_back(_pack(capacity, most)), _PACKED)
 
 
 @query("op8_best_fit_packing")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from counterlift.llm import crf
 from counterlift.llm.registry import query, table
-from counterlift.llm.textarrays import _MULT, U64, Words, mix, slices, string_column
+from counterlift.llm.textarrays import _MULT, U64, Words, mix, slices, string_column, gives_back
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS = 4000  # rows of the labelled table that a fit takes at most
@@ -326,7 +326,7 @@ def find_pii(docs: DataFrame, model: crf.Chain) -> DataFrame:
     d = docs.drop("base", "spans", "masked").withColumn("text", F.col("text").cast("string"))
     shared = d.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields) + ", base string, spans string, masked string"
-    return d.mapInArrow(_find(shared), schema)
+    return d.mapInArrow(gives_back(_find(shared)), schema)
 
 
 @query("op5_pii_crf")

@@ -6,7 +6,10 @@ range comes from one prefix sum, so no Python loop runs over words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,25 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that hands free memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which a Python worker that lives on returns the memory it no longer uses."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _trim() is not None:
+            _trim()(0)
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; works on a copy and wraps silently."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

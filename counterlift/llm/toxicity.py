@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from counterlift.llm import crf
 from counterlift.llm.registry import query, table
-from counterlift.llm.textarrays import _MULT, U64, Words, mix, slices, string_column
+from counterlift.llm.textarrays import _MULT, U64, Words, mix, slices, string_column, gives_back
 
 TOXIC_ROWS, CLEAN_ROWS = 1000, 4000  # the bounded training sample, by smallest hash of the id
 FIT_BYTES = 16 << 20  # characters of the sample of each label that the fit reads at most
@@ -191,7 +191,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> crf.Chain:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     sample = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     ordered = sample.withColumn("h", order).repartition(1).sortWithinPartitions("h", "doc_id").select("text", "toxic")
-    made = ordered.mapInArrow(_fit_in_task, "model binary").first()
+    made = ordered.mapInArrow(gives_back(_fit_in_task), "model binary").first()
     return pickle.loads(made[0]) if made else fit([], np.zeros(0, int))
 
 
@@ -205,7 +205,7 @@ def toxic_scores(docs: DataFrame, model: crf.Chain) -> DataFrame:
     d = docs.drop("score", "spans").withColumn("text", F.col("text").cast("string"))
     shared = d.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields) + ", score double, spans string"
-    return d.mapInArrow(_score(shared), schema)
+    return d.mapInArrow(gives_back(_score(shared)), schema)
 
 
 @query("op10_toxicity_crf")
