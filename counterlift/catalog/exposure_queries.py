@@ -128,6 +128,11 @@ def test_control(r):
     return r.stage("test_control", lambda: X.union_cohorts(exposures(r), controls(r)))
 
 
+def everyone(r):
+    """Customers of both cohorts; a campaign without exposure has no control either."""
+    return r.stage("everyone", lambda: X.cohort_people(exposures(r), controls(r)))
+
+
 def brands(r):
     return X.brand_map(r.products)
 
@@ -140,7 +145,59 @@ def brand_conv(r):
     return r.stage("brand_conv", lambda: X.conversions(test_control(r), r.transactions, sets(r), "brand", brands(r)))
 
 
+def sku_lines(r):
+    return r.stage("sku_lines", lambda: X.conversion_lines(exposures(r), controls(r), r.transactions, sets(r)))
+
+
+def brand_lines(r):
+    return r.stage("brand_lines", lambda: X.conversion_lines(exposures(r), controls(r), r.transactions, sets(r), "brand", brands(r)))
+
+
 _AGG = "sales_online sales_instore"
+for _lv in ("sku", "brand"):
+    VIEWS[f"{_lv}_lines"] = f"""
+SELECT booking_id, exposure_context, exposure_crn, order_context, start_txn_time, basket_key, brand, article, amount,
+       converted_crn, count(*) AS n_rows, max(impression_date) AS last_exposure, CAST(0 AS BIGINT) AS n_unmatched,
+       CASE WHEN CAST(start_txn_time AS DATE) < max(impression_date) + 3 THEN '3 Days' ELSE '7 Days' END AS exposure_to_purchase_window
+FROM {_lv}_conv_raw WHERE missing = 0 GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10
+UNION ALL
+SELECT booking_id, exposure_context, exposure_crn, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*), '7 Days'
+FROM {_lv}_conv_raw WHERE missing = 1 GROUP BY 1, 2, 3"""
+VIEWS["open_hits"] = """
+SELECT i.event_id, i.date_time, w.booking_number FROM impressions i LEFT JOIN (
+  SELECT DISTINCT booking_number, media_type, campaign_start_date, campaign_end_date, media_start_date, media_end_date
+  FROM taxonomy WHERE media_type = 'Catalogue') w
+ON i.date_time BETWEEN CAST(w.media_start_date AS TIMESTAMP) AND CAST(w.media_end_date + 1 AS TIMESTAMP)
+WHERE i.catalogue_flag = 1 AND i.booking_id = 'Not Found'"""
+
+
+@query("sku_conversion_lines", "SELECT * FROM sku_lines", money="amount", result="sku_lines")
+def _(r):
+    return sku_lines(r)
+
+
+@query("brand_conversion_lines", "SELECT * FROM brand_lines", money="amount", result="brand_lines")
+def _(r):
+    return brand_lines(r)
+
+
+def open_catalogues(r):
+    return X.open_media(impressions(r), sets_source(r), "catalogue_flag", X.CATALOGUE)
+
+
+@query("open_bookings_of_hits", "SELECT event_id, count(booking_number) AS n_open FROM open_hits GROUP BY 1")
+def _(r):
+    return open_catalogues(r)[0].select("event_id", "n_open")
+
+
+@query("open_booking_sets", """
+SELECT bookings, count(*) AS n_hits FROM (
+  SELECT event_id, string_agg(booking_number, ',' ORDER BY booking_number) AS bookings FROM open_hits
+  WHERE booking_number IS NOT NULL GROUP BY 1) x GROUP BY 1""")
+def _(r):
+    seen, members = open_catalogues(r)
+    names = members.groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list("booking_id")), ",").alias("bookings"))
+    return seen.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("n_hits")).join(names, "set_id").select("bookings", "n_hits")
 
 
 @query("article_brand_map", """
@@ -213,22 +270,22 @@ def _(r):
 
 @query("distinct_sales_sku", "SELECT * FROM sku_sales_7", money="amount")
 def _(r):
-    return X.distinct_sales(sku_conv(r))
+    return X.distinct_sales(sku_lines(r))
 
 
 @query("distinct_sales_brand_3_days", "SELECT * FROM brand_sales_3", money="amount")
 def _(r):
-    return X.distinct_sales(brand_conv(r), "3 Days")
+    return X.distinct_sales(brand_lines(r), "3 Days")
 
 
 @query("window_aggregate_sku_7", "SELECT * FROM sku_agg_7", money=_AGG)
 def _(r):
-    return X.window_aggregate(X.distinct_sales(sku_conv(r)))
+    return X.window_aggregate(X.distinct_sales(sku_lines(r)))
 
 
 @query("window_aggregate_brand_3", "SELECT * FROM brand_agg_3", money=_AGG)
 def _(r):
-    return X.window_aggregate(X.distinct_sales(brand_conv(r), "3 Days"))
+    return X.window_aggregate(X.distinct_sales(brand_lines(r), "3 Days"))
 
 
 _WIDE = ", ".join(
@@ -243,7 +300,7 @@ LEFT JOIN brand_agg_3 brand_3 ON brand_3.booking_id = sku_7.booking_id
 LEFT JOIN brand_agg_7 brand_7 ON brand_7.booking_id = sku_7.booking_id""",
        ratio="sku_3_rate sku_7_rate brand_3_rate brand_7_rate")
 def _(r):
-    return X.compare_windows(sku_conv(r), brand_conv(r))
+    return X.compare_windows(sku_lines(r), brand_lines(r))
 
 
 @query("sku_vs_brand_totals", """
@@ -253,14 +310,14 @@ SELECT s.booking_id, s.exposed_shoppers AS n_exposed_sku, s.converted_shoppers A
        b.converted_shoppers - s.converted_shoppers AS converted_diff
 FROM sku_agg_7 s LEFT JOIN brand_agg_7 b ON b.booking_id = s.booking_id""")
 def _(r):
-    return X.totals_check(X.distinct_sales(sku_conv(r)), X.distinct_sales(brand_conv(r)))
+    return X.totals_check(X.distinct_sales(sku_lines(r)), X.distinct_sales(brand_lines(r)))
 
 
 @query("tagged_totals", """
 SELECT 'sku' AS level, sum(amount) AS total, count(DISTINCT basket_key) AS baskets FROM sku_sales_7
 UNION ALL SELECT 'brand', sum(amount), count(DISTINCT basket_key) FROM brand_sales_7""", money="total")
 def _(r):
-    return X.tagged_totals(X.distinct_sales(sku_conv(r)), X.distinct_sales(brand_conv(r)))
+    return X.tagged_totals(X.distinct_sales(sku_lines(r)), X.distinct_sales(brand_lines(r)))
 
 
 @query("cohort_overlap", """
@@ -268,7 +325,7 @@ SELECT booking_id, count(CASE WHEN n = 1 THEN 1 END) AS n_one_cohort, count(CASE
        count(CASE WHEN n > 2 THEN 1 END) AS n_more_cohorts
 FROM (SELECT booking_id, crn, count(DISTINCT cohort) AS n FROM test_control GROUP BY 1, 2) x GROUP BY 1""")
 def _(r):
-    return X.cohort_overlap(test_control(r))
+    return X.cohort_overlap(everyone(r))
 
 
 VIEWS["hashed_hits"] = """
@@ -306,7 +363,7 @@ LEFT JOIN (SELECT c.booking_id, t.shopper_id AS crn, sum(t.amount) AS spend_by_t
   ON c.article = t.article AND t.start_txn_date BETWEEN c.campaign_start_date AND c.campaign_end_date GROUP BY 1, 2) d
 ON d.booking_id = p.booking_id AND d.crn = p.crn""", money="spend_by_path spend_by_transactions")
 def _(r):
-    return X.spend_reconciliation(brand_conv(r), r.transactions, sets(r), test_control(r))
+    return X.spend_reconciliation(brand_lines(r), r.transactions, sets(r), everyone(r))
 
 
 @query("hashed_key_conversions", """
@@ -451,7 +508,7 @@ WHERE c.exposed_baskets_brand > 5 AND c.control_baskets_brand > 5"""
 
 
 def freq(r, level):
-    return P.purchase_frequency(test_control(r), r.transactions, sets(r), level, brands(r))
+    return P.purchase_frequency(everyone(r), r.transactions, sets(r), level, brands(r))
 
 
 def summaries(r):
@@ -459,11 +516,11 @@ def summaries(r):
 
 
 def never(r):
-    return P.never_buyers(test_control(r), summaries(r))
+    return P.never_buyers(everyone(r), summaries(r))
 
 
 def history(r):
-    return r.stage("history", lambda: P.exposure_plus_history(brand_conv(r), summaries(r).unionByName(never(r))))
+    return r.stage("history", lambda: P.exposure_plus_history(brand_lines(r), summaries(r).unionByName(never(r))))
 
 
 def feats(r):
@@ -483,11 +540,11 @@ def matches(r):
 
 
 def uplift(r):
-    return P.shopper_uplift(matches(r), X.distinct_sales(sku_conv(r)), X.distinct_sales(brand_conv(r)))
+    return P.shopper_uplift(matches(r), X.distinct_sales(sku_lines(r)), X.distinct_sales(brand_lines(r)))
 
 
 def camp_up(r):
-    return P.campaign_uplift(uplift(r), test_control(r), history(r), people(r), sku_conv(r), brand_conv(r))
+    return P.campaign_uplift(uplift(r), everyone(r), history(r), people(r), sku_lines(r), brand_lines(r))
 
 
 def profile(r):

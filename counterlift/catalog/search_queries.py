@@ -119,7 +119,7 @@ def test_group(r):
 
 
 def unmatched(r):
-    return r.stage("unmatched", lambda: T.unmatched_conversion(X.distinct_sales(e.brand_conv(r))))
+    return r.stage("unmatched", lambda: T.unmatched_conversion(X.distinct_sales(e.brand_lines(r))))
 
 
 _S_MONEY = "spend_per_visitor spend_per_buyer"

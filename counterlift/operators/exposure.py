@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from counterlift.functions import packed_part, prefix_before_dash, safe_divide, within_dates_inclusive
+from counterlift.operators.intervals import after, moment, segments, with_open_set
+from counterlift.session import cut_lineage
 
 NOT_FOUND = "Not Found"
 CATALOGUE, HOME_PAGE = "Catalogue", "Home Page"
@@ -118,8 +120,8 @@ def attribute_exposures(impressions: DataFrame, taxonomy: DataFrame) -> DataFram
     """Impressions joined to the campaigns they belong to, by one of three rules.
 
     With an asset id: the booking line of that id.  Without a booking: catalogue
-    and home-page hits belong to every booking with such media at that time; those
-    windows are unrolled to days and joined on the day, not compared pairwise.
+    and home-page hits belong to every booking with such media at that time; a hit
+    first gets the set of bookings open at it, and sets are resolved last.
     """
     lines = taxonomy.select(
         F.col("booking_number").alias("booking_id"), F.col("line_name").alias("ci_id"), "media_type", *_DATES
@@ -133,27 +135,28 @@ def attribute_exposures(impressions: DataFrame, taxonomy: DataFrame) -> DataFram
         .withColumns({"join_method": F.lit("CI ID Rows"), "sku_set": F.col("ci_id")})
     )
 
-    def by_day(flag: str, media: str, method: str) -> DataFrame:
-        windows = taxonomy.filter(F.lower("media_type") == media.lower()).select(
-            F.col("booking_number").alias("booking_id"), "media_type", *_DATES
-        ).distinct()
-        days = windows.withColumn(
-            "day", F.explode(F.sequence("media_start_date", F.date_add("media_end_date", 1)))
-        )
-        hits = base.filter((F.col(flag) == 1) & (F.col("booking_id") == NOT_FOUND)).drop("booking_id")
-        return (
-            hits.withColumn("day", F.col("date_time").cast("date"))
-            .join(days, "day")
-            .filter(in_time)
-            .drop("day")
-            .withColumns({"join_method": F.lit(method), "sku_set": F.lit(media)})
-        )
+    def by_time(flag: str, media: str, method: str) -> DataFrame:
+        seen, members = open_media(impressions, taxonomy, flag, media)
+        hits = seen.select("date_time", "shopper_id", "crn", "ci_id", "catalogue_flag", "homepage_flag", "set_id")
+        named = hits.filter("set_id IS NOT NULL").join(members, "set_id").drop("set_id")
+        return named.withColumns({"join_method": F.lit(method), "sku_set": F.lit(media)})
 
-    return by_asset.unionByName(by_day("catalogue_flag", CATALOGUE, "Catalogue")).unionByName(
-        by_day("homepage_flag", HOME_PAGE, "Homepage Rows")
+    return by_asset.unionByName(by_time("catalogue_flag", CATALOGUE, "Catalogue")).unionByName(
+        by_time("homepage_flag", HOME_PAGE, "Homepage Rows")
     ).drop("catalogue_flag", "homepage_flag")
 
 
+def open_media(impressions: DataFrame, taxonomy: DataFrame, flag: str, media: str) -> tuple[DataFrame, DataFrame]:
+    """Impressions without a booking on a medium's pages with the set of bookings open then, and the sets' members."""
+    windows = taxonomy.filter(F.lower("media_type") == media.lower()).select(
+        F.col("booking_number").alias("booking_id"), "media_type", *_DATES,
+        moment(F.col("media_start_date")).alias("lo"), after(F.date_add("media_end_date", 1)).alias("hi"),
+    )
+    cuts, members = segments(windows, ["booking_id", "media_type", *_DATES])
+    hits = impressions.filter((F.col(flag) == 1) & (F.col("booking_id") == NOT_FOUND))
+    return with_open_set(hits, moment(F.col("date_time")), cuts), members
+
+
 def distinct_exposures(exposures: DataFrame) -> DataFrame:
     """Day, booking, asset, medium and identity of every exposed customer once."""
     return exposures.filter(F.col("crn").isNotNull()).select(
@@ -165,10 +168,13 @@ def distinct_exposures(exposures: DataFrame) -> DataFrame:
 def control_shoppers(exposures: DataFrame, active: DataFrame) -> DataFrame:
     """Customers active while a campaign ran that it did not reach by either id."""
     campaigns = exposures.select("booking_id", "campaign_start_date", "campaign_end_date").distinct()
-    days = campaigns.withColumn("date", F.explode(F.sequence("campaign_start_date", "campaign_end_date")))
+    days = campaigns.withColumns({"lo": F.unix_date("campaign_start_date").cast("long"), "hi": F.unix_date("campaign_end_date").cast("long") + 1})
+    cuts, members = segments(days, campaigns.columns, width=7)
+    # a shopper meets a set of campaigns once, however many of its days it was active
+    seen = with_open_set(active.filter(F.col("crn").isNotNull()), F.unix_date("date").cast("long"), cuts, width=7)
     present = (
-        active.filter(F.col("crn").isNotNull())
-        .join(days, "date")
+        seen.filter("set_id IS NOT NULL").select("set_id", "shopper_id", "crn").distinct()
+        .join(members, "set_id")
         .select("booking_id", "campaign_start_date", "campaign_end_date", "shopper_id", "crn")
         .distinct()
     )
@@ -188,6 +194,13 @@ def union_cohorts(exposures: DataFrame, controls: DataFrame) -> DataFrame:
     return exposures.withColumn("cohort", F.lit("Exposed")).unionByName(control_rows, allowMissingColumns=True)
 
 
+def cohort_people(exposures: DataFrame, controls: DataFrame) -> DataFrame:
+    """Every customer of a cohort once per campaign, without the days and sets of ``union_cohorts``."""
+    cols = ["booking_id", "campaign_start_date", "campaign_end_date", "crn"]
+    exposed = exposures.select(*cols, F.lit("Exposed").alias("cohort"))
+    return exposed.unionByName(controls.select(*cols, F.lit("Not Exposed").alias("cohort"))).distinct()
+
+
 def conversions(cohorts: DataFrame, txns: DataFrame, sets: DataFrame, level: str = "sku", brands: DataFrame | None = None) -> DataFrame:
     """Purchases of each cohort row inside the campaign dates, by SKU or by brand.
 
@@ -241,6 +254,72 @@ def conversions(cohorts: DataFrame, txns: DataFrame, sets: DataFrame, level: str
     )
 
 
+def conversion_lines(
+    exposures: DataFrame, controls: DataFrame, txns: DataFrame, sets: DataFrame, level: str = "sku", brands: DataFrame | None = None
+) -> DataFrame:
+    """``conversions`` without repeats: one row per cohort, customer and purchase line.
+
+    ``n_rows`` says for how many exposures, or sets of a control, the line counts, and last_exposure is
+    the latest of the exposures; the label is ``3 Days`` if that one makes it so.  A customer whose sets have
+    members it did not buy gets one more row; ``n_unmatched`` counts them over its exposures or sets.
+    Purchases are tagged with booking and item only and meet the customers before any set is resolved;
+    how many of a booking's sets hold an item comes from the inverted index item -> sets.
+    """
+    item = "article" if level == "sku" else "brand"
+    members = sets
+    if level != "sku":
+        members = sets.join(brands.select("article", "brand"), "article").select("booking_id", "sku_set", "brand").distinct()
+    key = ["booking_id", "crn"]
+    rows = exposures.groupBy("booking_id", "sku_set", "crn").agg(F.count(F.lit(1)).alias("times"), F.max("date").alias("latest"))
+    used = exposures.select("booking_id", "sku_set").distinct()
+    index = members.join(used, ["booking_id", "sku_set"], "left_semi")
+    held = index.groupBy("booking_id", item).agg(F.count(F.lit(1)).alias("n_sets"))
+    sizes = index.groupBy("booking_id", "sku_set").agg(F.count(F.lit(1)).alias("size"))
+    dates = exposures.select("booking_id", "campaign_start_date", "campaign_end_date").distinct()
+    first = dates.select(F.min("campaign_start_date")).scalar()
+    last = dates.select(F.max("campaign_end_date")).scalar()
+    day = F.col("start_txn_time").cast("date")
+    people = exposures.select(*key, F.lit("Exposed").alias("exposure_context")).distinct().unionByName(
+        controls.select(*key, F.lit("Not Exposed").alias("exposure_context"), F.lit(1).alias("one")).groupBy(*key, "exposure_context").agg(F.count("one").alias("copies")),
+        allowMissingColumns=True)
+    lines = cut_lineage(
+        txns.filter(F.col("shopper_id").isNotNull() & (day >= first) & (day <= last))
+        .join(held.join(dates, "booking_id"), item)
+        .filter(day.between(F.col("campaign_start_date"), F.col("campaign_end_date")))
+        .withColumnRenamed("shopper_id", "crn")
+        .join(people, key)
+        .groupBy(*key, "exposure_context", "copies", "n_sets", "order_context", "start_txn_time", "basket_key", "brand", "article", "amount")
+        .agg(F.count(F.lit(1)).alias("alike"))
+    )
+    control = F.col("exposure_context") == "Not Exposed"
+    bought = lines.select(*key, "exposure_context", item, "n_sets", "copies").distinct()
+    # exposed customers: which of their exposures' sets hold the item
+    met = bought.filter(~control).select(*key, item).join(index, ["booking_id", item]).join(rows, [*key, "sku_set"])
+    reach = met.groupBy(*key, item).agg(F.sum("times").alias("times"), F.max("latest").alias("last_exposure"))
+    exposed = lines.filter(~control).join(reach, [*key, item]).withColumn("n_rows", F.col("times") * F.col("alike"))
+    others = lines.filter(control).withColumns({"n_rows": F.col("n_sets") * F.col("copies") * F.col("alike"), "last_exposure": F.lit(None).cast("date")})
+    names = [*key, "exposure_context", "order_context", "start_txn_time", "basket_key", "brand", "article", "amount", "n_rows", "last_exposure"]
+    found = exposed.select(*names).unionByName(others.select(*names)).withColumns({"converted_crn": F.col("crn"), "n_unmatched": F.lit(0).cast("long")})
+    of_exposed = rows.join(sizes, ["booking_id", "sku_set"]).groupBy(*key).agg(F.sum(F.col("times") * F.col("size")).alias("all")).withColumn("exposure_context", F.lit("Exposed"))
+    of_booking = sizes.groupBy("booking_id").agg(F.sum("size").alias("all"))
+    of_control = people.filter(control).join(of_booking, "booking_id").select(*key, (F.col("all") * F.col("copies")).alias("all"), "exposure_context")
+    got = reach.groupBy(*key).agg(F.sum("times").alias("got")).withColumn("exposure_context", F.lit("Exposed")).unionByName(
+        bought.filter(control).groupBy(*key, "exposure_context").agg(F.sum(F.col("n_sets") * F.col("copies")).alias("got")))
+    missing = (
+        of_exposed.unionByName(of_control)
+        .join(got, [*key, "exposure_context"], "left")
+        .withColumn("n_unmatched", F.col("all") - F.coalesce("got", F.lit(0)))
+        .filter(F.col("n_unmatched") > 0)
+        .select(*key, "exposure_context", "n_unmatched")
+    )
+    early = F.col("start_txn_time").cast("date") < F.date_add("last_exposure", 3)
+    return (
+        found.unionByName(missing, allowMissingColumns=True)
+        .withColumn("exposure_to_purchase_window", F.when(early, "3 Days").otherwise("7 Days"))
+        .withColumnRenamed("crn", "exposure_crn")
+    )
+
+
 def distinct_sales(conv: DataFrame, window: str = "7 Days") -> DataFrame:
     """Distinct purchase lines per customer; the 3-day subset keeps non-converters."""
     if window == "3 Days":
