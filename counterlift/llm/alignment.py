@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterlift.llm.registry import query, table
-from counterlift.llm.textarrays import slices, string_column
+from counterlift.llm.textarrays import gives_back, slices, string_column
 from counterlift.llm.tokenize import BYTE_ALPHABET, worker_encoder
 from counterlift.session import cut_lineage
 
@@ -143,7 +143,7 @@ def aligned_texts(docs: DataFrame, first_path: str, second_path: str) -> DataFra
     texts = docs.select(F.col("text").cast("string").alias("text")).filter("text <> ''")
     distinct = texts.groupBy("text").agg(F.count("*").alias("n_docs")).withColumn("text_key", _key("text"))
     shape = "text_key binary, n_docs long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair array<long>, times array<int>"
-    return distinct.mapInArrow(_aligned(first_path, second_path), shape)
+    return distinct.mapInArrow(gives_back(_aligned(first_path, second_path)), shape)
 
 
 def _key(text: str) -> Column:
