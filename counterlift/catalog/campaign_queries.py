@@ -502,13 +502,27 @@ def _(r):
     return rates(r)
 
 
+# every line also lists the SKUs of its booking's first line, so that lines overlap
+VIEWS["shared_articles"] = """
+SELECT DISTINCT l.campaign_id, l.line_name, m.article FROM line_articles l JOIN line_articles m ON m.campaign_id = l.campaign_id
+ AND (m.line_name = l.line_name OR m.line_name = (SELECT min(line_name) FROM line_articles f WHERE f.campaign_id = l.campaign_id))"""
+
+
+def shared_lines(r):
+    first = r.bookings.groupBy("booking_number").agg(F.min_by("quoteline_sku", "line_name").alias("_first"))
+    return r.bookings.join(first, "booking_number").withColumn("quoteline_sku", F.concat_ws(",", "quoteline_sku", "_first")).drop("_first")
+
+
 @query("stock_coverage_gate", """
-SELECT campaign_id, site, CAST(sum(total_skus) AS BIGINT) AS total_store_skus,
-       CAST(sum(total_skus - stocktake_skus) AS BIGINT) AS unchecked_skus,
-       sum(total_skus - stocktake_skus) / sum(total_skus) AS unchecked_share
-FROM oos_rates GROUP BY 1, 2 HAVING sum(total_skus - stocktake_skus) / sum(total_skus) <= 0.98""", ratio="unchecked_share")
-def _(r):
-    return K.coverage_gate(rates(r), 0.98)
+SELECT campaign_id, site, total_store_skus, unchecked_skus, unchecked_skus / total_store_skus AS unchecked_share FROM (
+  SELECT c.campaign_id, c.site, count(DISTINCT l.article) AS total_store_skus,
+         count(DISTINCT l.article) - count(DISTINCT o.article) AS unchecked_skus
+  FROM cohorts c JOIN shared_articles l ON l.campaign_id = c.campaign_id AND l.line_name = c.line_name
+  LEFT JOIN oos o ON o.article = l.article AND o.site = c.site
+   AND o.soh_date BETWEEN c.campaign_start_date AND c.campaign_start_date + 27 GROUP BY 1, 2) x
+WHERE unchecked_skus / total_store_skus <= 0.98""", ratio="unchecked_share")
+def _(r):
+    return K.coverage_gate(K.store_coverage(cohorts(r), shared_lines(r), oos(r), days=28), 0.98)
 
 
 @query("missing_stock_audit", """

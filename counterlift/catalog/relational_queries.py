@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import Window as W
@@ -23,6 +24,7 @@ from counterlift.functions import (
     weekday_name,
 )
 from counterlift.operators import design as D
+from counterlift.operators import quantiles as Q
 from counterlift.session import shared_folder
 from counterlift.sources import tables as IO
 
@@ -43,7 +45,8 @@ def _(r):
 
 @query("keyed_replace", """
 SELECT campaign_id, site, CASE WHEN campaign_id < 'BK06' THEN 2 * total_sales_campaign_period
-  ELSE total_sales_campaign_period END AS total_sales_campaign_period FROM during""", money="total_sales_campaign_period")
+  ELSE total_sales_campaign_period END AS total_sales_campaign_period FROM during WHERE campaign_id NOT IN ('BK03', 'BK08')""",
+       money="total_sales_campaign_period")
 def _(r):
     path = _fresh(r, "during")
     first = q.during(r).select("campaign_id", "site", "total_sales_campaign_period")
@@ -51,7 +54,21 @@ def _(r):
     again = first.filter("campaign_id < 'BK06'").withColumn(
         "total_sales_campaign_period", F.col("total_sales_campaign_period") * 2)
     IO.replace_keyed(again, path)
-    return IO.replace_keyed(again, path)  # a second run leaves one copy
+    IO.replace_keyed(again, path)  # a second run leaves one copy
+    keys = r.campaigns.select("campaign_id").filter("campaign_id IN ('BK03', 'BK08')")
+    return IO.replace_keyed(IO.empty_like(first), path, keys=keys)  # a run that finds nothing leaves none
+
+
+@query("zero_sku_log", """
+SELECT DISTINCT campaign_id, '1' AS query_step, 'Excluded for having zero promoted skus' AS query_type,
+       CAST(90 AS BIGINT) AS query_duration_in_seconds, 1.5 AS query_duration_in_minutes
+FROM campaigns c WHERE NOT EXISTS (SELECT 1 FROM campaign_skus s WHERE s.campaign_id = c.campaign_id AND s.article LIKE '%37')""",
+       ratio="query_duration_in_minutes")
+def _(r):
+    start = dt.datetime(2024, 1, 1)
+    path = _fresh(r, "log")
+    IO.append(IO.zero_sku_log(r.campaigns, r.campaign_skus.filter("article LIKE '%37'"), start, start + dt.timedelta(seconds=90)), path)
+    return r.spark.read.parquet(path).drop("query_start_time", "query_end_time")
 
 
 @query("create_and_append", """
@@ -261,10 +278,44 @@ SELECT campaign_id, quantile_cont(total_sales_campaign_period, 0.5) AS median,
        quantile_cont(total_sales_campaign_period, 0.25) AS q25, quantile_cont(total_sales_campaign_period, 0.75) AS q75
 FROM during GROUP BY 1""", money="median q25 q75")
 def _(r):
-    s = "total_sales_campaign_period"
-    return q.during(r).groupBy("campaign_id").agg(
-        F.percentile(s, F.lit(0.5)).alias("median"), F.percentile(s, F.lit(0.25)).alias("q25"),
-        F.percentile(s, F.lit(0.75)).alias("q75"))
+    return Q.quantile_list(q.during(r), ["campaign_id"], "total_sales_campaign_period", {"median": 0.5, "q25": 0.25, "q75": 0.75})
+
+
+@query("line_price_quantiles", """
+SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedprice, 0.5) AS p50,
+       quantile_cont(l_extendedprice, 0.999) AS p999 FROM lineitem GROUP BY 1""", money="p01 p50 p999")
+def _(r):
+    # groups as large as these are narrowed in rounds
+    return Q.quantile_list(r.table("lineitem"), ["l_returnflag"], "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p999": 0.999}, few=1000)
+
+
+@query("category_codes", """
+SELECT o_orderkey, CASE WHEN o_clerk IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY o_clerk NULLS LAST) - 1 END AS code FROM (
+  SELECT o_orderkey, 'c' || CAST(o_custkey * 7919 % 1009 AS VARCHAR) AS o_clerk FROM orders) x""")
+def _(r):
+    clerks = r.table("orders").select("o_orderkey", F.concat(F.lit("c"), (F.col("o_custkey") * 7919 % 1009).cast("string")).alias("clerk"))
+    return Q.category_codes(clerks, "clerk").select("o_orderkey", "code")
+
+
+@query("pair_label_numbers", """
+SELECT o_orderkey, label, CAST(CAST(regexp_extract(label, '(\\d+\\.?\\d*)_(\\d+\\.?\\d*)', 1) AS DOUBLE) AS BIGINT) AS test_store,
+       CAST(CAST(regexp_extract(label, '(\\d+\\.?\\d*)_(\\d+\\.?\\d*)', 2) AS DOUBLE) AS BIGINT) AS control_store
+FROM (SELECT o_orderkey, 'p' || CAST(o_orderkey AS VARCHAR) || '.0_' || CAST(o_custkey AS VARCHAR) AS label FROM orders) x""")
+def _(r):
+    labels = r.table("orders").select("o_orderkey", F.concat(F.lit("p"), F.col("o_orderkey").cast("string"), F.lit(".0_"), F.col("o_custkey").cast("string")).alias("label"))
+    test, control = Q.number_pair("label")
+    return labels.select("o_orderkey", "label", test.alias("test_store"), control.alias("control_store"))
+
+
+@query("case_in_order_by", """
+SELECT o_orderpriority, n, row_number() OVER (ORDER BY CASE WHEN o_orderpriority = '5-LOW' THEN 1
+         WHEN o_orderpriority = '3-MEDIUM' THEN 2 ELSE 3 END, o_orderpriority) AS position
+FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) x""")
+def _(r):
+    groups = r.table("orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    place = F.when(F.col("o_orderpriority") == "5-LOW", 1).when(F.col("o_orderpriority") == "3-MEDIUM", 2).otherwise(3)
+    # the report's few rows in the order of the cases; the position makes that order visible
+    return groups.orderBy(place, "o_orderpriority").withColumn("position", F.row_number().over(W.orderBy(place, "o_orderpriority")))
 
 
 @query("ordered_distinct_array", """

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterlift.functions import pair_diff, safe_divide
+from counterlift.operators.quantiles import quantile_list
 from counterlift.operators.store_sales import K
 
 SIDES = ("test", "control")
@@ -177,16 +178,11 @@ def pooled_report(pooled: DataFrame, empirical: DataFrame) -> DataFrame:
 
 
 def quantile_summary(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """Quantiles, mean and deviation of a column per group."""
-    q = F.percentile(col, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    return (
-        df.groupBy(*by)
-        .agg(q.alias("q"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.count(col).alias("n"))
-        .select(
-            *by, "mean", "std", "n",
-            *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(["p05", "p25", "p50", "p75", "p95"])],
-        )
-    )
+    """Quantiles, mean and deviation of a column per group; groups without a value are left out."""
+    by = list(by)
+    q = quantile_list(df, by, col, {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
+    moments = df.groupBy(*by).agg(F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.count(col).alias("n"))
+    return moments.join(q, by).select(*by, "mean", "std", "n", "p05", "p25", "p50", "p75", "p95")
 
 
 def attributable(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,28 +14,41 @@ from counterlift.operators.campaigns import K
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
-def hourly_stock(stock: DataFrame, skus: DataFrame | None = None) -> DataFrame:
+def carry_forward(df: DataFrame, by: Sequence[str], period: Column, order: Sequence[str], value: str) -> DataFrame:
+    """``df`` with ``value`` filled from the latest earlier row of the group that has one.
+
+    ``period`` grows with the order and cuts a history into pieces. Each piece is filled by itself, and
+    the last reading before a piece, from one row per piece, fills its head; so no task holds a history.
+    """
+    by, order = list(by), list(order)
+    cut = df.withColumn("_piece", period)
+    inside = W.partitionBy(*by, "_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = cut.groupBy(*by, "_piece").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    before = W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select(*by, "_piece", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    filled = cut.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(carried, [*by, "_piece"])
+    return filled.withColumn(value, F.coalesce("_own", "_carried")).drop("_piece", "_own", "_carried")
+
+
+def hourly_stock(stock: DataFrame, skus: DataFrame | None = None, piece_days: int = 28) -> DataFrame:
     """24 rows per (date, site, article) with readings carried forward.
 
     A day's readings travel as one small map, so that the panel needs neither a
-    cross join nor a join back; hours before the first reading stay NULL.
+    cross join nor a join back; hours before the first reading stay NULL. Of several
+    readings in one hour the lowest counts, as a shelf seen empty was empty. Histories are filled in
+    pieces of ``piece_days`` days.
     """
     if skus is not None:
         stock = stock.join(skus.select("article").distinct(), "article", "left_semi")
-    reading = F.struct(F.col("soh_hour").cast("int"), "soh")
-    day = stock.groupBy("article", "site", "soh_date").agg(
-        F.map_from_entries(F.collect_list(reading)).alias("readings")
+    hours = stock.groupBy("article", "site", "soh_date", F.col("soh_hour").cast("int").alias("hour")).agg(F.min("soh").alias("soh"))
+    day = hours.groupBy("article", "site", "soh_date").agg(
+        F.map_from_entries(F.collect_list(F.struct("hour", "soh"))).alias("readings")  # at most 24
     )
     panel = day.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn(
-        "soh", F.try_element_at("readings", F.col("hour"))
-    )
-    past = (
-        W.partitionBy("site", "article").orderBy("soh_date", "hour")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    return panel.select(
-        "soh_date", "hour", "site", "article", F.last("soh", ignorenulls=True).over(past).alias("stock_level")
+        "stock_level", F.try_element_at("readings", F.col("hour"))
     )
+    piece = F.floor(F.unix_date("soh_date") / piece_days)
+    return carry_forward(panel, ["site", "article"], piece, ["soh_date", "hour"], "stock_level").select("soh_date", "hour", "site", "article", "stock_level")
 
 
 def trading_hours(site_hours: DataFrame, midnight_hour: int = 0) -> DataFrame:
@@ -118,15 +133,28 @@ def stockout_rate(cohorts: DataFrame, bookings: DataFrame, oos: DataFrame, days:
     )
 
 
-def coverage_gate(rates: DataFrame, max_unchecked: float = 0.025) -> DataFrame:
-    """Stores whose share of SKUs without any stock reading is small enough."""
-    unchecked = F.sum(F.col("total_skus") - F.col("stocktake_skus"))
-    return (
-        rates.groupBy(K, "site")
-        .agg(F.sum("total_skus").alias("total_store_skus"), unchecked.alias("unchecked_skus"))
-        .withColumn("unchecked_share", F.try_divide("unchecked_skus", "total_store_skus"))
-        .filter(F.col("unchecked_share") <= max_unchecked)
+def store_coverage(cohorts: DataFrame, bookings: DataFrame, oos: DataFrame, days: int = 7) -> DataFrame:
+    """Distinct SKUs of a campaign in a store, over all its lines there, and those without any stock reading."""
+    listed = (
+        cohorts.select(K, "campaign_start_date", "site", "line_name").distinct()
+        .join(_line_skus(bookings), [K, "line_name"])
+        .select(K, "campaign_start_date", "site", "article").distinct()
     )
+    read = (
+        oos.select("site", "article", "soh_date").distinct()
+        .join(listed, ["site", "article"])
+        .filter(F.col("soh_date").between(F.col("campaign_start_date"), F.date_add("campaign_start_date", days - 1)))
+        .select(K, "site", "article", F.lit(1).alias("seen")).distinct()
+    )
+    one = listed.select(K, "site", "article").distinct().join(read, [K, "site", "article"], "left")
+    return one.groupBy(K, "site").agg(
+        F.count(F.lit(1)).alias("total_store_skus"), F.count_if(F.col("seen").isNull()).alias("unchecked_skus")
+    ).withColumn("unchecked_share", F.try_divide("unchecked_skus", "total_store_skus"))
+
+
+def coverage_gate(coverage: DataFrame, max_unchecked: float = 0.025) -> DataFrame:
+    """Stores whose share of SKUs without any stock reading is small enough."""
+    return coverage.filter(F.col("unchecked_share") <= max_unchecked)
 
 
 def missing_stock(cohorts: DataFrame, bookings: DataFrame, stock: DataFrame, articles: DataFrame, days: int = 7) -> DataFrame:

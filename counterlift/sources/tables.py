@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,20 +52,83 @@ def create_or_replace(df: DataFrame, path: str, partition_by: str | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def replace_keyed(df: DataFrame, path: str, key: str = "campaign_id") -> DataFrame:
-    """Replaces the rows of the keys present in ``df`` and keeps all others.
+class KeyedTable:
+    """A table of versioned key partitions below ``path``, whose rows are replaced key by key.
 
-    Running a campaign again therefore leaves one copy of its rows.
+    ``data`` holds every version of a key's rows, ``manifest/n`` says which version of each key counts. A
+    replacement writes the rows first and the next manifest last; a manifest counts once its job has
+    committed it, so a reader sees the table before or after, and a writer that is lost leaves it as it was.
+    One writer at a time is assumed.
     """
-    # rows of one key meet in few files; AQE still splits a very large key
-    (
-        df.repartition(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(key)
-        .parquet(path)
-    )
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str = "campaign_id"):
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+
+    def _listed(self, folder: str) -> list[str]:
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = there.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in fs.listStatus(there)] if fs.exists(there) else []
+
+    def _newest(self) -> int:
+        numbers = sorted((int(n) for n in self._listed(f"{self.path}/manifest") if n.isdigit()), reverse=True)
+        return next((n for n in numbers if "_SUCCESS" in self._listed(f"{self.path}/manifest/{n}")), 0)
+
+    def _manifest(self) -> DataFrame:
+        n = self._newest()
+        kind = self.schema[self.key].dataType.simpleString()
+        shape = f"`{self.key}` {kind}, _version string"
+        return self.spark.read.schema(shape).parquet(f"{self.path}/manifest/{n}") if n else self.spark.createDataFrame([], shape)
+
+    def rows(self) -> DataFrame:
+        """The counting version of every key."""
+        now = self._manifest()
+        if not any(n.startswith("_version=") for n in self._listed(f"{self.path}/data")):
+            return self.spark.createDataFrame([], self.schema)
+        every = self.spark.read.schema(self._stored()).parquet(f"{self.path}/data")
+        return every.join(now, [self.key, "_version"], "left_semi").select(*self.schema.names)
+
+    def replace(self, df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+        """Replaces the rows of ``keys``, by default of those in ``df``, by the rows of ``df``; other keys stay.
+
+        A key without rows in ``df`` has none afterwards. Keys must not be null. Returns the table.
+        """
+        version = uuid.uuid4().hex
+        fresh = df.select(*self.schema.names).withColumn("_version", F.lit(version))
+        # few files per key; a very large key is split
+        fresh.hint("rebalance", self.key).write.mode("append").partitionBy("_version", self.key).parquet(f"{self.path}/data")
+        written = [n for n in self._listed(f"{self.path}/data/_version={version}") if n.startswith(f"{self.key}=")]
+        none = self.spark.createDataFrame([], self.schema).select(self.key)
+        new = self.spark.read.schema(self._stored()).parquet(f"{self.path}/data").filter(F.col("_version") == version).select(self.key).distinct() if written else none
+        gone = new if keys is None else keys.select(self.key).distinct().unionByName(new)
+        n = self._newest()
+        kept = self._manifest().join(gone, self.key, "left_anti")
+        kept.unionByName(new.withColumn("_version", F.lit(version))).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{n + 1}")
+        return self.rows()
+
+    def _stored(self) -> T.StructType:
+        return T.StructType([*[f for f in self.schema if f.name != self.key], T.StructField("_version", T.StringType()), self.schema[self.key]])
+
+    def delete_old(self) -> int:
+        """Deletes versions and manifests that no longer count; returns how many version folders went."""
+        n = self._newest()
+        used = {r[0] for r in self._manifest().select("_version").distinct().collect()}  # one per replacement that still counts
+        conf = self.spark._jsc.hadoopConfiguration()
+        gone = 0
+        for folder, names in ((f"{self.path}/data", [v for v in self._listed(f"{self.path}/data") if v.startswith("_version=") and v[9:] not in used]),
+                              (f"{self.path}/manifest", [m for m in self._listed(f"{self.path}/manifest") if m.isdigit() and int(m) != n])):
+            for name in names:
+                there = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+                there.getFileSystem(conf).delete(there, True)
+                gone += name.startswith("_version=")
+        return gone
+
+
+def replace_keyed(df: DataFrame, path: str, key: str = "campaign_id", keys: DataFrame | None = None) -> DataFrame:
+    """Replaces the rows of ``keys``, or of the keys present in ``df``, in the keyed table below ``path``.
+
+    Running a campaign again therefore leaves one copy of its rows, and none if it found nothing.
+    """
+    return KeyedTable(df.sparkSession, path, df.schema, key).replace(df, keys)
 
 
 def empty_like(df: DataFrame) -> DataFrame:
@@ -71,6 +136,17 @@ def empty_like(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], df.schema)
 
 
+def zero_sku_log(campaigns: DataFrame, skus: DataFrame, start, end) -> DataFrame:
+    """Run-log rows of the campaigns that were left out because none of their SKUs is promoted."""
+    none = campaigns.select("campaign_id").distinct().join(skus.filter(F.col("article").isNotNull()).select("campaign_id").distinct(), "campaign_id", "left_anti")
+    seconds = int((end - start).total_seconds())
+    return none.select(
+        "campaign_id", F.lit("1").alias("query_step"), F.lit("Excluded for having zero promoted skus").alias("query_type"),
+        F.lit(start).cast("timestamp_ntz").alias("query_start_time"), F.lit(end).cast("timestamp_ntz").alias("query_end_time"),
+        F.lit(seconds).cast("long").alias("query_duration_in_seconds"), F.lit(seconds / 60).alias("query_duration_in_minutes"),
+    )
+
+
 def log_entry(spark: SparkSession, campaign_id: str, step: str, kind: str, start, end) -> DataFrame:
     """One run-log row with its duration."""
     seconds = int((end - start).total_seconds())

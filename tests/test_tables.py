@@ -27,6 +27,41 @@ def test_pairs_csv(spark, tmp_path):
     assert back.count() == 2 and back.columns == pairs.columns
 
 
+def test_keyed_table_replaces_deletes_and_survives_a_lost_writer(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    shape = "campaign_id string, x long"
+    frame = lambda *rows: spark.createDataFrame(list(rows), shape)
+    table = IO.KeyedTable(spark, path, frame(("A", 1)).schema)
+    assert table.rows().collect() == []
+
+    def held():
+        return sorted(tuple(r) for r in table.rows().collect())
+
+    table.replace(frame(("A", 1), ("A", 2), ("B", 3)))
+    table.replace(frame(("B", 4)))
+    assert held() == [("A", 1), ("A", 2), ("B", 4)]
+    table.replace(frame(("C", 5)), keys=spark.createDataFrame([("A",), ("Z",)], "campaign_id string"))  # A found nothing
+    assert held() == [("B", 4), ("C", 5)]
+    # a writer that wrote rows, and a manifest that it did not commit
+    frame(("B", 9)).selectExpr("x", "'lost' AS _version", "campaign_id").write.mode("append").partitionBy("_version", "campaign_id").parquet(f"{path}/data")
+    spark.createDataFrame([("B", "lost")], "campaign_id string, _version string").write.parquet(f"{path}/manifest/99")
+    (tmp_path / "keyed" / "manifest" / "99" / "_SUCCESS").unlink()
+    assert held() == [("B", 4), ("C", 5)]
+    assert table.delete_old() == 2 and held() == [("B", 4), ("C", 5)]
+    table.replace(IO.empty_like(frame(("A", 1))), keys=spark.createDataFrame([("B",), ("C",)], "campaign_id string"))
+    assert held() == []
+
+
+def test_zero_sku_campaigns_are_logged(spark):
+    t = dt.datetime(2024, 1, 1)
+    campaigns = spark.createDataFrame([("A",), ("B",), ("C",), ("B",)], "campaign_id string")
+    skus = spark.createDataFrame([("A", "p"), ("B", None)], "campaign_id string, article string")
+    log = IO.zero_sku_log(campaigns, skus, t, t + dt.timedelta(seconds=30))
+    assert log.schema.simpleString() == IO.log_entry(spark, "x", "1", "k", t, t).schema.simpleString()
+    assert sorted((r.campaign_id, r.query_step, r.query_type, r.query_duration_in_seconds) for r in log.collect()) == [
+        (c, "1", "Excluded for having zero promoted skus", 30) for c in "BC"]
+
+
 def test_log_and_resume(spark, tmp_path):
     path = str(tmp_path / "log")
     t = dt.datetime(2024, 1, 1)
