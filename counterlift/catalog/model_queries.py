@@ -10,7 +10,9 @@ from counterlift.catalog import matching_queries as mq
 from counterlift.catalog.registry import query
 from counterlift.catalog.sql_views import VIEWS
 from counterlift.operators import effects as E
+from counterlift.operators import media_effects as ME
 from counterlift.operators import models as L
+from counterlift.operators import shoppers as P
 from counterlift.operators import similarity as Y
 from counterlift.operators import store_sales as S
 
@@ -49,11 +51,21 @@ SELECT *, pooled_effect - 1.96 * se * sqrt(weight) AS lo, pooled_effect + 1.96 *
     FROM pool_in p JOIN (SELECT campaign_id, sum(mean / (se * se + tau2)) / (sum(1 / (se * se + tau2)) + 1 / (0.0035 * 0.0035)) AS mu_pop
                          FROM pool_in GROUP BY 1) m ON m.campaign_id = p.campaign_id) a) b"""
 VIEWS["pool_in"] = """
-SELECT p.*, s.tau2 FROM p_stats p JOIN (
+SELECT p.*, s.tau2 FROM p_exact p JOIN (
   SELECT campaign_id, greatest(0, coalesce(CASE WHEN k > 1 THEN (wyy - wy * wy / w1 - (k - 1)) / nullif(w1 - w2 / w1, 0) END, 0)) AS tau2 FROM (
     SELECT campaign_id, sum(1 / (se * se)) AS w1, sum(1 / (se * se * se * se)) AS w2, sum(mean / (se * se)) AS wy,
-           sum(mean * mean / (se * se)) AS wyy, count(*) AS k FROM p_stats WHERE se > 0 GROUP BY 1) a) s
+           sum(mean * mean / (se * se)) AS wyy, count(*) AS k FROM p_exact WHERE se > 0 GROUP BY 1) a) s
 ON s.campaign_id = p.campaign_id WHERE p.se > 0"""
+VIEWS["post_change"] = """
+SELECT p.campaign_id, p.site, (p.total_mean - b.weekly_avg_sales_amount) / nullif(b.weekly_avg_sales_amount, 0) AS m,
+       p.total_sd / nullif(abs(b.weekly_avg_sales_amount), 0) AS s
+FROM posterior p JOIN baseline_sales b ON b.campaign_id = p.campaign_id AND b.site = p.site WHERE p.total_sd IS NOT NULL"""
+VIEWS["p_exact"] = """
+SELECT p.campaign_id, p.test_store, p.control_store, t.m - c.m AS mean, sqrt(t.s * t.s + c.s * c.s) AS sd,
+       CAST(2000 AS BIGINT) AS n, sqrt(t.s * t.s + c.s * c.s) / sqrt(2000.0) AS se
+FROM area_nearest p JOIN post_change t ON t.campaign_id = p.campaign_id AND t.site = p.test_store
+JOIN post_change c ON c.campaign_id = p.campaign_id AND c.site = p.control_store
+WHERE t.m IS NOT NULL AND t.s IS NOT NULL AND c.m IS NOT NULL AND c.s IS NOT NULL"""
 GRID = [0.02, 0.05, 0.1, 0.2, 0.5, 1.0]
 _grid = ", ".join(f"({i}, CAST({g} AS DOUBLE))" for i, g in enumerate(GRID))
 VIEWS["sweep"] = f"""
@@ -64,7 +76,7 @@ FROM (SELECT r.*, m.mu, scale * scale / (scale * scale + se * se) * mean
       FROM sweep_in r JOIN (SELECT campaign_id, step, sum(mean / (se * se + scale * scale))
              / (sum(1 / (se * se + scale * scale)) + 1 / (0.0035 * 0.0035)) AS mu FROM sweep_in GROUP BY 1, 2) m
         ON m.campaign_id = r.campaign_id AND m.step = r.step) x GROUP BY 1, 2, 3"""
-VIEWS["sweep_in"] = f"SELECT p.*, g.step, g.scale FROM p_stats p CROSS JOIN (VALUES {_grid}) g(step, scale) WHERE se > 0"
+VIEWS["sweep_in"] = f"SELECT p.*, g.step, g.scale FROM p_exact p CROSS JOIN (VALUES {_grid}) g(step, scale) WHERE se > 0"
 
 
 def baskets(r):
@@ -86,8 +98,12 @@ def stats(r):
     return r.stage("p_stats", lambda: L.pair_stats(pair_draws(r)))
 
 
+def exact(r):
+    return r.stage("p_exact", lambda: L.pair_posterior(L.store_posterior(baskets(r)), mq.weekly_baseline(r), mq.area_nearest(r)))
+
+
 def pooled(r):
-    return L.partial_pool(stats(r))
+    return L.partial_pool(exact(r))
 
 
 @query("store_total_posterior", "SELECT * FROM posterior", money="total_mean total_sd lower upper")
@@ -115,6 +131,11 @@ def _(r):
     return stats(r)
 
 
+@query("pair_posterior", "SELECT * FROM p_exact", ratio="mean sd se", result="p_exact")
+def _(r):
+    return exact(r)
+
+
 @query("partial_pooling", "SELECT * FROM pooled", ratio="mean se tau2 mu_pop weight pooled_effect lo hi")
 def _(r):
     return pooled(r)
@@ -127,7 +148,33 @@ FROM sweep s LEFT JOIN (SELECT campaign_id, min(step) AS first FROM sweep
   WHERE share_within >= 0.46 AND share_exact < 0.05 GROUP BY 1) f ON f.campaign_id = s.campaign_id""",
        ratio="scale share_within share_exact")
 def _(r):
-    return L.scale_sweep(stats(r), GRID)
+    return L.scale_sweep(exact(r), GRID)
+
+
+def _search_sql(points: int = 15, rounds: int = 3) -> str:
+    """The bracketing rounds written out: every round tries ``points`` scales inside each campaign's bracket."""
+    steps = ["s0 AS (SELECT DISTINCT campaign_id, ln(CAST(1e-5 AS DOUBLE)) AS lo, ln(CAST(10 AS DOUBLE)) AS hi FROM p_exact WHERE se > 0)"]
+    for n in range(rounds):
+        steps.append(f"""t{n} AS MATERIALIZED (SELECT *, exp(spot) AS scale FROM (SELECT s.campaign_id, k.step, s.lo + (s.hi - s.lo) * k.step / {points + 1} AS spot
+  FROM s{n} s CROSS JOIN (SELECT unnest(range({points + 2})) AS step) k) x),
+r{n} AS MATERIALIZED (SELECT t.*, p.mean, p.se FROM t{n} t JOIN p_exact p ON p.campaign_id = t.campaign_id WHERE p.se > 0),
+m{n} AS (SELECT campaign_id, step, sum(mean / (se * se + scale * scale)) / (sum(1 / (se * se + scale * scale)) + 1 / (0.0035 * 0.0035)) AS mu
+  FROM r{n} GROUP BY 1, 2),
+h{n} AS MATERIALIZED (SELECT r.campaign_id, r.step, r.spot, r.scale,
+  avg(CASE WHEN abs(r.scale * r.scale / (r.scale * r.scale + r.se * r.se) * (r.mean - m.mu)) <= 0.3 THEN 1.0 ELSE 0.0 END) AS share_within,
+  avg(CASE WHEN abs(r.scale * r.scale / (r.scale * r.scale + r.se * r.se) * (r.mean - m.mu)) < 1e-6 THEN 1.0 ELSE 0.0 END) AS share_exact
+  FROM r{n} r JOIN m{n} m ON m.campaign_id = r.campaign_id AND m.step = r.step GROUP BY 1, 2, 3, 4),
+f{n} AS MATERIALIZED (SELECT h.*, g.first FROM h{n} h JOIN (SELECT campaign_id, coalesce(min(CASE WHEN share_exact < 0.05 THEN step END), {points + 1}) AS first
+  FROM h{n} GROUP BY 1) g ON g.campaign_id = h.campaign_id),
+s{n + 1} AS (SELECT campaign_id, max(CASE WHEN step <= greatest(first - 1, 0) THEN spot END) AS lo, min(CASE WHEN step >= first THEN spot END) AS hi
+  FROM f{n} GROUP BY 1)""")
+    return f"""SELECT * FROM (WITH {", ".join(steps)} SELECT campaign_id, scale, share_within, share_exact,
+  CAST(CASE WHEN share_within >= 0.46 AND share_exact < 0.05 THEN 1 ELSE 0 END AS BIGINT) AS accepted FROM f{rounds - 1} WHERE step = first) searched"""
+
+
+@query("pooling_scale_search", _search_sql(), ratio="scale share_within share_exact")
+def _(r):
+    return L.scale_search(exact(r))
 
 
 @query("regularised_vs_empirical", """
@@ -143,17 +190,66 @@ def _(r):
     return E.pooled_report(pooled(r), mq.empirical(r))
 
 
+def asset_results(r):
+    return r.stage("asset_res", lambda: Y.asset_results(Y.discordant_pairs(cq.with_media(r)), cq.changes(r)))
+
+
+VIEWS["media_terms"] = """
+SELECT row, grp, y, term, sum(value) AS value FROM (
+  SELECT row, grp, y, '(intercept)' AS term, 1.0 AS value FROM media_in
+  UNION ALL SELECT row, grp, y, 'media:' || trim(m), 1.0 FROM (SELECT *, unnest(list_distinct(string_split(on_media, ', '))) AS m FROM media_in) a WHERE m <> ''
+  UNION ALL SELECT row, grp, y, 'media:' || trim(m), -1.0 FROM (SELECT *, unnest(list_distinct(string_split(off_media, ', '))) AS m FROM media_in) b WHERE m <> ''
+  UNION ALL SELECT row, grp, y, 'y', y FROM media_in) x GROUP BY 1, 2, 3, 4"""
+VIEWS["media_in"] = """
+SELECT row_number() OVER () AS row, coalesce(test_group, '') AS grp, CAST(coalesce(effect_sales, 0) AS DOUBLE) AS y,
+       coalesce(compliant, '') AS on_media, coalesce(other_non_compliant, '') AS off_media FROM asset_res"""
+
+
+@query("media_moments", """
+SELECT a.grp, a.term AS i, b.term AS j, sum(a.value * b.value) AS value FROM media_terms a JOIN media_terms b ON b.row = a.row
+WHERE b.term = 'y' OR (a.term <> 'y' AND a.term <= b.term) GROUP BY 1, 2, 3""", money="value")
+def _(r):
+    return ME.group_moments(ME.media_rows(asset_results(r)))
+
+
 @query("media_effects_regression")
 def _(r):
-    results = r.stage("asset_res", lambda: Y.asset_results(Y.discordant_pairs(cq.with_media(r)), cq.changes(r)))
-    return L.media_effects(results, replicates=20)
+    return ME.media_effects(asset_results(r))
+
+
+def feats(r):
+    return r.stage("feats", lambda: e.feats(r))
 
 
 @query("kmeans_shopper_clusters")
 def _(r):
-    return L.shopper_clusters(r.stage("feats", lambda: e.feats(r)), k=10, iterations=5)
+    return L.shopper_clusters(feats(r), k=10)
+
+
+_Z = ", ".join(f"coalesce(({f} - avg({f}) OVER b) / nullif(stddev_samp({f}) OVER b, 0), 0)" for f in P.FEATURES)
+VIEWS["z_feats"] = f"SELECT *, [{_Z}] AS x FROM feats WINDOW b AS (PARTITION BY booking_id)"
+VIEWS["k_first"] = f"""
+SELECT booking_id, x, row_number() OVER (PARTITION BY booking_id ORDER BY md5(booking_id || '|' || crn || '|clusters')) AS cluster FROM (
+  SELECT booking_id, any_value(x) AS x, min(crn) AS crn FROM z_feats GROUP BY booking_id, {", ".join(P.FEATURES)}) d"""
+
+
+@query("kmeans_first_round", """
+SELECT booking_id, cluster, count(*) AS n, sum(d) AS distance FROM (
+  SELECT p.booking_id, p.cohort, p.crn, arg_min(c.cluster, (d, c.cluster)) AS cluster, min(d) AS d FROM (
+    SELECT z.*, c.cluster, list_sum(list_transform(list_zip(z.x, c.x), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS d
+    FROM z_feats z JOIN k_first c ON c.booking_id = z.booking_id AND c.cluster <= 10) p
+  JOIN (SELECT booking_id, cluster FROM k_first) c ON c.booking_id = p.booking_id AND c.cluster = p.cluster GROUP BY 1, 2, 3) y GROUP BY 1, 2""",
+       ratio="distance")
+def _(r):
+    points = L.standardised(feats(r))
+    placed = L.assign_clusters(points, L.first_centres(points, 10, "clusters"))
+    return placed.groupBy("booking_id", "cluster").agg(F.count("*").alias("n"), F.sum("distance").alias("distance"))
+
+
+def daily_history(r):
+    return r.stage("daily_history", lambda: L.daily_campaign_sales(r.sales, r.campaigns, r.campaign_skus))
 
 
 @query("sales_forecast_residual")
 def _(r):
-    return L.forecast_residual(L.daily_campaign_sales(r.sales, r.campaigns, r.campaign_skus, 98))
+    return L.forecast_residual(daily_history(r))

@@ -171,5 +171,12 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not ordered:
         return sql
-    head = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in ordered)
+    texts = [sql, *[VIEWS[name] for name in ordered]]
+
+    def shape(name: str) -> str:
+        """A view that is read several times is computed once."""
+        often = sum(len(re.findall(rf"\b{name}\b", text)) for text in texts)
+        return f"{name} AS {'MATERIALIZED ' if often > 1 else ''}({VIEWS[name].strip()})"
+
+    head = ",\n".join(shape(name) for name in ordered)
     return f"WITH {head}\n{sql.strip()}"

@@ -96,6 +96,25 @@ def pair_stats(samples: DataFrame) -> DataFrame:
     ).withColumn("se", safe_divide("sd", F.sqrt("n")))
 
 
+def pair_posterior(post: DataFrame, baseline: DataFrame, pairs: DataFrame, draws: int = 2000) -> DataFrame:
+    """Mean, deviation and standard error of the difference of relative changes of each pair, in closed form.
+
+    What ``posterior_z``, ``pair_samples`` and ``pair_stats`` approach with many draws: a store's total is normal, its
+    relative change against the weekly baseline too, and so is the difference of two stores. ``draws`` is
+    the sample size that the standard error stands for. Stores with a single basket or no baseline have no pair.
+    """
+    facts = baseline.select(K, "site", "weekly_avg_sales_amount")
+    change = post.join(facts, [K, "site"]).select(
+        K, "site", safe_divide(F.col("total_mean") - F.col("weekly_avg_sales_amount"), "weekly_avg_sales_amount").alias("m"),
+        safe_divide("total_sd", F.abs("weekly_avg_sales_amount")).alias("s"),
+    ).filter("m IS NOT NULL AND s IS NOT NULL")
+    test = change.select(K, F.col("site").alias("test_store"), F.col("m").alias("tm"), F.col("s").alias("ts"))
+    control = change.select(K, F.col("site").alias("control_store"), F.col("m").alias("cm"), F.col("s").alias("cs"))
+    sd = F.sqrt(F.col("ts") * F.col("ts") + F.col("cs") * F.col("cs"))
+    met = pairs.select(*PAIR).join(test, [K, "test_store"]).join(control, [K, "control_store"])
+    return met.select(*PAIR, (F.col("tm") - F.col("cm")).alias("mean"), sd.alias("sd"), F.lit(draws).cast("long").alias("n"), (sd / F.sqrt(F.lit(float(draws)))).alias("se"))
+
+
 # ---- pooling -------------------------------------------------------------
 
 
@@ -165,87 +184,50 @@ def scale_sweep(
     )
 
 
-# ---- least squares over long features -------------------------------------
+def _shares(rows: DataFrame, by: Sequence[str], s0: float, tol: float) -> DataFrame:
+    """Shares of pooled effects near their campaign's mean and equal to it, per group with its scale."""
+    tagged = rows.withColumn("tau2", F.col("scale") * F.col("scale"))
+    pooled = _shrunk(tagged.join(_population_mean(tagged, by, s0), list(by)))
+    gap = F.abs(F.col("pooled_effect") - F.col("mu_pop"))
+    return pooled.groupBy(*by).agg(
+        F.avg(F.when(gap <= tol, 1.0).otherwise(0.0)).alias("share_within"), F.avg(F.when(gap < 1e-6, 1.0).otherwise(0.0)).alias("share_exact"))
 
 
-def fit_linear(terms: DataFrame, by: Sequence[str], ridge: float = 1e-6, free: Sequence[str] = ("(intercept)",)) -> DataFrame:
-    """Ridge coefficients per group from long rows ``by, row, term, value, y, w``.
+def scale_search(
+    stats: DataFrame, s0: float = 0.0035, tol: float = 0.3, min_share: float = 0.46, max_exact: float = 0.05,
+    least: float = 1e-5, most: float = 10.0, points: int = 15, closeness: float = 0.01,
+) -> DataFrame:
+    """The smallest scale, to a relative ``closeness``, at which few enough effects equal the campaign's mean.
 
-    Products of terms are summed by Spark; only the square of the number of terms
-    reaches one task, which solves that small system.  ``free`` terms carry no
-    penalty beyond a stabilising 1e-9.
-    """
-    by = list(by)
-    a = terms.select(*by, "row", F.col("term").alias("i"), (F.col("value") * F.col("w")).alias("wv"), "y")
-    b = terms.select(*by, "row", F.col("term").alias("j"), F.col("value").alias("v"))
-    gram = a.join(b, [*by, "row"]).groupBy(*by, "i", "j").agg(F.sum(F.col("wv") * F.col("v")).alias("g"))
-    moment = a.groupBy(*by, "i").agg(F.sum(F.col("wv") * F.col("y")).alias("m"))
-    system = gram.join(moment, [*by, "i"])
-    kinds = dict(system.dtypes)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["term string", "estimate double"])
-    unpenalised = set(free)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["i"]))
-        at = {t: n for n, t in enumerate(names)}
-        g = np.zeros((len(names), len(names)))
-        m = np.zeros(len(names))
-        for i, j, gv, mv in zip(pdf["i"], pdf["j"], pdf["g"], pdf["m"]):
-            g[at[i], at[j]] = gv
-            m[at[i]] = mv
-        penalty = np.array([1e-9 if t in unpenalised else ridge for t in names])
-        beta = np.linalg.solve(g + np.diag(penalty), m)
-        out = {c: pd.Series([pdf[c].iloc[0]] * len(names), dtype=object) for c in by}
-        return pd.DataFrame({**out, "term": pd.Series(names, dtype=object), "estimate": beta})
-
-    return system.groupBy(*by).applyInPandas(solve, schema)
-
-
-def media_effects(results: DataFrame, group: str = "test_group", ridge: float = 1.0, replicates: int = 50, seed: str = "boot") -> DataFrame:
-    """Effect of each medium (test minus control presence) with bootstrap intervals.
-
-    Penalised group intercepts play the part of random ones.  Every replicate
-    reweights the rows with hashed Poisson(1) weights and all are solved together;
-    replicate 0 is the fit to the data as it is.
+    All campaigns are bracketed at once: a state table holds each one's bracket, every round tries
+    ``points`` scales inside all of them in one aggregation and keeps the step at which the
+    share falls below ``max_exact``. ``accepted`` says whether enough effects lie within ``tol`` there. A
+    campaign that no scale up to ``most`` helps is reported at ``most`` and not accepted.
     """
-    media_of = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), ", ")
-    rows = results.withColumn("row", random_key("row", K, group, "compliant", "other_non_compliant")).select(
-        "row", F.coalesce("effect_sales", F.lit(0.0)).alias("y"), F.col(group).alias("grp"),
-        media_of("compliant").alias("on"), media_of("other_non_compliant").alias("off"),
-    )
-    entries = F.explode(
-        F.concat(
-            F.array(F.struct(F.lit("(intercept)").alias("term"), F.lit(1.0).alias("value"))),
-            F.array(F.struct(F.concat(F.lit("group:"), "grp").alias("term"), F.lit(1.0).alias("value"))),
-            F.transform(F.array_except("on", F.array(F.lit(""))),
-                        lambda m: F.struct(F.concat(F.lit("media:"), F.trim(m)).alias("term"), F.lit(1.0).alias("value"))),
-            F.transform(F.array_except("off", F.array(F.lit(""))),
-                        lambda m: F.struct(F.concat(F.lit("media:"), F.trim(m)).alias("term"), F.lit(-1.0).alias("value"))),
-        )
-    )
-    long = rows.select("row", "y", entries.alias("e")).groupBy("row", "y", F.col("e.term").alias("term")).agg(
-        F.sum("e.value").alias("value")
-    )
-    u = (F.conv(F.substring(random_key(seed, "row", "rep"), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    cuts, total, p = [], 0.0, math.exp(-1.0)
-    for n in range(8):
-        total += p
-        cuts.append(total)
-        p /= n + 1
-    weight = sum((F.when(u > c, 1.0).otherwise(0.0) for c in cuts), F.lit(0.0))
-    sampled = long.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn(
-        "w", F.when(F.col("rep") == 0, 1.0).otherwise(weight)
-    )
-    fitted = fit_linear(sampled, ["rep"], ridge)
-    point = F.max(F.when(F.col("rep") == 0, F.col("estimate")))
-    boot = F.when(F.col("rep") > 0, F.col("estimate"))
-    return fitted.groupBy("term").agg(
-        point.alias("estimate"), F.percentile(boot, F.lit(0.03)).alias("lo"), F.percentile(boot, F.lit(0.97)).alias("hi")
-    )
-
-
-def daily_campaign_sales(sales: DataFrame, campaigns: DataFrame, skus: DataFrame, days_before: int) -> DataFrame:
-    """campaign_id, media_start_date, ds, y: sales of the campaign SKUs per day before the start."""
+    known = cut_lineage(stats.filter(F.col("se") > 0).select(K, "mean", "se"))
+    state = known.select(K).distinct().withColumns({"lo": F.lit(math.log(least)), "hi": F.lit(math.log(most))})
+    width = math.log(most / least)
+    while True:
+        steps = F.transform(F.sequence(F.lit(0), F.lit(points + 1)), lambda i: F.struct(i.alias("step"), (F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points + 1)).alias("at")))
+        tried = state.select(K, F.explode(steps).alias("t")).select(K, "t.step", "t.at", F.exp("t.at").alias("scale"))
+        rows = known.join(tried, K)
+        shares = cut_lineage(tried.join(_shares(rows, [K, "step", "scale"], s0, tol), [K, "step", "scale"]))
+        good = F.col("share_exact") < max_exact
+        first = shares.groupBy(K).agg(F.coalesce(F.min(F.when(good, F.col("step"))), F.lit(points + 1)).alias("first"))
+        width /= points + 1
+        at = shares.join(first, K)
+        if width <= closeness:
+            ends = at.filter(F.col("step") == F.col("first"))
+            return ends.select(K, "scale", "share_within", "share_exact", ((F.col("share_within") >= min_share) & good).cast("int").alias("accepted"))
+        lo, hi = F.max(F.when(F.col("step") <= F.greatest(F.col("first") - 1, F.lit(0)), F.col("at"))), F.min(F.when(F.col("step") >= F.col("first"), F.col("at")))
+        state = cut_lineage(at.groupBy(K).agg(lo.alias("lo"), hi.alias("hi")))
+
+
+# ---- forecast ------------------------------------------------------------
+
+
+def daily_campaign_sales(sales: DataFrame, campaigns: DataFrame, skus: DataFrame, days_before: int = 2 * 365 + 28) -> DataFrame:
+    """campaign_id, media_start_date, ds, y: sales of the campaign SKUs per day before the start, two years of them."""
     lo, hi = F.date_sub("media_start_date", days_before), F.date_sub("media_start_date", 1)
     return (
         tag_sales(sales, campaigns.select(K, "media_start_date"), skus, lo, hi)
@@ -254,32 +236,104 @@ def daily_campaign_sales(sales: DataFrame, campaigns: DataFrame, skus: DataFrame
     )
 
 
-def _calendar_terms(ds: Column, weekly: int, yearly: int) -> Column:
-    day = F.datediff(ds, F.lit("2020-01-01").cast("date")).cast("double")
-    terms = [("(intercept)", F.lit(1.0)), ("trend", day / 365.25 - 4)]
-    for period, order, name in ((7.0, weekly, "week"), (365.25, yearly, "year")):
+def _calendar(days: np.ndarray, origin: float, span: float, changes: np.ndarray, weekly: int, yearly: int) -> np.ndarray:
+    """Columns of the model: level, slope, a bend at every change point, weekly and yearly waves."""
+    t = (days - origin) / span
+    columns = [np.ones_like(t), t, *[np.maximum(0.0, t - c) for c in changes]]
+    for period, order in ((7.0, weekly), (365.25, yearly)):
         for n in range(1, order + 1):
-            angle = day * (2 * math.pi * n / period)
-            terms += [(f"{name}_sin_{n}", F.sin(angle)), (f"{name}_cos_{n}", F.cos(angle))]
-    return F.explode(F.array(*[F.struct(F.lit(t).alias("term"), v.alias("value")) for t, v in terms]))
+            angle = days * (2 * math.pi * n / period)
+            columns += [np.sin(angle), np.cos(angle)]
+    return np.stack(columns, 1)
+
+
+def lasso_from_moments(gram: np.ndarray, moment: np.ndarray, l1: np.ndarray, l2: np.ndarray, tol: float = 1e-10, most: int = 20_000) -> np.ndarray:
+    """Minimiser of b'Gb/2 - m'b + sum(l1 |b|) + sum(l2 b^2)/2 by coordinate descent.
+
+    Starts at the solution without the L1 part; ends when a sweep moves no coefficient by more than ``tol`` of the
+    largest, or after ``most`` sweeps.
+    """
+    free = l1 == 0
+    beta = np.zeros(len(moment))
+    beta[free] = np.linalg.lstsq(gram[np.ix_(free, free)] + np.diag(l2[free] + 1e-9), moment[free], rcond=None)[0]
+    left = moment - gram @ beta  # what is not yet explained, kept up to date
+    usable = np.flatnonzero(np.diag(gram) + l2 > 0).tolist()
+    scales, penalties = (np.diag(gram) + l2).tolist(), l1.tolist()
+    for _ in range(most):
+        moved = 0.0
+        for j in usable:
+            old = float(beta[j])
+            rest = float(left[j]) + gram[j, j] * old
+            new = math.copysign(max(0.0, abs(rest) - penalties[j]), rest) / scales[j]
+            if new != old:
+                left -= gram[j] * (new - old)
+                beta[j] = new
+                moved = max(moved, abs(new - old))
+        if moved <= tol * max(1e-12, float(np.abs(beta).max(initial=0.0))):
+            break
+    return beta
+
+
+_TERMS = "term string, place double, estimate double"
 
 
-def forecast_residual(daily: DataFrame, horizon: int = 28, weekly: int = 3, yearly: int = 2, ridge: float = 1e-3) -> DataFrame:
-    """Forecast of the last ``horizon`` days before the start from the days before them.
+def trend_model(daily: DataFrame, horizon: int = 28, changes: int = 25, share: float = 0.8, weekly: int = 3, yearly: int = 10, l1: float = 0.5, ridge: float = 0.1) -> DataFrame:
+    """campaign_id, origin, span, scale, term, place and estimate of a trend that bends, fitted per campaign.
 
-    Trend, weekly and yearly waves are fitted per campaign on the training days.
+    The training days are all days of ``daily`` up to ``horizon`` days before the media start, so a series has as many
+    rows as its history has days. The slope may change at ``changes`` places spread over the first ``share`` of them; an
+    L1 penalty keeps most of the changes at zero, a ridge holds the waves. One moment matrix per series
+    is built, and coordinate descent works on that alone. Sales are divided by their largest value.
     """
     cut = F.date_sub("media_start_date", horizon)
-    rows = daily.select(
-        K, F.col("ds").alias("row"), "y", (F.col("ds") <= cut).alias("is_train"), F.lit(1.0).alias("w"),
-        _calendar_terms(F.col("ds"), weekly, yearly).alias("e"),
-    ).select(K, "row", "y", "is_train", "w", "e.term", "e.value")
-    coef = fit_linear(rows.filter("is_train"), [K], ridge)
+    train = daily.filter((F.col("ds") <= cut) & F.col("y").isNotNull()).select(K, F.unix_date("ds").cast("double").alias("d"), F.col("y").cast("double").alias("y"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("d")
+        d, y = pdf["d"].to_numpy(), pdf["y"].to_numpy()
+        origin, span = float(d[0]), max(1.0, float(d[-1] - d[0]))
+        scale = float(np.abs(y).max()) or 1.0
+        n = min(changes, max(0, int(share * len(d)) - 1))
+        at = (d[np.linspace(0, int(share * len(d)) - 1, n + 1).round().astype(int)[1:]] - origin) / span if n else np.zeros(0)
+        x = _calendar(d, origin, span, at, weekly, yearly)
+        waves = 2 * (weekly + yearly)
+        penalty = np.concatenate(([0.0, 0.0], np.full(len(at), l1), np.zeros(waves)))
+        small = np.concatenate((np.full(2 + len(at), 1e-9), np.full(waves, ridge)))
+        beta = lasso_from_moments(x.T @ x, x.T @ (y / scale), penalty, small, tol=1e-7, most=2000)
+        names = ["level", "slope", *["change"] * len(at)]
+        places = [0.0, 0.0, *at.tolist()]
+        for period, order in (("week", weekly), ("year", yearly)):
+            for k in range(1, order + 1):
+                names += [f"{period}_sin", f"{period}_cos"]
+                places += [float(k), float(k)]
+        head = pd.DataFrame({K: [pdf[K].iloc[0]] * len(names), "origin": origin, "span": span, "scale": scale})
+        return head.assign(term=names, place=places, estimate=beta)
+
+    return train.groupBy(K).applyInPandas(fit, f"{K} string, origin double, span double, scale double, {_TERMS}")
+
+
+def forecast_from(model: DataFrame, days: DataFrame) -> DataFrame:
+    """campaign_id, ds and yhat for the days asked for, from the coefficients of ``trend_model``."""
+    d = F.unix_date("ds").cast("double")
+    t = (d - F.col("origin")) / F.col("span")
+    term, place = F.col("term"), F.col("place")
+
+    def wave(period: str, length: float) -> Column:
+        angle = d * (2 * math.pi / length) * place
+        return F.when(term == f"{period}_sin", F.sin(angle)).when(term == f"{period}_cos", F.cos(angle))
+
+    value = F.coalesce(
+        F.when(term == "level", F.lit(1.0)).when(term == "slope", t).when(term == "change", F.greatest(F.lit(0.0), t - place)),
+        wave("week", 7.0), wave("year", 365.25))
+    return days.join(model, K).groupBy(K, "ds").agg(F.sum(F.col("estimate") * value * F.col("scale")).alias("yhat"))
+
+
+def forecast_residual(daily: DataFrame, horizon: int = 28, **options) -> DataFrame:
+    """Forecast of the last ``horizon`` days before the start from all days before them, with what came true."""
+    model = cut_lineage(trend_model(daily, horizon, **options))
+    late = daily.filter(F.col("ds") > F.date_sub("media_start_date", horizon)).select(K, "ds", F.col("y").cast("double").alias("y"))
     return (
-        rows.filter("NOT is_train")
-        .join(coef, [K, "term"])
-        .groupBy(K, F.col("row").alias("ds"), "y")
-        .agg(F.sum(F.col("estimate") * F.col("value")).alias("yhat"))
+        late.join(forecast_from(model, late.select(K, "ds")), [K, "ds"])
         .withColumn("residual", F.col("yhat") - F.col("y"))
         .withColumn("percentage_error", safe_divide("residual", F.abs("y")) * 100)
     )
@@ -288,51 +342,53 @@ def forecast_residual(daily: DataFrame, horizon: int = 28, weekly: int = 3, year
 # ---- clusters ------------------------------------------------------------
 
 
-def shopper_clusters(feats: DataFrame, k: int = 10, iterations: int = 10, seed: str = "clusters", tol: float = 1e-6) -> DataFrame:
-    """k-means of standardised features for all campaigns at once.
-
-    Each round is one aggregation; the driver sees only the ``k`` centres per
-    campaign.  Starting centres are ``k`` shoppers with distinct features, drawn by
-    a hashed key; campaigns with fewer distinct shoppers get fewer clusters.
-    """
+def standardised(feats: DataFrame) -> DataFrame:
+    """``feats`` with x, the features less their campaign's mean, over its deviation; 0 where they do not vary."""
     stats = feats.groupBy("booking_id").agg(
         *[F.avg(f).alias(f"m_{f}") for f in FEATURES], *[F.stddev_samp(f).alias(f"s_{f}") for f in FEATURES]
     )
-    scaled = F.array(*[
-        F.coalesce(safe_divide(F.col(f) - F.col(f"m_{f}"), f"s_{f}"), F.lit(0.0)) for f in FEATURES
-    ])
-    points = cut_lineage(feats.join(stats, "booking_id").select(*feats.columns, scaled.alias("x")))
-    order = W.partitionBy("booking_id").orderBy(random_key(seed, "booking_id", "crn"))
-    starts = (
-        points.groupBy("booking_id", "x").agg(F.min("crn").alias("crn"))
-        .withColumn("cluster", F.row_number().over(order))
-        .filter(F.col("cluster") <= k)
-        .select("booking_id", "cluster", "x")
-    )
-    centres = {(r.booking_id, r.cluster): tuple(r.x) for r in starts.collect()}
-    spark = feats.sparkSession
-    schema = "booking_id string, centres array<struct<cluster:long, c:array<double>>>"
-
-    def assigned() -> DataFrame:
-        table: dict[str, list] = {}
-        for (b, n), x in sorted(centres.items()):
-            table.setdefault(b, []).append((n, list(x)))
-        known = spark.createDataFrame(list(table.items()), schema)
-        gap = lambda c: F.aggregate(
-            F.zip_with("x", c, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v
-        )
-        nearest = F.array_min(F.transform("centres", lambda c: F.struct(gap(c["c"]).alias("d"), c["cluster"].alias("cluster"))))
-        return points.join(F.broadcast(known), "booking_id").withColumn("n", nearest).select(
-            *feats.columns, "x", F.col("n.cluster").alias("cluster"), F.col("n.d").alias("distance")
-        )
+    scaled = F.array(*[F.coalesce(safe_divide(F.col(f) - F.col(f"m_{f}"), f"s_{f}"), F.lit(0.0)) for f in FEATURES])
+    return feats.join(stats, "booking_id").select(*feats.columns, scaled.alias("x"))
 
-    for _ in range(iterations):
-        means = assigned().groupBy("booking_id", "cluster").agg(
-            F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(len(FEATURES))]).alias("x")
-        )
-        moved = {(r.booking_id, r.cluster): tuple(r.x) for r in means.collect()}
-        shift = max((max(abs(p - q) for p, q in zip(moved[c], centres[c])) for c in moved), default=0.0)
-        centres.update(moved)
-        if shift <= tol:
-            break
-    return assigned().drop("x")
+
+def first_centres(points: DataFrame, k: int, seed: str) -> DataFrame:
+    """booking_id, cluster and x of ``k`` shoppers with distinct features per campaign, by a hashed key."""
+    distinct = points.groupBy("booking_id", "x").agg(F.min("crn").alias("crn")).withColumn("key", random_key(seed, "booking_id", "crn"))
+    # each slice of the key's range keeps its first k, so that no task sorts a whole campaign
+    sliced = W.partitionBy("booking_id", F.substring("key", 1, 2)).orderBy("key")
+    few = distinct.withColumn("n", F.row_number().over(sliced)).filter(F.col("n") <= k)
+    first = F.row_number().over(W.partitionBy("booking_id").orderBy("key"))
+    return few.withColumn("cluster", first).filter(F.col("cluster") <= k).select("booking_id", F.col("cluster").cast("long").alias("cluster"), "x")
+
+
+def assign_clusters(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """``points`` with cluster and squared distance of the nearest centre; the lower number wins a tie."""
+    known = centres.groupBy("booking_id").agg(F.array_sort(F.collect_list(F.struct("cluster", F.col("x").alias("c")))).alias("centres"))  # k of them
+    gap = lambda c: F.aggregate(F.zip_with("x", c, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    nearest = F.array_min(F.transform("centres", lambda c: F.struct(gap(c["c"]).alias("d"), c["cluster"].alias("cluster"))))
+    return points.join(known, "booking_id").withColumn("n", nearest).select(
+        *points.columns, F.col("n.cluster").alias("cluster"), F.col("n.d").alias("distance"))
+
+
+def moved_centres(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """Centres moved to the mean of their points, with ``shift``, the largest change of a coordinate."""
+    means = assign_clusters(points, centres).groupBy("booking_id", "cluster").agg(
+        F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(len(FEATURES))]).alias("m"))
+    change = F.array_max(F.zip_with("x", "m", lambda a, b: F.abs(a - b)))
+    return centres.join(means, ["booking_id", "cluster"], "left").select(
+        "booking_id", "cluster", F.coalesce("m", "x").alias("x"), F.coalesce(change, F.lit(0.0)).alias("shift"))
+
+
+def shopper_clusters(feats: DataFrame, k: int = 10, seed: str = "clusters", tol: float = 1e-6) -> DataFrame:
+    """k-means of standardised features for all campaigns at once, until no centre moves by more than ``tol``.
+
+    Each round is one aggregation; centres stay in a table of ``k`` rows per campaign, and the driver sees one
+    number a round. Campaigns with fewer distinct shoppers get fewer clusters.
+    """
+    points = cut_lineage(standardised(feats))
+    centres = cut_lineage(first_centres(points, k, seed))
+    while True:
+        moved = cut_lineage(moved_centres(points, centres))
+        centres = moved.drop("shift")
+        if (moved.agg(F.max("shift")).first()[0] or 0.0) <= tol:
+            return assign_clusters(points, centres).drop("x")
