@@ -240,6 +240,19 @@ def _(r):
     return C.concurrent_campaigns(info(r)).withColumn("overlapping_ids", F.array_join("overlapping_ids", ","))
 
 
+@query("concurrent_campaign_pairs", """
+SELECT campaign_id, line_name, run_week_start, other, CAST(flag AS BIGINT) AS matching_subcat_flag
+FROM (SELECT *, max(hit) OVER (PARTITION BY campaign_id, line_name, run_week_start) AS flag FROM (
+        SELECT a.campaign_id, a.line_name, a.run_week_start, b.campaign_id AS other,
+               CASE WHEN list_has_any(a.subcats, b.subcats) THEN 1 ELSE 0 END AS hit
+        FROM (SELECT DISTINCT campaign_id, line_name, run_week_start, subcats FROM comp_info) a
+        JOIN (SELECT DISTINCT campaign_id, run_week_start, subcats FROM comp_info) b
+          ON b.run_week_start = a.run_week_start AND b.campaign_id <> a.campaign_id) x) y
+WHERE hit = flag GROUP BY 1, 2, 3, 4, 5""")
+def _(r):
+    return C.concurrent_pairs(info(r))
+
+
 @query("discount_depth", "SELECT * FROM depth", ratio="average_discount_depth")
 def _(r):
     return C.discount_depth(schema(r), r.bookings, r.price_lines)
@@ -260,6 +273,17 @@ def _(r):
     return C.compliant_first_campaign(schema(r))
 
 
+@query("first_campaign_members", """
+SELECT * FROM (WITH f AS (SELECT campaign_id, min(campaign_start_date) AS campaign_start_date FROM week_one WHERE is_compliant = 1 GROUP BY 1),
+k AS (SELECT w.* FROM week_one w JOIN f ON f.campaign_id = w.campaign_id AND f.campaign_start_date = w.campaign_start_date WHERE w.is_compliant = 1)
+SELECT DISTINCT campaign_id, campaign_start_date, 'store' AS kind, CAST(site AS VARCHAR) AS member FROM k
+UNION ALL SELECT DISTINCT k.campaign_id, k.campaign_start_date, 'sku', s.article FROM k
+JOIN (SELECT booking_number, line_name, unnest(string_split(quoteline_sku, ',')) AS article FROM bookings) s
+  ON s.booking_number = k.campaign_id AND s.line_name = k.line_name) members""")
+def _(r):
+    return C.first_campaign_members(schema(r), r.bookings)
+
+
 @query("week1_campaign_skus", """
 SELECT DISTINCT b.booking_number AS campaign_id, unnest(string_split(b.quoteline_sku, ',')) AS article
 FROM bookings b JOIN (SELECT DISTINCT campaign_id, campaign_start_date FROM comp_schema) c
@@ -548,12 +572,12 @@ def _(r):
 
 VIEWS["site_weeks"] = """
 SELECT site, CAST(date_trunc('week', txn_date) AS DATE) AS sales_week, count(DISTINCT basket_key) AS n_transactions,
-       sum(sales_amount) AS sales_amount FROM store_sales
-WHERE txn_date >= DATE '2023-09-04' AND txn_date < DATE '2024-02-12' GROUP BY 1, 2"""
+       sum(sales_amount) AS sales_amount FROM store_sales GROUP BY 1, 2"""
 VIEWS["dense_weeks"] = """
 SELECT s.site, k.sales_week, coalesce(w.n_transactions, 0) AS n_transactions, coalesce(w.sales_amount, 0) AS sales_amount
 FROM (SELECT DISTINCT site FROM site_weeks) s
-CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2023-09-04', DATE '2024-02-05', INTERVAL 7 DAY)) AS DATE) AS sales_week) k
+CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT min(sales_week) FROM site_weeks), (SELECT max(sales_week) FROM site_weeks),
+                                              INTERVAL 7 DAY)) AS DATE) AS sales_week) k
 LEFT JOIN site_weeks w ON w.site = s.site AND w.sales_week = k.sales_week"""
 VIEWS["allocated"] = """
 SELECT site, n AS random_allocation, CASE WHEN n <= 20 THEN 'Test 1' WHEN n <= 45 THEN 'Test 2' ELSE 'Control' END AS cohort
@@ -576,14 +600,13 @@ WHERE n <= stratified_sample_size"""
 def site_weeks(r):
     from counterlift.functions import week_start
     from counterlift.operators.store_sales import in_store
-    d = F.col("txn_date")
-    return (in_store(r.sales).filter((d >= F.lit("2023-09-04").cast("date")) & (d < F.lit("2024-02-12").cast("date")))
+    return (in_store(r.sales)
             .groupBy("site", week_start("txn_date", "MON").alias("sales_week"))
             .agg(F.count_distinct("basket_key").alias("n_transactions"), F.sum("sales_amount").alias("sales_amount")))
 
 
 def dense(r):
-    return D.densify(site_weeks(r), ["site"], "sales_week", "2023-09-04", "2024-02-05", ["n_transactions", "sales_amount"])
+    return D.densify(site_weeks(r), ["site"], "sales_week", ["n_transactions", "sales_amount"])
 
 
 def allocated(r):
@@ -602,10 +625,10 @@ def _(r):
 @query("dense_campaign_panel", """
 SELECT x.campaign_id, x.site, x.sales_week, coalesce(w.n_transactions, 0) AS n_transactions
 FROM (SELECT DISTINCT w.campaign_id, w.site, k.sales_week FROM weekly w CROSS JOIN (SELECT CAST(unnest(generate_series(
-      DATE '2023-09-03', DATE '2024-01-07', INTERVAL 7 DAY)) AS DATE) AS sales_week) k) x
+      (SELECT min(sales_week) FROM weekly), (SELECT max(sales_week) FROM weekly), INTERVAL 7 DAY)) AS DATE) AS sales_week) k) x
 LEFT JOIN weekly w ON w.campaign_id = x.campaign_id AND w.site = x.site AND w.sales_week = x.sales_week""")
 def _(r):
-    return D.densify(q.weekly(r), ["campaign_id", "site"], "sales_week", "2023-09-03", "2024-01-07", ["n_transactions"])
+    return D.densify(q.weekly(r), ["campaign_id", "site"], "sales_week", ["n_transactions"])
 
 
 @query("activity_gate", """

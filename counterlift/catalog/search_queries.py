@@ -144,6 +144,15 @@ def _(r):
     return c_pages(r)
 
 
+@query("impression_page_skus", """
+SELECT DISTINCT h.booking_id, CAST(h.date_time AS DATE) AS impression_date, h.campaign_start_date, h.campaign_end_date, h.site_platform,
+       h.media_type, h.ci_id, h.page_name, t.article, a.description
+FROM c_hits h JOIN taxonomy t ON t.booking_number = h.booking_id AND t.line_name = h.ci_id JOIN articles a ON a.article = t.article
+WHERE h.action = 'impression'""")
+def _(r):
+    return T.impression_page_skus(c_hits(r), e.sets_source(r), r.articles)
+
+
 @query("exposed_shoppers_at_time", "SELECT * FROM exposed_t", result="exposed_t")
 def _(r):
     return exposed(r)
@@ -225,6 +234,43 @@ def _(r):
     return unmatched(r)
 
 
+_SIDE = """count(DISTINCT CASE WHEN exposure_context = '{c}' THEN exposure_crn END) AS n_{s},
+  count(DISTINCT CASE WHEN exposure_context = '{c}' AND converted_crn IS NOT NULL THEN exposure_crn END)
+    / nullif(count(DISTINCT CASE WHEN exposure_context = '{c}' THEN exposure_crn END), 0) AS {s}_conversion_rate"""
+
+
+@query("unmatched_conversion_report", f"""
+WITH b AS (SELECT DISTINCT booking_id, exposure_context, exposure_crn, basket_key, article, amount FROM sku_conv WHERE basket_key IS NOT NULL),
+u AS (SELECT * FROM b WHERE exposure_context = 'Exposed' UNION ALL SELECT c.* FROM b c WHERE c.exposure_context <> 'Exposed' AND NOT EXISTS (
+  SELECT 1 FROM b x WHERE x.exposure_context = 'Exposed' AND x.booking_id = c.booking_id AND x.exposure_crn = c.exposure_crn
+   AND x.basket_key = c.basket_key AND x.article = c.article AND x.amount = c.amount)),
+s AS (SELECT booking_id, count(DISTINCT CASE WHEN exposure_context = 'Exposed' THEN basket_key END) AS eb,
+  count(DISTINCT CASE WHEN exposure_context <> 'Exposed' THEN basket_key END) AS nb,
+  sum(CASE WHEN exposure_context = 'Exposed' THEN amount ELSE 0 END) AS es, sum(CASE WHEN exposure_context <> 'Exposed' THEN amount ELSE 0 END) AS ns
+  FROM u GROUP BY 1),
+p AS (SELECT booking_id, {_SIDE.format(c='Exposed', s='exposed')}, {_SIDE.format(c='Not Exposed', s='not_exposed')} FROM sku_conv GROUP BY 1),
+f AS (SELECT booking_number, min(campaign_start_date) AS campaign_start_date, max(campaign_end_date) AS campaign_end_date,
+  count(DISTINCT article) AS n_skus, string_agg(DISTINCT media_type, ',' ORDER BY media_type) AS media_types FROM taxonomy GROUP BY 1)
+SELECT p.booking_id, f.campaign_start_date, f.campaign_end_date, f.media_types, f.n_skus,
+  CAST(date_diff('day', f.campaign_start_date, f.campaign_end_date) AS BIGINT) AS n_days, p.n_exposed, p.exposed_conversion_rate,
+  coalesce(s.eb, 0) / nullif(p.n_exposed, 0) AS exposed_baskets_per_shopper, coalesce(s.es, 0) / nullif(p.n_exposed, 0) AS exposed_sales_per_shopper,
+  p.n_not_exposed, p.not_exposed_conversion_rate, coalesce(s.nb, 0) / nullif(p.n_not_exposed, 0) AS not_exposed_baskets_per_shopper,
+  coalesce(s.ns, 0) / nullif(p.n_not_exposed, 0) AS not_exposed_sales_per_shopper
+FROM p LEFT JOIN s ON s.booking_id = p.booking_id LEFT JOIN f ON f.booking_number = p.booking_id""",
+       money="exposed_sales_per_shopper not_exposed_sales_per_shopper",
+       ratio="exposed_conversion_rate not_exposed_conversion_rate exposed_baskets_per_shopper not_exposed_baskets_per_shopper")
+def _(r):
+    return T.unmatched_report(e.sku_lines(r), e.sets_source(r))
+
+
+@query("booking_members", """
+SELECT DISTINCT booking_number AS booking_id, 'media' AS kind, media_type AS member FROM taxonomy WHERE media_type IS NOT NULL
+UNION ALL SELECT DISTINCT booking_number, 'sku', trim(article) FROM taxonomy
+UNION ALL SELECT DISTINCT t.booking_number, 'subcat', a.subcat FROM taxonomy t JOIN articles a ON a.article = trim(t.article)""")
+def _(r):
+    return T.booking_members(e.sets_source(r), r.articles)
+
+
 @query("conversion_uplift", """
 SELECT e.booking_id, e.conversion_rate / nullif(c.conversion_rate, 0) - 1 AS conversion_rate_perc,
        e.conversion_rate - c.conversion_rate AS conversion_rate_points,

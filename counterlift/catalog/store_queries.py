@@ -215,6 +215,13 @@ def _(r):
     return out.withColumn("campaign_skus", F.array_join("campaign_skus", ","))
 
 
+@query("campaign_store_skus", """
+SELECT campaign_id, site, article, sum(sales_amount) AS sales_amount, count(DISTINCT basket_key) AS n_baskets
+FROM store_tagged WHERE txn_date BETWEEN media_start_date AND media_end_date GROUP BY 1, 2, 3""", money="sales_amount")
+def _(r):
+    return S.campaign_store_skus(r.sales, r.campaigns, r.campaign_skus)
+
+
 @query("pre_vs_during", "SELECT * FROM pre_during",
        money=f"total_sales_campaign_period total_sales_pre_period {BASE_MONEY}", ratio=BASE_RATIO, result="pre_during")
 def _(r):

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from counterlift.functions import split_list, trailing_digit
+from counterlift.operators.design import bucketed_row_number
 
 K = "campaign_id"
 
@@ -142,10 +143,9 @@ def campaign_assets(bookings: DataFrame, media_like: Sequence[str] = ("%digital
         & F.col("quoteline_sku").isNotNull()
     )
     # numbered on slim rows, so that the lists stay out of the sort
-    order = W.partitionBy("booking_number").orderBy("media_start_date", "line_name")
-    numbered = screens.select("booking_number", "line_name", "media_start_date").withColumn(
-        "asset_num", F.row_number().over(order)
-    )
+    slim = screens.select("booking_number", "line_name", "media_start_date")
+    numbered = bucketed_row_number(
+        slim, ["booking_number"], ["media_start_date", "line_name"], F.coalesce(F.trunc("media_start_date", "month"), F.lit("0001-01-01").cast("date")), "asset_num")
     return screens.join(numbered, ["booking_number", "line_name", "media_start_date"]).select(
         F.concat_ws("_", "booking_number", F.col("asset_num").cast("string")).alias(K),
         "booking_number", "campaign_start_date", "campaign_end_date", "media_start_date", "media_end_date",
@@ -157,10 +157,9 @@ def campaign_assets(bookings: DataFrame, media_like: Sequence[str] = ("%digital
 
 def asset_info_per_line(bookings: DataFrame) -> DataFrame:
     """Number of each line inside its booking, in name order."""
-    order = W.partitionBy("booking_number").orderBy("line_name")
+    lines = bookings.select("booking_number", "line_name").distinct()
     return (
-        bookings.select("booking_number", "line_name").distinct()
-        .withColumn("asset_number", F.row_number().over(order))
+        bucketed_row_number(lines, ["booking_number"], ["line_name"], F.coalesce(F.substring("line_name", 1, 2), F.lit("")), "asset_number")
         .withColumn("booking_and_asset", F.concat_ws("_", "booking_number", F.col("asset_number").cast("string")))
     )
 
@@ -322,6 +321,22 @@ def concurrent_campaigns(info: DataFrame) -> DataFrame:
     )
 
 
+def concurrent_pairs(info: DataFrame) -> DataFrame:
+    """``concurrent_campaigns`` as a long table: one row per line, week and other campaign, with no list built.
+
+    Others with a common sub-category, or, for a line without any, all others of its week.
+    """
+    lines = info.select(K, "line_name", "run_week_start", "subcats").distinct()
+    key = [K, "line_name", "run_week_start"]
+    sub = lines.withColumn("subcat", F.explode("subcats")).filter(F.col("subcat") != "").select(*key, "subcat").distinct()
+    others = sub.select(F.col(K).alias("other"), "run_week_start", "subcat").distinct()
+    met = sub.join(others, ["run_week_start", "subcat"]).filter(F.col("other") != F.col(K)).select(*key, "other").distinct()
+    week = lines.select(F.col(K).alias("other"), "run_week_start").distinct()
+    alone = lines.select(*key).distinct().join(met.select(*key).distinct(), key, "left_anti")
+    rest = alone.join(week, "run_week_start").filter(F.col("other") != F.col(K))
+    return met.withColumn("matching_subcat_flag", F.lit(1)).unionByName(rest.select(*key, "other").withColumn("matching_subcat_flag", F.lit(0)))
+
+
 def discount_depth(schema: DataFrame, bookings: DataFrame, price_lines: DataFrame) -> DataFrame:
     """How far the paid price of a line's SKUs fell below the unit price in its run week."""
     weeks = schema.select(K, "line_name", "media_type", "week_number", "run_week_start").distinct()
@@ -371,6 +386,21 @@ def compliant_first_campaign(schema: DataFrame) -> DataFrame:
     )
 
 
+def first_campaign_members(schema: DataFrame, bookings: DataFrame) -> DataFrame:
+    """Compliant stores and SKUs of each campaign's first compliant start, one row per member.
+
+    campaign_id, campaign_start_date, kind (``store`` or ``sku``) and member.
+    """
+    rows = schema.filter((F.col("is_compliant") == 1) & (F.col("week_number") == 1) & (F.col("media_type") != "OTHERS"))
+    first = rows.groupBy(K).agg(F.min("campaign_start_date").alias("campaign_start_date"))
+    kept = rows.join(first, [K, "campaign_start_date"]).select(K, "campaign_start_date", "site", "line_name")
+    stores = kept.select(K, "campaign_start_date", F.lit("store").alias("kind"), F.col("site").cast("string").alias("member"))
+    listed = bookings.select(F.col("booking_number").alias(K), "line_name", F.explode(split_list("quoteline_sku")).alias("member"))
+    skus = kept.select(K, "campaign_start_date", "line_name").distinct().join(listed, [K, "line_name"]).select(
+        K, "campaign_start_date", F.lit("sku").alias("kind"), "member")
+    return stores.unionByName(skus).filter(F.col("member").isNotNull()).distinct()
+
+
 def week1_skus(schema: DataFrame, bookings: DataFrame) -> DataFrame:
     """campaign_id, article of all media that started with the campaign."""
     campaigns = schema.select(K, "campaign_start_date").distinct()

@@ -12,12 +12,15 @@ from counterlift.functions import random_key, safe_divide
 from counterlift.operators.store_sales import K
 
 
-def densify(facts: DataFrame, keys: Sequence[str], at: str, first: str, last: str, fill: Sequence[str], step_days: int = 7) -> DataFrame:
+def densify(facts: DataFrame, keys: Sequence[str], at: str, fill: Sequence[str], first: str | None = None, last: str | None = None, step_days: int = 7) -> DataFrame:
     """Every entity x every date from ``first`` to ``last``; missing facts become zero.
 
-    The calendar is a sequence generated per entity, not a cross join.
+    Without them the calendar runs from the first to the last date of the facts. It is a sequence
+    generated per entity, not a cross join.
     """
-    calendar = F.expr(f"sequence(date'{first}', date'{last}', interval {step_days} day)")
+    begin = facts.select(F.min(at)).scalar() if first is None else F.lit(first).cast("date")
+    end = facts.select(F.max(at)).scalar() if last is None else F.lit(last).cast("date")
+    calendar = F.sequence(begin, end, F.make_dt_interval(days=F.lit(step_days)))
     frame = facts.select(*keys).distinct().withColumn(at, F.explode(calendar))
     out = frame.join(facts.select(*keys, at, *fill), [*keys, at], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in fill})

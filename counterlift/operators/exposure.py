@@ -434,7 +434,10 @@ def hashed_key_conversions(exposures: DataFrame, txns: DataFrame, sets: DataFram
     seen = exposures.select(
         "booking_id", "sku_set", "date", F.coalesce(F.sha2(F.col("crn"), 256), F.col("hashed_crn")).alias("hashed_key")
     ).distinct()
-    bought = txns.filter(F.col("shopper_id").isNotNull()).join(sets, "article").select(
+    first, last = seen.select(F.min("date")).scalar(), seen.select(F.max("date")).scalar()
+    when = F.col("start_txn_time").cast("date")
+    in_time = (when >= first) & (when <= F.date_add(last, days))  # of any exposure, before anything is joined
+    bought = txns.filter(F.col("shopper_id").isNotNull() & in_time).join(sets, "article").select(
         "booking_id", "sku_set", F.sha2(F.col("shopper_id"), 256).alias("hashed_key"), "order_context", "start_txn_time",
         "basket_key", "article", "amount",
     )

@@ -53,6 +53,15 @@ def impression_pages(hits: DataFrame, taxonomy: DataFrame) -> DataFrame:
     )
 
 
+def impression_page_skus(hits: DataFrame, taxonomy: DataFrame, articles: DataFrame) -> DataFrame:
+    """Every SKU of a campaign line, with its description, on each page and day on which the line was shown."""
+    shown = hits.filter(F.col("action") == "impression").select(
+        "booking_id", F.col("date_time").cast("date").alias("impression_date"), "campaign_start_date", "campaign_end_date",
+        "site_platform", "media_type", "ci_id", "page_name").distinct()
+    listed = taxonomy.select(F.col("booking_number").alias("booking_id"), F.col("line_name").alias("ci_id"), "article").distinct()
+    return shown.join(listed, ["booking_id", "ci_id"]).join(articles.select("article", "description").distinct(), "article")
+
+
 def exposed_at_time(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct customer and exposure time for lines that were shown."""
     shown = pages.select("booking_id", "ci_id").distinct()
@@ -84,11 +93,13 @@ def page_day_controls(impressions: DataFrame, pages: DataFrame, exposed: DataFra
 def purchases_after(events: DataFrame, txns: DataFrame, skus: DataFrame, days: int = 7) -> DataFrame:
     """Purchases of campaign SKUs within ``days`` after each event.
 
-    Events without a purchase keep one row.  Transactions are reduced to the
-    campaign's SKUs before they meet the events.
+    Events without a purchase keep one row.  Transactions are reduced to the time of the
+    events and to the campaign's SKUs before they meet the events.
     """
+    first = events.select(F.min("exposure_time")).scalar()
+    last = events.select(F.max("exposure_time")).scalar()
     tagged = (
-        txns.filter(F.col("shopper_id").isNotNull())
+        txns.filter(F.col("shopper_id").isNotNull() & (F.col("start_txn_time") >= first) & (F.col("start_txn_time") <= last + F.make_dt_interval(days=F.lit(days))))
         .join(skus.select("booking_id", "article").distinct(), "article")
         .select(
             "booking_id", F.col("shopper_id").alias("crn"), "order_context", "start_txn_time", "basket_key", "article", "amount"
@@ -239,6 +250,44 @@ def unmatched_conversion(sales: DataFrame) -> DataFrame:
     return conversion_summary(exposed.unionByName(control), ("booking_id", "exposure_context"))
 
 
+def unmatched_report(lines: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Conversion, baskets and spend of exposed and not exposed customers of a booking, side by side.
+
+    Lines credited to an exposed customer are taken from the same customer's control lines. With the booking's
+    dates, number of days, number of SKUs and media; ``booking_members`` lists its SKUs and sub-categories.
+    """
+    key = ["booking_id", "exposure_crn", "basket_key", "article", "amount"]
+    bought = lines.filter(F.col("basket_key").isNotNull())
+    exposed = bought.filter(F.col("exposure_context") == "Exposed").select(*key).distinct()
+    control = bought.filter(F.col("exposure_context") != "Exposed").select(*key).distinct().join(exposed, key, "left_anti")
+    sums = exposed.withColumn("side", F.lit("exposed")).unionByName(control.withColumn("side", F.lit("not_exposed"))).groupBy("booking_id").pivot(
+        "side", ["exposed", "not_exposed"]).agg(F.count_distinct("basket_key").alias("baskets"), F.sum("amount").alias("sales"))
+    people = lines.groupBy("booking_id").pivot("exposure_context", ["Exposed", "Not Exposed"]).agg(
+        F.count_distinct("exposure_crn").alias("n"), F.count_distinct(F.when(F.col("converted_crn").isNotNull(), F.col("exposure_crn"))).alias("c"))
+    facts = taxonomy.groupBy(F.col("booking_number").alias("booking_id")).agg(
+        F.min("campaign_start_date").alias("campaign_start_date"), F.max("campaign_end_date").alias("campaign_end_date"),
+        F.count_distinct("article").alias("n_skus"), F.array_join(F.array_sort(F.collect_set("media_type")), ",").alias("media_types"))  # a taxonomy has few media
+    out = people.join(sums, "booking_id", "left").join(facts, "booking_id", "left")
+    cols = {"n_days": F.datediff("campaign_end_date", "campaign_start_date")}
+    for side, name in (("exposed", "Exposed"), ("not_exposed", "Not Exposed")):
+        n = F.coalesce(f"{name}_n", F.lit(0))
+        cols[f"n_{side}"] = n
+        cols[f"{side}_conversion_rate"] = safe_divide(F.col(f"{name}_c"), n)
+        cols[f"{side}_baskets_per_shopper"] = safe_divide(F.coalesce(f"{side}_baskets", F.lit(0)), n)
+        cols[f"{side}_sales_per_shopper"] = safe_divide(F.coalesce(f"{side}_sales", F.lit(0.0)), n)
+    return out.withColumns(cols).select("booking_id", "campaign_start_date", "campaign_end_date", "media_types", "n_skus", *cols)
+
+
+def booking_members(taxonomy: DataFrame, articles: DataFrame) -> DataFrame:
+    """booking_id, kind (``media``, ``sku`` or ``subcat``) and member of every booking, one row each."""
+    rows = taxonomy.select(F.col("booking_number").alias("booking_id"), "media_type", F.trim("article").alias("article")).distinct()
+    named = rows.select("booking_id", "article").join(articles.select("article", "subcat"), "article")
+    parts = [rows.select("booking_id", F.lit("media").alias("kind"), F.col("media_type").alias("member")),
+             rows.select("booking_id", F.lit("sku").alias("kind"), F.col("article").alias("member")),
+             named.select("booking_id", F.lit("subcat").alias("kind"), F.col("subcat").alias("member"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.col("member").isNotNull()).distinct()
+
+
 def conversion_uplift(summary: DataFrame) -> DataFrame:
     """Relative and point uplift of rate and spend, exposed over not exposed."""
     cols = ["conversion_rate", "spend_per_visitor"]

@@ -156,6 +156,12 @@ def campaign_sales(
     return with_cohort(out, stores)
 
 
+def campaign_store_skus(sales: DataFrame, campaigns: DataFrame, skus: DataFrame) -> DataFrame:
+    """campaign_id, site, article and sales of every campaign SKU sold at a site while the campaign ran, one row each."""
+    tagged = tag_sales(in_store(sales), campaigns, skus, F.col(START), F.col(END))
+    return tagged.groupBy(K, "site", "article").agg(F.sum("sales_amount").alias("sales_amount"), F.count_distinct("basket_key").alias("n_baskets"))
+
+
 def pre_vs_during(
     during: DataFrame, sales: DataFrame, campaigns: DataFrame, skus: DataFrame, baseline: DataFrame
 ) -> DataFrame:
