@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from counterlift.llm.registry import query, table
 from counterlift.llm.textarrays import _MULT, U64, Words, mix, slices, string_column
@@ -22,7 +22,7 @@ from counterlift.llm.toxicity import _letters, remainder
 from counterlift.session import cut_lineage
 
 TRAIN_ROWS = 3000  # per language, by smallest hash of the id: the bounded training sample
-MAX_LANGUAGES = 64
+WORD = 64  # languages of one mask word
 _SALTS = np.arange(1, 3, dtype=U64) * _MULT
 SLOTS = 1 << 20
 HASHES = 3
@@ -60,16 +60,16 @@ def _positions(values: np.ndarray) -> Iterator[np.ndarray]:
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    rows: np.ndarray  # one bitmask of languages per slot
+    rows: np.ndarray  # bitmasks of WORD languages each, words x slots
 
     def masks(self, values: np.ndarray) -> np.ndarray:
-        out = np.full(len(values), np.iinfo(np.uint64).max, U64)
+        out = np.full((len(self.rows), len(values)), np.iinfo(np.uint64).max, U64)
         for p in _positions(values):
-            out &= self.rows[p]
+            out &= self.rows[:, p]
         return out
 
     def false_rates(self) -> np.ndarray:
-        fill = np.array([((self.rows >> U64(i)) & U64(1)).mean() for i in range(len(self.languages))])
+        fill = np.array([((self.rows[i // WORD] >> U64(i % WORD)) & U64(1)).mean() for i in range(len(self.languages))])
         return fill**HASHES
 
     def counts(self, owner: np.ndarray, values: np.ndarray, n_docs: int) -> np.ndarray:
@@ -79,23 +79,21 @@ class LanguageFilter:
         rates = self.false_rates()
         out = np.zeros((n_docs, len(self.languages)))
         for i, f in enumerate(rates):
-            seen = np.bincount(owner, (mask >> U64(i)) & U64(1), n_docs)
+            seen = np.bincount(owner, (mask[i // WORD] >> U64(i % WORD)) & U64(1), n_docs)
             out[:, i] = np.maximum(0, (seen - total * f) / max(1e-9, 1 - f))
         return out
 
 
 def build_filter(names: list[str], value: np.ndarray, lang: np.ndarray, share: np.ndarray) -> LanguageFilter:
     """Filter from (n-gram, language, share) rows: an n-gram is held by its language and those close to it."""
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = np.zeros(SLOTS, U64)
+    rows = np.zeros((max(1, -(-len(names) // WORD)), SLOTS), U64)
     known, at = np.unique(value, return_inverse=True)
     largest = np.zeros(len(known))
     np.maximum.at(largest, at, share)
     held = share >= DOMINANCE * largest[at]
     for i in range(len(names)):
         for p in _positions(value[held & (lang == i)]):
-            np.bitwise_or.at(rows, p, U64(1) << U64(i))
+            np.bitwise_or.at(rows[i // WORD], p, U64(1) << U64(i % WORD))
     return LanguageFilter(names, rows)
 
 
@@ -156,11 +154,15 @@ def train_languages(docs: DataFrame) -> LanguageFilter:
     """
     usable = docs.filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    names = [r[0] for r in usable.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    parts = [usable.filter(F.col("lang") == n).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for n in names]
-    if not parts or len(names) > MAX_LANGUAGES:
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    names = sorted(r[0] for r in sizes.collect())  # the languages
+    if not names:
         return build_filter(names, np.zeros(0, U64), np.zeros(0, int), np.zeros(0))
-    ids = reduce(DataFrame.union, parts).distinct()
+    # a threshold on the hash leaves about twice as many rows as wanted, whatever the language's size; these are ranked
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    few = usable.select("doc_id", "lang").join(F.broadcast(sizes), "lang").filter(spot * F.col("n") < 2 * TRAIN_ROWS)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(spot, "doc_id"))
+    ids = few.withColumn("place", place).filter(F.col("place") <= TRAIN_ROWS).select("doc_id").distinct()
     counted = usable.join(F.broadcast(ids), "doc_id").select("text", "lang").mapInArrow(_count, "gram long, lang string, n long")
     grams = cut_lineage(counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")))
     total = grams.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -175,7 +177,7 @@ def predict_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """The rows of ``docs`` with lang_pred and score (the winner's part of all corrected counts).
 
     Texts that are null or have no letter get ``und`` and score 0, as every text does when no
-    language was learned. Ties go to the language first by name. Rows are judged one by one by
+    language was learned. Texts are read whole, however long; an empty table gives an empty result. Ties go to the language first by name. Rows are judged one by one by
     their text alone; other columns pass through, but ones named lang_pred or score are replaced.
     """
     d = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))

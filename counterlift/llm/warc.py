@@ -10,6 +10,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -31,20 +32,29 @@ SAMPLE_BYTES = 4 << 20  # records of an archive that its dictionary is built fro
 DICTIONARY_BYTES = 64 << 10
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str, url: str | None = None, n: int = 0) -> str:
+    """Name of a record: of its page and payload, and ``n``, its place among rows that agree in both. Without
+    page_id the address stands in."""
+    name = f"page:{page_id}:{digest}:{n}" if page_id is not None else f"address:{url}:{digest}:{n}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>"
 
 
-def warc_record(page_id: int, url: str | None, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
+def target_uri(url: str | None) -> str:
+    """The address with white space and unprintable characters as the percent-encoded bytes of their UTF-8."""
+    return "".join(c if c.isprintable() and c != " " else quote(c, safe="") for c in (url or "urn:none"))
+
+
+def warc_record(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, payload: bytes, n: int = 0) -> bytes:
     """One WARC/1.1 record; a revisit names the response it repeats and has no block."""
     kind = "response" if refers_to is None else "revisit"
-    target = "".join(c if c.isprintable() else "%0A" for c in (url or "urn:none"))
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Target-URI: {target}",
-        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-Id: {page_id}", f"X-Payload-Length: {size}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, url, n)}", f"WARC-Target-URI: {target_uri(url)}",
+        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
         payload = b""
     head += ["Content-Type: text/html", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -153,15 +163,19 @@ _INDEX = "archive string, page_id long, frame_offset long, frame_length long"
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: list[tuple[int, int, int]] = []
-        ids: list[int] = []
+        ids: list[int | None] = []
+        last, alike = None, 0
 
         def records():
+            nonlocal last, alike
             for batch in batches:
                 for lo in range(0, batch.num_rows, 64):
                     part = batch.slice(lo, 64)
                     for row in part.to_pylist():
                         ids.append(row["page_id"])
-                        yield warc_record(row["page_id"], row["url"], row["digest"], row["size"], row["refers_to"], (row["html"] or "").encode())
+                        same = row["page_id"], row["digest"], row["url"] if row["page_id"] is None else None
+                        last, alike = same, alike + 1 if same == last else 0  # rows that agree follow each other
+                        yield warc_record(row["page_id"], row["url"], row["digest"], row["size"], row["refers_to"], (row["html"] or "").encode(), alike)
 
         source = records()
         head = next(source, None)
@@ -190,21 +204,26 @@ def write_warcs(pages: DataFrame, folder: str) -> DataFrame:
 
     Returns the index: archive, page_id, frame_offset, frame_length. Payload is the html in
     UTF-8, a null one is empty. Of equal payloads of at least LEAST_REVISIT bytes the smallest
-    page_id is the response, the others revisit it. Rows without a page_id cannot be named and
-    are left out; repeated page_ids each get a record, and those whose payload equals that of
-    the response with the same id are responses too. Other columns are ignored. An empty table
-    writes no archive. The html is moved once, by page_id; digests are joined apart from it.
+    page_id is the response, the others revisit it. Repeated page_ids each get a record with a
+    name of its own, and those whose payload equals that of the response with the same id are
+    responses too. A row without page_id revisits the response of its payload; where no row with that payload
+    has an id, all are responses. Very long html is one record. Other columns are ignored. An empty
+    table writes no archive. The html is moved once, by page_id; digests are joined apart from it.
     """
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).filter("page_id IS NOT NULL")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     html = F.coalesce("html", F.lit(""))
     facts = cut_lineage(p.select("page_id", F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("size")))
     large = facts.filter(F.col("size") >= LEAST_REVISIT)
-    heads = large.groupBy("digest").agg(F.min("page_id").alias("head"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    heads = large.groupBy("digest").agg(F.min("page_id").alias("head"), F.count("*").alias("copies")).filter("copies > 1 AND head IS NOT NULL").drop("copies")
     revisits = large.join(heads, "digest").filter("page_id <> head").select("page_id", "digest", F.col("head").alias("refers_to")).distinct()
     n = graph.partitions_of(pages)
     digested = p.withColumns({"digest": F.sha2(html.cast("binary"), 256), "size": F.octet_length(html).cast("long")})
-    marked = digested.join(cut_lineage(revisits), ["page_id", "digest"], "left")
-    dealt = marked.repartition(n, "page_id").sortWithinPartitions("page_id", "digest")
+    columns = ["page_id", "url", "html", "digest", "size", "refers_to"]
+    named = digested.filter("page_id IS NOT NULL").join(cut_lineage(revisits), ["page_id", "digest"], "left").select(*columns)
+    known = heads.select("digest", F.col("head").alias("refers_to"))
+    nameless = digested.filter("page_id IS NULL").join(known, "digest", "left").select(*columns)
+    apart = F.when(F.col("page_id").isNull(), F.xxhash64("url", "digest"))  # rows without id are dealt by address and payload
+    dealt = named.unionByName(nameless).repartition(n, "page_id", apart).sortWithinPartitions("page_id", "digest", "url")
     return cut_lineage(dealt.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(_write(folder), _INDEX))
 
 
@@ -226,7 +245,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for raw in read_archive(io.BufferedReader(src, 1 << 20)):
                     f, body = parse_record(raw)
                     refers = f.get("X-Refers-To-Page")
-                    rows.append((int(f["X-Page-Id"]), f["WARC-Target-URI"], int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha256:"), f["WARC-Type"], int(refers) if refers else None, None if refers else body))
+                    page = f.get("X-Page-Id")
+                    rows.append((int(page) if page else None, f["WARC-Target-URI"], int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha256:"), f["WARC-Type"], int(refers) if refers else None, None if refers else body))
                     held += len(body)
                     if held > 8 << 20:
                         yield batch_of(rows)

@@ -13,7 +13,7 @@ import tokenizers
 from counterlift.llm.packing import BestFit, pack_documents
 from counterlift.llm.token_files import TokenFile, read_token_files, write_token_file, write_token_files
 from counterlift.llm.url_lists import url_verdicts, validity_intervals
-from counterlift.llm.warc import read_archive, read_warcs, warc_record, write_archive, write_warcs
+from counterlift.llm.warc import parse_record, read_archive, read_warcs, warc_record, write_archive, write_warcs
 
 PAGES = "page_id long, url string, html string, digest string, size string"
 
@@ -36,6 +36,30 @@ def test_warc_round_trip(spark, tmp_path):
             assert (r.record_type, r.refers_to, r.payload) == ("revisit", min(same), None)
 
 
+def test_every_page_gets_a_record_of_its_own(spark, tmp_path):
+    """Rows without or with a repeated page_id, and addresses with odd characters."""
+    big = "<p>" + "y" * 150
+    rows = [(1, "http://a/", big), (None, "http://b/", big), (None, "http://b/", big), (2, "http://c\u00a0d/ e\n", "short"), (2, "http://x/", "other"), (2, "http://x/", "other"), (3, "http://y/", big), (3, "http://y/", big)]
+    rows += [(None, None, "<p>" + "z" * 150), (None, None, "<p>" + "z" * 150), (None, "u", None)]
+    pages = spark.createDataFrame([(*r, "", "") for r in rows], PAGES)
+    index = write_warcs(pages, str(tmp_path / "w")).collect()
+    assert len(index) == len(rows)
+    ids, got = [], []
+    for archive in {r.archive for r in index}:
+        with open(archive.removeprefix("file://"), "rb") as src:
+            for raw in read_archive(io.BufferedReader(src)):
+                fields, body = parse_record(raw)
+                ids.append(fields["WARC-Record-ID"])
+                got.append(fields)
+    assert len(set(ids)) == len(rows)
+    assert all(f["WARC-Refers-To"] in ids for f in got if "WARC-Refers-To" in f)
+    assert "http://c%C2%A0d/%20e%0A" in {f["WARC-Target-URI"] for f in got}
+    back = read_warcs(write_warcs(pages, str(tmp_path / "v"))).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in back) == sorted(
+        [(1, "response", 0, 153), (0, "revisit", 1, 153), (0, "revisit", 1, 153), (2, "response", 0, 5), (2, "response", 0, 5), (2, "response", 0, 5),
+         (3, "revisit", 1, 153), (3, "revisit", 1, 153), (0, "response", 0, 153), (0, "response", 0, 153), (0, "response", 0, 0)])
+
+
 def test_warc_frames_stand_alone(spark, tmp_path):
     """A single record is decompressed from its offset with the dictionary of the first frame."""
     records = [warc_record(i, "http://a.example/", "0" * 64, 50, None, f"<html>{i}</html>".encode() * 30) for i in range(200)]

@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 
 from counterlift.llm import crf, pii
-from counterlift.llm.language_id import predict_languages, train_languages
-from counterlift.llm.textarrays import U64
-from counterlift.llm.toxicity import toxic_scores, train_toxicity
+from counterlift.llm.language_id import build_filter, ngrams, predict_languages, train_languages
+from counterlift.llm.textarrays import U64, Words
+from counterlift.llm.toxicity import _letters, toxic_scores, train_toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -154,6 +154,29 @@ def test_languages_on_held_out_rows(spark):
     assert again.languages == model.languages and np.array_equal(again.rows, model.rows)
 
 
+def test_more_languages_than_a_mask_word_holds(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [["".join(rng.choices(letters, k=rng.randint(3, 7))) for _ in range(12)] for _ in range(90)]
+    rows = [(100 * k + i, " ".join(rng.choices(words[k], k=30)), f"l{k:02d}") for k in range(90) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_languages(docs)
+    assert len(model.languages) == 90 and model.rows.shape[0] == 2
+    got = {r.doc_id: r.lang_pred for r in predict_languages(docs.select("doc_id", "text"), model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.97
+
+
+def test_language_popcounts_equal_brute_force(spark):
+    """Without false positives a text's counts are those of plain sets of n-grams."""
+    texts = ["the cat sat on the mat", "der hund und die katze", "the und der"]
+    words = Words(pa.array(texts), solid=_letters)
+    owner, value = ngrams(words)
+    model = build_filter(["de", "en"], value[owner < 2], np.where(owner[owner < 2] == 0, 1, 0), np.full((owner < 2).sum(), 0.1))
+    held = [set(value[owner == k].tolist()) for k in (1, 0)]
+    plain = np.array([[sum(v in h for v in value[owner == d].tolist()) for h in held] for d in range(3)])
+    assert np.allclose(model.counts(owner, value, 3), plain, atol=0.05)
+
+
 def test_languages_odd_input(spark):
     schema = "doc_id long, text string, lang string, score string"
     odd = [(1, None, "en"), (2, "", "en"), (3, "123 !", None), (None, "words of it", "en"), (5, "the word " * 100_000, "en"), (6, "漢字", "zh"), (7, "the word", "en")]
