@@ -34,6 +34,16 @@ SELECT d.campaign_id, d.site, d.draw, (d.value - b.weekly_avg_sales_amount) / nu
        (d.value - b.weekly_avg_sales_amount) / nullif(b.stddev_sales_amount, 0) * b.stddev_sales_amount
          / nullif(b.weekly_avg_sales_amount, 0) AS percentage_change
 FROM post_draws d JOIN baseline_sales b ON b.campaign_id = d.campaign_id AND b.site = d.site"""
+VIEWS["many_draws"] = """
+SELECT campaign_id, site, draw, (greatest(lower, least(upper, total_mean + total_sd *
+         sqrt(-2 * ln((CAST('0x' || substr(h, 1, 8) AS BIGINT) + 0.5) / 4294967296.0)) *
+         cos(2 * pi() * ((CAST('0x' || substr(h, 9, 8) AS BIGINT) + 0.5) / 4294967296.0)))) - avg_sales) / nullif(avg_sales, 0) AS change
+FROM (SELECT p.*, b.weekly_avg_sales_amount AS avg_sales, d.draw,
+             md5(p.campaign_id || '|' || CAST(p.site AS VARCHAR) || '|' || CAST(d.draw AS VARCHAR) || '|posterior') AS h
+      FROM posterior p JOIN baseline_sales b ON b.campaign_id = p.campaign_id AND b.site = p.site
+      CROSS JOIN (SELECT unnest(range(1, 2001)) AS draw) d
+      WHERE total_sd IS NOT NULL AND EXISTS (SELECT 1 FROM area_nearest a WHERE a.campaign_id = p.campaign_id
+        AND (a.test_store = p.site OR a.control_store = p.site))) x"""
 VIEWS["sim_pairs"] = """
 SELECT campaign_id, test_store, control_store FROM area_nearest p
 WHERE EXISTS (SELECT 1 FROM post_z z WHERE z.campaign_id = p.campaign_id AND z.site = p.control_store)"""
@@ -41,9 +51,6 @@ VIEWS["pair_draws"] = """
 SELECT p.campaign_id, p.test_store, p.control_store, t.draw, t.percentage_change - c.percentage_change AS effect
 FROM sim_pairs p JOIN post_z t ON t.campaign_id = p.campaign_id AND t.site = p.test_store
 LEFT JOIN post_z c ON c.campaign_id = p.campaign_id AND c.site = p.control_store AND c.draw = t.draw"""
-VIEWS["p_stats"] = """
-SELECT *, sd / sqrt(n) AS se FROM (SELECT campaign_id, test_store, control_store, avg(effect) AS mean,
-       stddev_samp(effect) AS sd, count(effect) AS n FROM pair_draws GROUP BY 1, 2, 3) x"""
 VIEWS["pooled"] = """
 SELECT *, pooled_effect - 1.96 * se * sqrt(weight) AS lo, pooled_effect + 1.96 * se * sqrt(weight) AS hi FROM (
   SELECT *, weight * mean + (1 - weight) * mu_pop AS pooled_effect FROM (
@@ -94,10 +101,6 @@ def pair_draws(r):
     return L.pair_samples(post_z(r), pairs, "percentage_change", "difference")
 
 
-def stats(r):
-    return r.stage("p_stats", lambda: L.pair_stats(pair_draws(r)))
-
-
 def exact(r):
     return r.stage("p_exact", lambda: L.pair_posterior(L.store_posterior(baskets(r)), mq.weekly_baseline(r), mq.area_nearest(r)))
 
@@ -126,9 +129,20 @@ def _(r):
     return pair_draws(r)
 
 
-@query("pair_mean_standard_error", "SELECT * FROM p_stats", ratio="mean sd se", result="p_stats")
+@query("pair_mean_standard_error", """
+SELECT *, sd / sqrt(n) AS se FROM (
+  SELECT p.campaign_id, p.test_store, p.control_store, avg(t.change - c.change) AS mean, stddev_samp(t.change - c.change) AS sd, count(t.change - c.change) AS n
+  FROM area_nearest p JOIN many_draws t ON t.campaign_id = p.campaign_id AND t.site = p.test_store
+  JOIN many_draws c ON c.campaign_id = p.campaign_id AND c.site = p.control_store AND c.draw = t.draw GROUP BY 1, 2, 3) x""",
+       ratio="mean sd se")
 def _(r):
-    return stats(r)
+    pairs = mq.area_nearest(r)
+    sites = pairs.select("campaign_id", F.col("test_store").alias("site")).union(pairs.select("campaign_id", "control_store")).distinct()
+    mine = baskets(r).join(sites, ["campaign_id", "site"], "left_semi")
+    z = L.posterior_z(L.store_posterior(mine, 2000), mq.weekly_baseline(r))
+    drawn = z.select("campaign_id", "site").distinct()
+    both = pairs.join(drawn.withColumnRenamed("site", "control_store"), ["campaign_id", "control_store"], "left_semi")
+    return L.pair_stats(L.pair_samples(z, both, "percentage_change", "difference"))
 
 
 @query("pair_posterior", "SELECT * FROM p_exact", ratio="mean sd se", result="p_exact")
@@ -253,3 +267,24 @@ def daily_history(r):
 @query("sales_forecast_residual")
 def _(r):
     return L.forecast_residual(daily_history(r))
+
+
+VIEWS["daily_all"] = """
+SELECT s.campaign_id, s.txn_date AS ds, sum(s.sales_amount) AS y FROM (
+  SELECT k.campaign_id, c.media_start_date, t.txn_date, t.sales_amount FROM sales t JOIN campaign_skus k ON k.article = t.article
+  JOIN campaigns c ON c.campaign_id = k.campaign_id
+  WHERE t.txn_date BETWEEN c.media_start_date - 758 AND c.media_start_date - 1) s GROUP BY 1, 2"""
+
+
+@query("forecast_from_coefficients", """
+SELECT d.campaign_id, d.ds, k.scale * (0.4 + 0.3 * t - 0.2 * greatest(0, t - 0.5) + 0.1 * sin(2 * pi() / 7 * 2 * n) + 0.05 * cos(2 * pi() / 365.25 * 3 * n)) AS yhat
+FROM (SELECT *, CAST(date_diff('day', DATE '1970-01-01', ds) AS DOUBLE) AS n FROM daily_all) d
+JOIN (SELECT campaign_id, max(y) AS scale, min(CAST(date_diff('day', DATE '1970-01-01', ds) AS DOUBLE)) AS origin FROM daily_all GROUP BY 1) k ON k.campaign_id = d.campaign_id
+CROSS JOIN LATERAL (SELECT (d.n - k.origin) / 100 AS t) x""", money="yhat")
+def _(r):
+    daily = daily_history(r)
+    head = daily.groupBy("campaign_id").agg(F.max("y").cast("double").alias("scale"), F.min(F.unix_date("ds")).cast("double").alias("origin"))
+    given = [("level", 0.0, 0.4), ("slope", 0.0, 0.3), ("change", 0.5, -0.2), ("week_sin", 2.0, 0.1), ("year_cos", 3.0, 0.05), ("week_cos", 1.0, 0.0)]
+    terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(p).alias("place"), F.lit(b).alias("estimate")) for t, p, b in given])
+    model = head.withColumn("span", F.lit(100.0)).select("campaign_id", "scale", "origin", "span", F.explode(terms).alias("e")).select("campaign_id", "scale", "origin", "span", "e.*")
+    return L.forecast_from(model, daily.select("campaign_id", "ds"))
