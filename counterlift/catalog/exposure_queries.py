@@ -104,7 +104,7 @@ FROM {_lv}_sales_{_d} GROUP BY 1"""
 
 
 def impressions(r):
-    return X.asset_impressions(r.hits, r.id_map)
+    return r.stage("impressions", lambda: X.asset_impressions(r.hits, r.id_map))
 
 
 def sets_source(r):
@@ -228,7 +228,7 @@ def _(r):
     return X.identity_asof(r.hits, r.id_map).select("event_id", "visitor_id", "shopper_id", "crn")
 
 
-@query("asset_impressions", "SELECT * FROM impressions")
+@query("asset_impressions", "SELECT * FROM impressions", result="impressions")
 def _(r):
     return impressions(r)
 
@@ -240,7 +240,7 @@ def _(r):
 
 @query("exposure_to_campaign", "SELECT * FROM exposed_hits")
 def _(r):
-    return X.attribute_exposures(impressions(r), taxonomy(r))
+    return X.attribute_exposures(impressions(r), sets_source(r))
 
 
 @query("distinct_exposures", "SELECT * FROM exposures", result="exposures")
@@ -375,7 +375,7 @@ JOIN sku_set_items s ON s.booking_id = e.booking_id AND s.sku_set = e.sku_set
 JOIN transactions t ON t.article = s.article AND sha256(t.shopper_id) = e.hashed_key
  AND CAST(t.start_txn_time AS DATE) BETWEEN e.date AND e.date + 7""", money="amount")
 def _(r):
-    seen = X.attribute_exposures(impressions(r), taxonomy(r)).withColumns(
+    seen = X.attribute_exposures(impressions(r), sets_source(r)).withColumns(
         {"date": F.col("date_time").cast("date"), "hashed_crn": F.sha2(F.col("shopper_id"), 256)})
     return X.hashed_key_conversions(seen, r.transactions, sets(r))
 

@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from counterlift.session import cut_lineage
-
 DAY = 2 * 86_400_000_000  # positions of a day
 
 
@@ -44,11 +42,10 @@ def segments(windows: DataFrame, keys: Sequence[str], width: int = DAY) -> tuple
     real = windows.filter(F.col("lo") < F.col("hi")).select(*keys, "lo", "hi").distinct()
     ends = real.select(F.explode(F.array("lo", "hi")).alias("at")).distinct().withColumn("_b", F.floor(F.col("at") / width))
     unrolled = real.withColumn("_b", F.explode(_buckets("lo", "hi", width)))
-    held = cut_lineage(ends.join(unrolled, "_b").filter((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi"))).select("at", *keys))
+    held = ends.join(unrolled, "_b").filter((F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi"))).select("at", *keys)
     # the sum of the members' hashes does not depend on their order, and no list is built
     one = F.xxhash64(*keys, *[F.col(k).isNull() for k in keys]).cast("decimal(38,0)")
     named = held.groupBy("at").agg(F.sum(one).alias("_s"), F.count("*").alias("n_open")).select("at", F.xxhash64("_s", "n_open").alias("set_id"), "n_open")
-    named = cut_lineage(named)
     found = ends.select("at").join(named, "at", "left").withColumn("n_open", F.coalesce("n_open", F.lit(0)))
     first = named.groupBy("set_id").agg(F.min("at").alias("at"))
     return found, held.join(first, "at").select("set_id", *keys)
@@ -60,14 +57,16 @@ def with_open_set(events: DataFrame, position: Column, cuts: DataFrame, width: i
     Events and cuts of a bucket of time are one ordered stream; what is open when a bucket begins is
     carried over from the buckets before it, one row each. A bucket's events are dealt to ``salts``
     streams, which each hold the bucket's cuts, so a busy day is spread over tasks. Events before the first
-    cut, and those without a position, have no set and 0 open windows.
+    or in a bucket after the last cut, and those without a position, have no set and 0 open windows.
     """
     salts = salts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = events.withColumn("_p", position).withColumn("_b", F.floor(F.col("_p") / width))
     placed = placed.withColumn("_salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int"))
     cuts = cuts.select("at", "set_id", "n_open").withColumn("_b", F.floor(F.col("at") / width))
     last = cuts.groupBy("_b").agg(F.max(F.struct("at", "set_id", "n_open")).alias("_last"))
-    buckets = placed.select("_b").filter("_b IS NOT NULL").distinct().join(last, "_b", "full_outer")
+    # after the last cut nothing is open, so the buckets between the first and the last cut are enough
+    span = last.agg(F.min("_b").alias("lo"), F.max("_b").alias("hi")).filter("lo IS NOT NULL")
+    buckets = span.select(F.explode(F.sequence("lo", "hi")).alias("_b")).join(last, "_b", "left")
     before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # one row per bucket of time
     carried = buckets.select("_b", F.last("_last", ignorenulls=True).over(before).alias("_c")).filter("_c IS NOT NULL")
     begin = carried.select("_b", F.col("_b") * width - 1, F.col("_c"))
