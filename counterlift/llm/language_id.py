@@ -65,7 +65,8 @@ class LanguageFilter:
     def masks(self, values: np.ndarray) -> np.ndarray:
         out = np.full((len(self.rows), len(values)), np.iinfo(np.uint64).max, U64)
         for p in _positions(values):
-            out &= self.rows[:, p]
+            for word, row in zip(out, self.rows, strict=True):
+                word &= row.take(p)
         return out
 
     def false_rates(self) -> np.ndarray:
@@ -79,7 +80,7 @@ class LanguageFilter:
         rates = self.false_rates()
         out = np.zeros((n_docs, len(self.languages)))
         for i, f in enumerate(rates):
-            seen = np.bincount(owner, (mask[i // WORD] >> U64(i % WORD)) & U64(1), n_docs)
+            seen = np.bincount(owner[(mask[i // WORD] & U64(1 << (i % WORD))) != 0], minlength=n_docs)
             out[:, i] = np.maximum(0, (seen - total * f) / max(1e-9, 1 - f))
         return out
 
