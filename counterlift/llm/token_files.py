@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from counterlift.llm import graph
 from counterlift.llm.registry import query, table
-from counterlift.llm.textarrays import slices, string_column
+from counterlift.llm.textarrays import gives_back, slices, string_column
 from counterlift.llm.tokenize import worker_encoder
 from counterlift.llm.warc import open_folder, place_file
 from counterlift.session import cut_lineage, shared_folder
@@ -161,7 +161,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     held = d.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
     n_files = max(graph.partitions_of(docs), -(-int(held) // FILE_BYTES))
     ordered = d.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = cut_lineage(ordered.mapInArrow(_write(folder, vocabulary, end_id, width), _FILES))
+    files = cut_lineage(ordered.mapInArrow(gives_back(_write(folder, vocabulary, end_id, width)), _FILES))
     # one row per file, not per document
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -191,7 +191,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_token_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document in the files."""
     names = files.select("file", "base").repartition(max(1, files.count()), "file")  # one row per file
-    return names.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    return names.mapInArrow(gives_back(_read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 @query("op9_token_files")

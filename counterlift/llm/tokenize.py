@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_CHUNKS = 400_000  # encoded pieces, and chunks, that a worker keeps, about 80 MB of each; then it starts anew
+CACHE_CHUNKS = 150_000  # encoded pieces, and chunks, that a worker keeps, about 30 MB of each; then it starts anew
 
 # ASCII without control characters, and Latin-1 letters: here the tokenizers' patterns need no Unicode tables
 SIMPLE = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")

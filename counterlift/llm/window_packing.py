@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterlift.llm.registry import query, table
-from counterlift.llm.textarrays import slices, string_column
+from counterlift.llm.textarrays import gives_back, slices, string_column
 from counterlift.llm.tokenize import worker_encoder
 
 CAPACITY = 2048
@@ -182,7 +182,7 @@ def pack_windows(
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shape = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return d.mapInArrow(_pack(vocabulary, end_id, glue, capacity, most, least_cut), shape)
+    return d.mapInArrow(gives_back(_pack(vocabulary, end_id, glue, capacity, most, least_cut)), shape)
 
 
 @query("op12_window_packing")
