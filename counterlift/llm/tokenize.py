@@ -13,15 +13,15 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_CHUNKS = 150_000  # encoded pieces, and chunks, that a worker keeps, about 30 MB of each; then it starts anew
+CACHE_CHUNKS = 200_000  # encoded pieces, and chunks, that a worker keeps, about 40 MB of each
 
 # ASCII without control characters, and Latin-1 letters: here the tokenizers' patterns need no Unicode tables
 SIMPLE = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-# The patterns of the two vocabularies, on such texts
+# The patterns of the two vocabularies, on such texts; letters, the usual case, are tried first, as no other part begins with one
 GLUED = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+| ?[0-9]+| ?[^\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|\s+(?!\S)|\s+"
+    r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|\s+(?!\S)|\s+"
 )
-LOWER = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+LOWER = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 # One word of Latin letters and ASCII marks after it: the library cuts it at that place and nowhere else
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 # White space next to white space, or at an end: a space may then belong to a run
@@ -56,12 +56,21 @@ def worker_encoder(path: str, glue: bool, plain: bool = False) -> ChunkEncoder:
 
 
 class Pieces(dict):
-    """Ids by piece, each merged when first asked for."""
+    """Ids by piece, each merged when first asked for. Those asked for since the last ``turn`` and those of the turn before are kept."""
 
     def __init__(self, model):
         self.model = model
+        self.before: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
         if piece.isascii() and piece[-1] > " ":
             text = f"{SPACE}{piece[1:]}" if piece[0] == " " else piece
         else:
@@ -110,8 +119,8 @@ class ChunkEncoder:
         if whole:
             ids = iter(self.encode([t for i, t in enumerate(texts) if i not in whole], lead))
             return [np.array(self.tok.encode(lead + t, add_special_tokens=False).ids, np.uint32) if i in whole else next(ids) for i, t in enumerate(texts)]
-        if len(self.pieces) > CACHE_CHUNKS:
-            self.pieces.clear()
+        if len(self.pieces) > CACHE_CHUNKS // 2:
+            self.pieces.turn()
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
         return [np.frombuffer(self._simple(lead + t) if SIMPLE.fullmatch(t) else self._odd(t, lead), np.uint32) for t in texts]

@@ -27,3 +27,14 @@ def test_ids_equal_the_library(name, glue, plain):
     for lead in ("", " ") if glue else ("",):
         for text, ids in zip(texts, encoder.encode(texts, lead), strict=True):
             assert tok.encode(lead + text, add_special_tokens=False).ids == ids.tolist(), text
+
+
+def test_a_small_cache_changes_nothing(monkeypatch):
+    monkeypatch.setattr("counterlift.llm.tokenize.CACHE_CHUNKS", 20)
+    rng = random.Random(4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, encoder = Tokenizer.from_file(path), ChunkEncoder(path, True)
+    for _ in range(200):
+        texts = [" ".join(rng.choices([*PARTS, "alpha", "beta", "gamma"], k=12)) for _ in range(5)]
+        assert [x.tolist() for x in encoder.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.pieces.before) <= 200
