@@ -16,6 +16,7 @@ from counterlift.llm.tokenize import worker_encoder
 
 CAPACITY = 4096
 OPEN_BINS = 128
+ROWS_AT_ONCE = 256
 GROUP_BYTES = 16 << 20  # text per packing group, about 1,400 full sequences: the bound on open bins is reached
 
 
@@ -88,7 +89,8 @@ _PACKED = "doc_id long, piece int, start long, length long, sequence_id long, of
 def _pack(capacity: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, bins = None, BestFit(capacity, most)
-        for batch in batches:
+        # a batch of long pieces is large, and its ids are widened: few rows at a time
+        for batch in (whole.slice(lo, ROWS_AT_ONCE) for whole in batches for lo in range(0, whole.num_rows, ROWS_AT_ONCE)):
             seq, off = [], []
             for g, n in zip(string_column(batch, "grp").to_pylist(), string_column(batch, "length").to_pylist(), strict=True):
                 if g != group:
