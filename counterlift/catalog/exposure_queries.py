@@ -121,7 +121,7 @@ def exposures(r):
 
 
 def controls(r):
-    return X.control_shoppers(exposures(r), X.active_visitors(r.hits, r.id_map))
+    return r.stage("controls", lambda: X.control_shoppers(exposures(r), X.active_visitors(r.hits, r.id_map)))
 
 
 def test_control(r):
@@ -248,7 +248,7 @@ def _(r):
     return exposures(r)
 
 
-@query("control_shoppers", "SELECT * FROM controls")
+@query("control_shoppers", "SELECT * FROM controls", result="controls")
 def _(r):
     return controls(r)
 
