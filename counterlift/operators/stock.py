@@ -14,41 +14,45 @@ from counterlift.operators.campaigns import K
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
-def carry_forward(df: DataFrame, by: Sequence[str], period: Column, order: Sequence[str], value: str) -> DataFrame:
+def carry_forward(df: DataFrame, by: Sequence[str], period: Column, order: Sequence[str], value: str, through: int = W.currentRow) -> DataFrame:
     """``df`` with ``value`` filled from the latest earlier row of the group that has one.
 
-    ``period`` grows with the order and cuts a history into pieces. Each piece is filled by itself, and
-    the last reading before a piece, from one row per piece, fills its head; so no task holds a history.
+    ``period`` grows with the order and cuts a history into pieces. Each piece is filled by itself, after
+    a head row with the last reading before it, taken from one row per piece; so no task holds a history and
+    nothing is joined. ``through`` -1 leaves out the row's own reading. Rows without key or period are dropped.
     """
     by, order = list(by), list(order)
-    cut = df.withColumn("_piece", period)
-    inside = W.partitionBy(*by, "_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    known = F.lit(True)
+    for c in (*by, "_piece"):
+        known = known & F.col(c).isNotNull()
+    cut = df.withColumn("_piece", period).filter(known)
     last = cut.groupBy(*by, "_piece").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
     before = W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    carried = last.select(*by, "_piece", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    filled = cut.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(carried, [*by, "_piece"])
-    return filled.withColumn(value, F.coalesce("_own", "_carried")).drop("_piece", "_own", "_carried")
+    heads = last.select(*by, "_piece", F.last("_last", ignorenulls=True).over(before).alias(value), F.lit(False).alias("_row"))
+    rows = cut.withColumn("_row", F.lit(True)).unionByName(heads.filter(F.col(value).isNotNull()), allowMissingColumns=True)
+    inside = W.partitionBy(*by, "_piece").orderBy("_row", *order).rowsBetween(W.unboundedPreceding, through)
+    return rows.withColumn(value, F.last(value, ignorenulls=True).over(inside)).filter("_row").drop("_piece", "_row")
 
 
 def hourly_stock(stock: DataFrame, skus: DataFrame | None = None, piece_days: int = 28) -> DataFrame:
     """24 rows per (date, site, article) with readings carried forward.
 
-    A day's readings travel as one small map, so that the panel needs neither a
-    cross join nor a join back; hours before the first reading stay NULL. Of several
-    readings in one hour the lowest counts, as a shelf seen empty was empty. Histories are filled in
-    pieces of ``piece_days`` days.
+    A day's readings travel as one small list, and readings are carried from day to day before the days are
+    unrolled to hours, so that the panel needs neither a cross join nor a join back; hours before the first reading
+    stay NULL. Of several readings in one hour the lowest counts, as a shelf seen empty was empty. Histories are
+    filled in pieces of ``piece_days`` days.
     """
     if skus is not None:
         stock = stock.join(skus.select("article").distinct(), "article", "left_semi")
     hours = stock.groupBy("article", "site", "soh_date", F.col("soh_hour").cast("int").alias("hour")).agg(F.min("soh").alias("soh"))
     day = hours.groupBy("article", "site", "soh_date").agg(
-        F.map_from_entries(F.collect_list(F.struct("hour", "soh"))).alias("readings")  # at most 24
-    )
-    panel = day.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn(
-        "stock_level", F.try_element_at("readings", F.col("hour"))
+        F.collect_list(F.when(F.col("soh").isNotNull(), F.struct("hour", "soh"))).alias("readings")  # at most 24
     )
     piece = F.floor(F.unix_date("soh_date") / piece_days)
-    return carry_forward(panel, ["site", "article"], piece, ["soh_date", "hour"], "stock_level").select("soh_date", "hour", "site", "article", "stock_level")
+    days = carry_forward(day.withColumn("_known", F.array_max("readings")["soh"]), ["site", "article"], piece, ["soh_date"], "_known", through=-1)
+    read = F.array_max(F.filter("readings", lambda r: r["hour"] <= F.col("hour")))
+    return days.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).select(
+        "soh_date", "hour", "site", "article", F.coalesce(read["soh"], F.col("_known")).alias("stock_level"))
 
 
 def trading_hours(site_hours: DataFrame, midnight_hour: int = 0) -> DataFrame:
@@ -82,16 +86,29 @@ def trading_hours(site_hours: DataFrame, midnight_hour: int = 0) -> DataFrame:
     return site_hours.filter(complete).select("site", F.explode(F.array(*entries)).alias("e")).select("site", "e.*")
 
 
+def _hour_bit(hour: str, shift: int = 0) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.col(hour) + shift, F.lit(62)).cast("int"))
+
+
 def oos_hours(panel: DataFrame, hours: DataFrame) -> DataFrame:
-    """Trading hours and trading hours without stock per site, article and day."""
-    open_now = (
-        panel.withColumn("weekday", weekday_name("soh_date"))
-        .join(hours, ["site", "weekday"])
-        .filter(F.col("hour").between(F.col("opening_hour"), F.col("closing_hour")))
+    """Trading hours and trading hours without stock per site, article and day.
+
+    The hours of a day become the bits of a number before opening times are joined, one row per day.
+    """
+    days = panel.groupBy("site", "soh_date", "article").agg(
+        F.bit_or(_hour_bit("hour")).alias("_seen"), F.bit_or(F.when(F.col("stock_level") == 0, _hour_bit("hour"))).alias("_empty")
     )
-    return open_now.groupBy("site", "soh_date", "article").agg(
-        F.count_distinct("hour").alias("total_trading_hours"),
-        F.count_distinct(F.when(F.col("stock_level") == 0, F.col("hour"))).alias("n_trading_hours_oos"),
+    span = F.when(F.col("closing_hour") >= F.col("opening_hour"), _hour_bit("closing_hour", 1) - _hour_bit("opening_hour"))
+    trading = hours.groupBy("site", "weekday").agg(F.bit_or(span).alias("_open"))
+    return (
+        days.withColumn("weekday", weekday_name("soh_date"))
+        .join(trading, ["site", "weekday"])
+        .select(
+            "site", "soh_date", "article",
+            F.bit_count(F.col("_seen").bitwiseAND(F.col("_open"))).cast("long").alias("total_trading_hours"),
+            F.bit_count(F.coalesce("_empty", F.lit(0).cast("long")).bitwiseAND(F.col("_open"))).cast("long").alias("n_trading_hours_oos"),
+        )
+        .filter("total_trading_hours > 0")
     )
 
 
@@ -114,7 +131,7 @@ def stockout_rate(cohorts: DataFrame, bookings: DataFrame, oos: DataFrame, days:
     hit = (
         oos.join(spans, "site")
         .filter(F.col("soh_date").between(F.col("campaign_start_date"), F.date_add("campaign_start_date", days - 1)))
-        .join(skus, [K, "line_name", "article"], "left_semi")
+        .join(skus.hint("merge"), [K, "line_name", "article"], "left_semi")  # unpacked lists look small to the optimizer
         .groupBy(K, "line_name", "site")
         .agg(
             F.count_distinct("article").alias("stocktake_skus"),

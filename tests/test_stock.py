@@ -41,3 +41,22 @@ def test_coverage_counts_a_sku_once_per_store(spark):
     got = {(r.campaign_id, r.site): (r.total_store_skus, r.unchecked_skus) for r in K.store_coverage(cohorts, bookings, oos).collect()}
     assert got == {("A", 1): (3, 2), ("A", 2): (2, 2)}
     assert K.coverage_gate(K.store_coverage(cohorts, bookings, oos), 0.7).count() == 1
+
+
+def test_panel_is_not_joined(spark):
+    """A panel joined back to its carried readings went to the driver as a broadcast of all its rows."""
+    rows = [("x", s, datetime.date(2024, 1, 1 + d), 5, 1.0) for s in range(20) for d in range(5)] + [(None, 1, datetime.date(2024, 1, 1), 5, 1.0), ("x", None, datetime.date(2024, 1, 1), 5, 1.0)]
+    panel = K.hourly_stock(spark.createDataFrame(rows, "article string, site long, soh_date date, soh_hour int, soh double"))
+    assert "Join" not in panel._jdf.queryExecution().optimizedPlan().toString()
+    assert panel.count() == 20 * 5 * 24  # rows without a key are dropped
+
+
+def test_trading_hours_are_counted_per_day(spark):
+    monday = datetime.date(2024, 1, 1)
+    panel = spark.createDataFrame([(monday, h, 1, "x", 0.0 if h < 9 else 2.0 if h < 12 else None) for h in range(24)], "soh_date date, hour int, site long, article string, stock_level double")
+    hours = "site long, weekday string, opening_hour int, closing_hour int"
+    got = K.oos_hours(panel, spark.createDataFrame([(1, "Monday", 7, 20), (1, "Monday", 7, 20), (1, "Tuesday", 6, 24), (2, "Monday", 0, 24)], hours)).collect()
+    assert [(r.site, r.total_trading_hours, r.n_trading_hours_oos) for r in got] == [(1, 14, 2)]
+    assert K.oos_hours(panel, spark.createDataFrame([(1, "Monday", 7, 0), (1, "Monday", 9, None)], hours)).collect() == []
+    whole = K.oos_hours(panel, spark.createDataFrame([(1, "Monday", 0, 24)], hours)).collect()
+    assert [(r.total_trading_hours, r.n_trading_hours_oos) for r in whole] == [(24, 9)]
