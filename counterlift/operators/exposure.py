@@ -211,9 +211,10 @@ def conversions(cohorts: DataFrame, txns: DataFrame, sets: DataFrame, level: str
     never multiplied by their SKUs.
     """
     item = "article" if level == "sku" else "brand"
-    members = sets
+    # a booking has many more sets than its exposures name; the others meet no cohort row
+    members = sets.join(cohorts.select("booking_id", "sku_set").distinct(), ["booking_id", "sku_set"], "left_semi")
     if level != "sku":
-        members = sets.join(brands.select("article", "brand"), "article").select("booking_id", "sku_set", "brand").distinct()
+        members = members.join(brands.select("article", "brand"), "article").select("booking_id", "sku_set", "brand").distinct()
     dates = cohorts.select("booking_id", "campaign_start_date", "campaign_end_date").distinct()
     first = dates.select(F.min("campaign_start_date")).scalar()
     last = dates.select(F.max("campaign_end_date")).scalar()
