@@ -139,7 +139,7 @@ def _(r):
     pairs = mq.area_nearest(r)
     sites = pairs.select("campaign_id", F.col("test_store").alias("site")).union(pairs.select("campaign_id", "control_store")).distinct()
     mine = baskets(r).join(sites, ["campaign_id", "site"], "left_semi")
-    z = L.posterior_z(L.store_posterior(mine, 2000), mq.weekly_baseline(r))
+    z = L.posterior_z(L.store_posterior(mine, 2000, packed=True), mq.weekly_baseline(r))
     drawn = z.select("campaign_id", "site").distinct()
     both = pairs.join(drawn.withColumnRenamed("site", "control_store"), ["campaign_id", "control_store"], "left_semi")
     return L.pair_stats(L.pair_samples(z, both, "percentage_change", "difference"))

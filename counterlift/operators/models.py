@@ -26,7 +26,7 @@ PAIR = [K, "test_store", "control_store"]
 # ---- store totals --------------------------------------------------------
 
 
-def hashed_normal(seed: str, *ids: str) -> Column:
+def hashed_normal(seed: str | Column, *ids: str) -> Column:
     """Standard normal value that depends on nothing but the ids and the seed."""
     digest = random_key(seed, *ids)
 
@@ -36,11 +36,23 @@ def hashed_normal(seed: str, *ids: str) -> Column:
     return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(9))
 
 
-def store_posterior(baskets: DataFrame, draws: int | None = None, seed: str = "posterior") -> DataFrame:
+def _drawn(seed: str, side: str = "") -> Column:
+    """Value of one draw of a store, from its moments; ``side`` is the prefix of its columns."""
+    total_mean, total_sd, lower, upper = (F.col(side + c) for c in ("total_mean", "total_sd", "lower", "upper"))
+    return F.greatest(lower, F.least(upper, total_mean + total_sd * hashed_normal(seed, K, f"{side}site", "draw")))
+
+
+def _changes(value: Column, side: str = "") -> dict[str, Column]:
+    z = safe_divide(value - F.col(f"{side}weekly_avg_sales_amount"), f"{side}stddev_sales_amount")
+    return {"z": z, "percentage_change": safe_divide(z * F.col(f"{side}stddev_sales_amount"), f"{side}weekly_avg_sales_amount")}
+
+
+def store_posterior(baskets: DataFrame, draws: int | None = None, seed: str = "posterior", packed: bool = False) -> DataFrame:
     """Posterior of each store's campaign total, from the moments of its baskets.
 
     Mean ``n * mean`` and deviation ``sqrt(n) * std``; draws stay inside
-    ``[n * min, n * max]``, the range of the flat prior.
+    ``[n * min, n * max]``, the range of the flat prior. ``packed`` keeps one row per store with its
+    moments, ``draws`` and ``seed``, from which ``pair_samples`` makes the same draws where they are used.
     """
     moments = baskets.groupBy(K, "site").agg(
         F.count("amount").alias("n"), F.avg("amount").alias("m"), F.stddev_samp("amount").alias("s"),
@@ -53,27 +65,48 @@ def store_posterior(baskets: DataFrame, draws: int | None = None, seed: str = "p
     )
     if draws is None:
         return post
-    value = F.col("total_mean") + F.col("total_sd") * hashed_normal(seed, K, "site", "draw")
+    known = post.filter(F.col("total_sd").isNotNull())
+    if packed:
+        return known.withColumns({"draws": F.lit(draws), "seed": F.lit(seed)})
     return (
-        post.filter(F.col("total_sd").isNotNull())
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("value", F.greatest("lower", F.least("upper", value)))
+        known.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+        .withColumn("value", _drawn(seed))
         .select(K, "site", "draw", "value")
     )
 
 
 def posterior_z(draws: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Draws as z-scores and relative changes against the weekly baseline."""
+    """Draws as z-scores and relative changes against the weekly baseline; packed draws stay packed."""
     facts = baseline.select(K, "site", "weekly_avg_sales_amount", "stddev_sales_amount")
-    z = safe_divide(F.col("value") - F.col("weekly_avg_sales_amount"), "stddev_sales_amount")
-    change = safe_divide(z * F.col("stddev_sales_amount"), "weekly_avg_sales_amount")
-    return draws.join(facts, [K, "site"]).select(
-        K, "site", "draw", z.alias("z"), change.alias("percentage_change")
-    )
+    met = draws.join(facts, [K, "site"])
+    if "draws" in draws.columns:
+        return met
+    return met.select(K, "site", "draw", *[c.alias(n) for n, c in _changes(F.col("value")).items()])
+
+
+def _packed_samples(z: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
+    """PAIR, draw, t and c of packed stores: their moments meet, and each pair is unrolled to draws by itself."""
+    def named(side: str, store: str) -> DataFrame:
+        cols = [F.col(c).alias(side + c) for c in z.columns if c not in (K, "site")]
+        return z.select(K, F.col("site").alias(store), *cols)
+
+    met = pairs.select(*PAIR).join(named("t_", "test_store"), [K, "test_store"]).join(named("c_", "control_store"), [K, "control_store"], "left")
+    unequal = F.col("c_draws").isNull() | (F.col("c_draws") != F.col("t_draws"))
+    checked = F.when(unequal, F.raise_error(F.lit("unequal numbers of draws")).cast("int")).otherwise(F.col("t_draws"))
+    rows = met.repartition(*PAIR).withColumns({"t_site": F.col("test_store"), "c_site": F.col("control_store"), "_draws": checked})
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_draws"))))
+    side = lambda s: _changes(_drawn(F.col(f"{s}seed"), s), s)[value]
+    return drawn.select(*PAIR, "draw", side("t_").alias("t"), side("c_").alias("c"))
 
 
 def pair_samples(z: DataFrame, pairs: DataFrame, value: str = "z", method: str = "control_abs") -> DataFrame:
-    """Draw-aligned difference of both stores of each pair; fails on unequal draws."""
+    """Draw-aligned difference of both stores of each pair; fails on unequal draws.
+
+    Packed stores (``store_posterior``) are drawn after their moments have met, so that no draw is shuffled.
+    """
+    diff = pair_diff("t", "c", method) if method != "difference" else F.col("t") - F.col("c")
+    if "draws" in z.columns:
+        return _packed_samples(z, pairs, value).select(*PAIR, "draw", diff.alias("effect"))
     test = z.select(K, F.col("site").alias("test_store"), "draw", F.col(value).alias("t"))
     control = z.select(K, F.col("site").alias("control_store"), F.col("draw").alias("control_draw"), F.col(value).alias("c"))
     t, c = pairs.select(*PAIR).join(test, [K, "test_store"]).alias("t"), control.alias("c")
@@ -85,7 +118,6 @@ def pair_samples(z: DataFrame, pairs: DataFrame, value: str = "z", method: str =
         "left",
     )
     aligned = F.when(F.col("c.control_draw").isNull(), F.raise_error(F.lit("unequal numbers of draws")).cast("double"))
-    diff = pair_diff("t", "c", method) if method != "difference" else F.col("t") - F.col("c")
     return joined.select(*[F.col(f"t.{p}").alias(p) for p in PAIR], "t.draw", F.coalesce(aligned, diff).alias("effect"))
 
 

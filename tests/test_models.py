@@ -48,6 +48,22 @@ def test_unequal_draws_fail(spark):
         L.pair_samples(z, pairs).collect()
 
 
+def test_packed_draws_equal_drawn_rows(spark):
+    """No draw is shuffled: only the pairs with both stores' moments are."""
+    rng = np.random.default_rng(9)
+    baskets = spark.createDataFrame([(k, s, float(v)) for k in "AB" for s in (1, 2, 3) for v in rng.normal(20 + s, 4, 30)] + [("A", 4, 7.0)], "campaign_id string, site long, amount double")
+    base = spark.createDataFrame([(k, s, 400.0 + s, 9.0) for k in "AB" for s in (1, 2, 3, 4)], "campaign_id string, site long, weekly_avg_sales_amount double, stddev_sales_amount double")
+    pairs = spark.createDataFrame([("A", 1, 2), ("A", 3, 2), ("B", 1, 2), ("A", 4, 2)], "campaign_id string, test_store long, control_store long")
+    for value, method in (("z", "control_abs"), ("percentage_change", "difference")):
+        got = [{(r.campaign_id, r.test_store, r.control_store, r.draw): r.effect for r in L.pair_samples(L.posterior_z(L.store_posterior(baskets, 50, packed=p), base), pairs, value, method).collect()} for p in (False, True)]
+        assert len(got[0]) == 150 and got[0] == pytest.approx(got[1])
+    packed = L.posterior_z(L.store_posterior(baskets, 50, packed=True), base)
+    plan = L.pair_stats(L.pair_samples(packed, pairs, "z"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")].replace("REPARTITION_BY_COL", "")
+    with pytest.raises(Exception, match="unequal numbers of draws"):
+        L.pair_samples(packed, spark.createDataFrame([("A", 1, 4)], pairs.schema), "z").collect()
+
+
 def test_closed_form_pairs_equal_many_draws(spark):
     rng = np.random.default_rng(4)
     rows = [("A", s, float(v)) for s in (1, 2, 3) for v in rng.normal(20 + s, 4, 200)] + [("A", 4, 7.0)]
