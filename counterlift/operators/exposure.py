@@ -233,14 +233,14 @@ def conversions(cohorts: DataFrame, txns: DataFrame, sets: DataFrame, level: str
         "media_type", "crn",
     )
     key = ["booking_id", "sku_set", "crn"]
-    bought = rows.join(tagged, key).withColumns(
+    bought = rows.hint("merge").join(tagged, key).withColumns(  # rows look small to the optimizer
         {"converted_crn": F.col("crn"), "n_unmatched": F.lit(0).cast("long")}
     )
     sizes = members.groupBy("booking_id", "sku_set").agg(F.count(F.lit(1)).alias("size"))
     got = tagged.groupBy(*key).agg(F.count_distinct(item).alias("got"))
     missing = (
         rows.join(sizes, ["booking_id", "sku_set"])
-        .join(got, key, "left")
+        .join(got.hint("merge"), key, "left")
         .withColumn("n_unmatched", F.col("size") - F.coalesce("got", F.lit(0)))
         .filter(F.col("n_unmatched") > 0)
         .drop("size", "got")

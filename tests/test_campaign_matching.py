@@ -102,3 +102,12 @@ def test_matching_on_correlation_equals_a_scan(spark, finish_pairs):
     got = C.match_on_correlation(spark.createDataFrame(rows, SALES), spark.createDataFrame(tests, "campaign_id string, site long"), finish_pairs).collect()
     assert {(r.campaign_id, r.test_store, r.control_store) for r in got} == set(scan(pairs))
     assert all(abs(r.corr - float(series[r.campaign_id, r.test_store] @ series[r.campaign_id, r.control_store])) < 1e-8 for r in got)
+
+
+def test_a_query_meets_the_parts_of_a_cell_in_one_row(spark):
+    """Every query met every part of its cells as a row of its own, and all of them were shuffled."""
+    points = spark.createDataFrame([("A", i, 1.0 + i % 40 / 7, 2.0 + i // 40 / 9) for i in range(1600)], "campaign_id string, id long, m double, s double")
+    found = C.nearest_by_moments(points, points, True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(parts") >= 4 and found.count() == 1600
+    assert {(r.d, r.id, r.n_places) for r in found.join(points, ["campaign_id", "m", "s", "id"]).collect()} == {(0.0, i, 1) for i in range(1600)}

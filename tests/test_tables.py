@@ -91,3 +91,19 @@ def test_date_filter_reaches_the_scan(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "unused" not in plan
     assert "txn_date" in plan.split("PushedFilters")[1].split("]")[0] or "dataFilters" in plan or "DataFilters" in plan
+
+
+def test_conversions_tag_only_sets_that_cohorts_name(spark):
+    """Purchases were tagged with every set of their booking, however few of them the cohorts have."""
+    import datetime
+
+    from counterlift.operators.exposure import conversions
+
+    day, at = datetime.date(2024, 1, 1), datetime.datetime(2024, 1, 2)
+    cohorts = spark.createDataFrame([("B", day, day + datetime.timedelta(6), "s0", "1", day, "Exposed", "s0", "Screen")],
+                                    "booking_id string, campaign_start_date date, campaign_end_date date, sku_set string, crn string, date date, cohort string, ci_id string, media_type string")
+    txns = spark.createDataFrame([("In", at, day, "1", "x", "br", "k", 2.0)], "order_context string, start_txn_time timestamp_ntz, start_txn_date date, shopper_id string, article string, brand string, basket_key string, amount double")
+    sets = spark.createDataFrame([("B", f"s{i}", a) for i in range(50) for a in "xy"], "booking_id string, sku_set string, article string")
+    got = conversions(cohorts, txns, sets)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.exposure_crn, r.article or "", r.n_unmatched) for r in got.collect()) == [("1", "", 1), ("1", "x", 0)]
