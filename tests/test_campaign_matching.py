@@ -111,3 +111,30 @@ def test_a_query_meets_the_parts_of_a_cell_in_one_row(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("transform(parts") >= 4 and found.count() == 1600
     assert {(r.d, r.id, r.n_places) for r in found.join(points, ["campaign_id", "m", "s", "id"]).collect()} == {(0.0, i, 1) for i in range(1600)}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_queries_look_only_into_cells_that_may_hold_a_nearer_point(spark, monkeypatch, seed):
+    """Queries of all campaigns met every cell within reach, in one task where they were few bytes."""
+    monkeypatch.setattr(C, "CELL_POINTS", 6)
+    rows = stores(seed, 70)
+    best = {}
+    for k, t, c, w in all_pairs(rows):
+        best[k, t] = min(best.get((k, t), (np.inf, 0)), (w, c))
+    got = C.nearest_control_of_all(spark.createDataFrame(rows, FEATS)).collect()
+    assert {(r.campaign_id, r.test_store): (r.abs_perc_diff, r.control_store) for r in got} == best
+
+
+def test_blocks_of_series_give_the_nearest_of_all(spark):
+    """A series met every pivot and every series of near cells as a row of its own."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((120, 6))
+    v[60:80] = v[40:60] + 1e-13 * rng.standard_normal((20, 6))  # as near as their originals to nine digits
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    schema = "campaign_id string, id long, v array<double>"
+    tests = spark.createDataFrame([("A", i, v[i].tolist()) for i in range(40)], schema)
+    controls = spark.createDataFrame([("A", i, v[i].tolist()) for i in range(40, 120)], schema)
+    found = C.nearest_by_correlation(tests, controls, True, block=9).collect()
+    got = {tuple(r.v): (r.d, r.id, r.n_places) for r in found}
+    d = np.round(1 - v[:40] @ v[40:].T, 9)
+    assert got == {tuple(v[i].tolist()): (d[i].min(), 40 + int(d[i].argmin()), int((d[i] == d[i].min()).sum())) for i in range(40)}
