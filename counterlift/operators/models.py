@@ -21,6 +21,7 @@ from counterlift.operators.store_sales import K, tag_sales
 from counterlift.session import cut_lineage
 
 PAIR = [K, "test_store", "control_store"]
+STILL = 1e-12  # a centre that moves no further stands still: what is left is the rounding of its sum
 
 
 # ---- store totals --------------------------------------------------------
@@ -402,25 +403,49 @@ def assign_clusters(points: DataFrame, centres: DataFrame) -> DataFrame:
         *points.columns, F.col("n.cluster").alias("cluster"), F.col("n.d").alias("distance"))
 
 
-def moved_centres(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """Centres moved to the mean of their points, with ``shift``, the largest change of a coordinate."""
-    means = assign_clusters(points, centres).groupBy("booking_id", "cluster").agg(
-        F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(len(FEATURES))]).alias("m"))
-    change = F.array_max(F.zip_with("x", "m", lambda a, b: F.abs(a - b)))
-    return centres.join(means, ["booking_id", "cluster"], "left").select(
-        "booking_id", "cluster", F.coalesce("m", "x").alias("x"), F.coalesce(change, F.lit(0.0)).alias("shift"))
+def moved_centres(points: DataFrame, centres: dict[tuple[str, int], list[float]]) -> dict[tuple[str, int], list[float]]:
+    """Centres moved to the mean of their points; one without points is not named. Points of other campaigns are passed over.
+
+    The centres are sent to the tasks, which return the sums of a batch per centre; only those are shuffled.
+    """
+    numbers: dict[str, list[int]] = {}
+    for booking, cluster in sorted((key for key in centres if key[0] is not None), key=lambda key: key[1]):
+        numbers.setdefault(booking, []).append(cluster)
+    known = {b: (np.array(n), np.array([centres[b, c] for c in n], float)) for b, n in numbers.items()}
+
+    def sums(batches):
+        for pdf in batches:
+            for booking, some in pdf.groupby("booking_id", sort=False):
+                if booking not in known:
+                    continue
+                number, at = known[booking]
+                x = np.stack(some["x"].to_list())
+                gaps = np.zeros((len(x), len(at)))
+                for p, q in zip(x.T, at.T, strict=True):
+                    gaps += (p[:, None] - q) * (p[:, None] - q)
+                own = np.where(np.isnan(gaps), np.inf, gaps).argmin(1)  # the lower number wins a tie
+                total = np.stack([np.bincount(own, p, len(at)) for p in x.T], 1)
+                yield pd.DataFrame({"booking_id": booking, "cluster": number, "n": np.bincount(own, minlength=len(at)), "total": total.tolist()})
+
+    part = points.select("booking_id", "x").mapInPandas(sums, "booking_id string, cluster long, n long, total array<double>")
+    total = part.groupBy("booking_id", "cluster").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(len(FEATURES))]).alias("total"))
+    return {(r.booking_id, r.cluster): [t / r.n for t in r.total] for r in total.filter("n > 0").collect()}
 
 
 def shopper_clusters(feats: DataFrame, k: int = 10, seed: str = "clusters", tol: float = 1e-6) -> DataFrame:
     """k-means of standardised features for all campaigns at once, until no centre moves by more than ``tol``.
 
-    Each round is one aggregation; centres stay in a table of ``k`` rows per campaign, and the driver sees one
-    number a round. Campaigns with fewer distinct shoppers get fewer clusters.
+    Each round is one job. The ``k`` centres of a campaign go through the driver; a campaign whose centres stand still
+    takes no part in later rounds. Campaigns with fewer distinct shoppers get fewer clusters.
     """
     points = cut_lineage(standardised(feats))
-    centres = cut_lineage(first_centres(points, k, seed))
+    first = first_centres(points, k, seed)
+    centres = {(r.booking_id, r.cluster): r.x for r in first.collect()}
+    moving = {booking for booking, _ in centres}
     while True:
-        moved = cut_lineage(moved_centres(points, centres))
-        centres = moved.drop("shift")
-        if (moved.agg(F.max("shift")).first()[0] or 0.0) <= tol:
-            return assign_clusters(points, centres).drop("x")
+        moved = moved_centres(points, {key: x for key, x in centres.items() if key[0] in moving})
+        shifts = {key: max(abs(a - b) for a, b in zip(x, centres[key], strict=True)) for key, x in moved.items()}
+        centres |= moved
+        if max(shifts.values(), default=0.0) <= tol:
+            return assign_clusters(points, feats.sparkSession.createDataFrame([(*key, x) for key, x in centres.items()], first.schema)).drop("x")
+        moving = {booking for (booking, _), shift in shifts.items() if shift > STILL}

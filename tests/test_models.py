@@ -193,3 +193,16 @@ def test_clusters_are_nearest_centres(spark):
         d = ((x[:, None, :] - centres[None]) ** 2).sum(2)
         best = np.array(names)[d.argmin(1)]
         assert (best == labels).all()
+
+
+def test_a_round_of_clusters_returns_sums_of_batches(spark):
+    """A round went through every centre of every point in nested lambdas, wrote its centres and read them back."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((90, 8))
+    points = spark.createDataFrame([("A" if i < 60 else "B", x[i].tolist()) for i in range(90)], "booking_id string, x array<double>").repartition(3)
+    far = [50.0] * 8
+    got = L.moved_centres(points, {("A", 1): x[0].tolist(), ("A", 2): x[1].tolist(), ("A", 3): x[1].tolist(), ("A", 4): far})
+    own = ((x[:60, None] - x[None, :2]) ** 2).sum(2).argmin(1)
+    assert set(got) == {("A", 1), ("A", 2)}  # the lower number wins a tie, a centre without points stays, other campaigns are passed over
+    for c in (0, 1):
+        assert np.allclose(got["A", c + 1], x[:60][own == c].mean(0), rtol=0, atol=1e-12)
