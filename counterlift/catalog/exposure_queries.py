@@ -137,6 +137,11 @@ def brands(r):
     return X.brand_map(r.products)
 
 
+def purchases(r):
+    """What the customers of both cohorts bought; most buyers are in none."""
+    return r.stage("purchases", lambda: X.purchases_of(everyone(r), r.transactions))
+
+
 def sku_conv(r):
     return r.stage("sku_conv", lambda: X.conversions(test_control(r), r.transactions, sets(r)))
 
@@ -146,11 +151,11 @@ def brand_conv(r):
 
 
 def sku_lines(r):
-    return r.stage("sku_lines", lambda: X.conversion_lines(exposures(r), controls(r), r.transactions, sets(r)))
+    return r.stage("sku_lines", lambda: X.conversion_lines(exposures(r), controls(r), purchases(r), sets(r)))
 
 
 def brand_lines(r):
-    return r.stage("brand_lines", lambda: X.conversion_lines(exposures(r), controls(r), r.transactions, sets(r), "brand", brands(r)))
+    return r.stage("brand_lines", lambda: X.conversion_lines(exposures(r), controls(r), purchases(r), sets(r), "brand", brands(r)))
 
 
 _AGG = "sales_online sales_instore"
@@ -508,7 +513,7 @@ WHERE c.exposed_baskets_brand > 5 AND c.control_baskets_brand > 5"""
 
 
 def freq(r, level):
-    return P.purchase_frequency(everyone(r), r.transactions, sets(r), level, brands(r))
+    return P.purchase_frequency(everyone(r), purchases(r), sets(r), level, brands(r))
 
 
 def summaries(r):

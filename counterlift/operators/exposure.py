@@ -158,11 +158,14 @@ def open_media(impressions: DataFrame, taxonomy: DataFrame, flag: str, media: st
 
 
 def distinct_exposures(exposures: DataFrame) -> DataFrame:
-    """Day, booking, asset, medium and identity of every exposed customer once."""
+    """Day, booking, asset, medium and identity of every exposed customer once.
+
+    A customer's rows lie together, so later steps by customer shrink them before they are shuffled.
+    """
     return exposures.filter(F.col("crn").isNotNull()).select(
         F.col("date_time").cast("date").alias("date"), "booking_id", "campaign_start_date", "campaign_end_date",
         "ci_id", "media_type", "shopper_id", "crn", "sku_set",
-    ).distinct()
+    ).repartition("crn").distinct()
 
 
 def control_shoppers(exposures: DataFrame, active: DataFrame) -> DataFrame:
@@ -201,6 +204,11 @@ def cohort_people(exposures: DataFrame, controls: DataFrame) -> DataFrame:
     return exposed.unionByName(controls.select(*cols, F.lit("Not Exposed").alias("cohort"))).distinct()
 
 
+def purchases_of(people: DataFrame, txns: DataFrame) -> DataFrame:
+    """Transactions of the customers of any cohort; the semi join reaches the orders before their lines."""
+    return txns.join(people.select(F.col("crn").alias("shopper_id")).distinct(), "shopper_id", "left_semi")
+
+
 def conversions(cohorts: DataFrame, txns: DataFrame, sets: DataFrame, level: str = "sku", brands: DataFrame | None = None) -> DataFrame:
     """Purchases of each cohort row inside the campaign dates, by SKU or by brand.
 
