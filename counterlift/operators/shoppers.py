@@ -152,110 +152,270 @@ _MATCH_SCHEMA = (
 )
 
 
+class _RankedFeature:
+    """One feature of the candidates: its distinct values in order and the candidates of each, by id."""
+
+    def __init__(self, values: np.ndarray):
+        self.n = len(values)
+        self.u, group = np.unique(values, return_inverse=True)
+        self.group = group.reshape(-1)
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(self.group, minlength=len(self.u)))))
+        order = np.argsort(self.group, kind="stable")
+        self.keys = self.group[order] * self.n + order  # ascending: by value, then id
+        place = np.empty(self.n, np.int64)
+        place[order] = np.arange(self.n)
+        self.in_group = place - self.start[self.group]
+        self.middle = (self.start[self.group] + self.start[self.group + 1]) / 2
+        self.edged = np.concatenate(([-np.inf], self.u, [np.inf]))
+
+    def before(self, group: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Candidates of a group with a lower id."""
+        return np.searchsorted(self.keys, group * self.n + row) - self.start[group]
+
+    def _away(self, group: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.abs(self.edged[group + 1] - x)
+
+    def nearer(self, group: np.ndarray, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """How many candidates differ less from ``x`` than the group does; the difference, the first nearer group beyond
+        ``x`` and the group nearest to ``x`` with the same difference (different values may round to one)."""
+        above = group >= at
+        d = self._away(group, x)
+        q = np.where(above, x - d, x + d)
+        q[np.isnan(d)] = -np.inf
+        k = np.searchsorted(self.u, q)
+        k = np.where(above, np.minimum(k, at), np.maximum(k, at))
+        while True:  # the sought difference was rounded
+            here, last = self._away(k, x), self._away(k - 1, x)
+            up = np.where(above, (k < at) & (here >= d), here < d)
+            down = np.where(above, last < d, (k > at) & (last >= d)) & ~up
+            if not (up.any() or down.any()):
+                break
+            k = k + up - down
+        near, toward = group, np.where(above, -1, 1)
+        while True:
+            alike = (self._away(near + toward, x) == d) & np.where(above, near > at, near + 1 < at)
+            if not alike.any():
+                break
+            near = near + toward * alike
+        less = np.where(above, self.start[near] - self.start[k], self.start[k] - self.start[near + 1])
+        return less, d, k, near
+
+    def rank(self, row: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks of candidates by difference to ``x``, then id."""
+        group = self.group[row]
+        less, d, k, near = self.nearer(group, x, at)
+        rank = less + self.in_group[row] + 1
+        above = group >= at
+        for first, step, own in ((np.where(above, k - 1, k), np.where(above, -1, 1), False), (near, np.where(above, 1, -1), True)):
+            which, h = np.arange(len(row)), first
+            while len(which):
+                which = which[self._away(h, x[which]) == d[which]]
+                if own:  # not past the point
+                    which = which[(first[which] >= at[which]) == (group[which] >= at[which])]
+                h = first[which]
+                if not len(which):
+                    break
+                other = h != group[which]
+                rank[which[other]] += self.before(h[other], row[which[other]])
+                first = first.copy()
+                first[which] += step[which]
+                h = first[which]
+        return np.where(np.isnan(x), row + 1, rank)
+
+
 class RankedCandidates:
-    """The candidates of one cluster as a sorted list per feature, about 160 bytes each.
+    """The candidates of one cluster as a sorted list per feature and a tree of cells over the lists' positions.
 
-    ``best`` finds the one whose ranks by the absolute difference to a point, summed over the
-    features, are lowest, without ranking all: the nearest of every list are ranked first, and the
-    search ends when those not yet seen in any list must have a larger sum.
+    The best candidate of a point is the one whose ranks by the absolute difference to the point, summed over the
+    features, are lowest. No member of a cell has a lower rank than the cell's closest value and lowest id would have,
+    so only cells are opened whose sum may still be the lowest: few, whatever the number of candidates.
+    About 500 bytes a candidate; many points are searched at once.
     """
 
+    LEAF, FAN = 32, 8
+
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         """``ids`` ascending; ``values`` candidates x features."""
         self.ids, self.values = ids, values
-        self.order = [np.argsort(v, kind="stable") for v in values.T]
-        self.sorted = [v[o] for v, o in zip(values.T, self.order, strict=True)]
-
-    def _ranks(self, j: int, rows: np.ndarray, at: int, below: np.ndarray, above: np.ndarray, x: float) -> np.ndarray:
-        """Ranks of some candidates in list ``j`` by difference, then id: bisection on either side of the point."""
-        d = np.abs(self.values[rows, j] - x)
-        lo_a, hi_a = np.searchsorted(above, d, "left"), np.searchsorted(above, d, "right")
-        lo_b, hi_b = np.searchsorted(below, d, "left"), np.searchsorted(below, d, "right")
-        rank = lo_a + lo_b + 1
-        tied = np.flatnonzero(hi_a - lo_a + hi_b - lo_b > 1)
-        if len(tied):
-            order = self.order[j]
-            _, one, group = np.unique(d[tied], return_index=True, return_inverse=True)
-            for k, first in enumerate(tied[one].tolist()):
-                same = np.concatenate((order[at + lo_a[first] : at + hi_a[first]], order[at - hi_b[first] : at - lo_b[first]]))
-                mine = tied[group == k]
-                rank[mine] += np.searchsorted(np.sort(same), rows[mine])
-        return rank
+        every = [_RankedFeature(v) for v in values.T] if len(ids) else []
+        # where all have one value, the rank is the place of the id
+        self.varied = [(j, f) for j, f in enumerate(every) if len(f.u) > 1]
+        self.equal = len(every) - len(self.varied)
+        if len(ids):
+            self._build()
+
+    def _build(self) -> None:
+        n = len(self.ids)
+        depth = max(0, int(np.ceil(np.log2(n / self.LEAF))))
+        leaf = -(-n // (1 << depth))
+        # the last candidate fills the last cells up
+        rows = np.minimum(np.arange(leaf << depth), n - 1)
+        points = np.stack([*[f.middle for _, f in self.varied], np.arange(n, dtype=float)])
+        for level in range(depth):
+            rows = rows.reshape(1 << level, -1)
+            spread = np.stack([np.ptp(p[rows], axis=1) for p in points])
+            spread[-1] *= self.equal + (spread[:-1] == 0).sum(axis=0)  # ids decide where values are equal
+            keys = points[spread.argmax(axis=0)[:, None], rows]
+            half = rows.shape[1] // 2
+            rows = np.take_along_axis(rows, np.argpartition(keys, half, axis=1), axis=1)
+        self.leaves = rows.reshape(1 << depth, leaf)
+        self.levels = []  # from the leaves up, FAN cells to one
+        first = self.leaves.min(axis=1)
+        edges = [(f.group[self.leaves].min(axis=1), f.group[self.leaves].max(axis=1)) for _, f in self.varied]
+        while True:
+            cells = [(lo, hi, f.before(lo, first), f.before(hi, first)) for (_, f), (lo, hi) in zip(self.varied, edges, strict=True)]
+            self.levels.insert(0, (first, cells))
+            if len(first) == 1:
+                return
+            fan = min(self.FAN, len(first))
+            first = first.reshape(-1, fan).min(axis=1)
+            edges = [(lo.reshape(-1, fan).min(axis=1), hi.reshape(-1, fan).max(axis=1)) for lo, hi in edges]
+
+    def _bounds(self, level: int, which: np.ndarray, cell: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(point, cell, lowest possible sum) of the cells whose members may have a sum up to ``most``."""
+        first, cells = self.levels[level]
+        low = first[cell]
+        total = (low + 1) * self.equal - self.lost[which] * (self.equal + len(self.varied))
+        for i, ((j, f), (lo, hi, at_lo, at_hi)) in enumerate(zip(self.varied, cells, strict=True)):
+            x, at = self.points[which, j], self.at[j][which]
+            lo, hi = lo[cell], hi[cell]
+            right, left = lo >= at, hi < at
+            inside = np.where(f._away(at - 1, x) <= f._away(at, x), at - 1, at)
+            group = np.where(right, lo, np.where(left, hi, inside))
+            bound = f.nearer(group, x, at)[0] + np.where(right, at_lo[cell], np.where(left, at_hi[cell], 0)) + 1
+            total = total + np.where(np.isnan(x), 1, bound)
+            keep = total + len(self.varied) - 1 - i <= most[which] + self.lost[which] * len(self.varied)
+            if not keep.all():
+                which, cell, total = which[keep], cell[keep], total[keep]
+        keep = total <= most[which]
+        return which[keep], cell[keep], total[keep]
+
+    def _measure(self, which: np.ndarray, cell: np.ndarray) -> None:
+        """Sums of all members of some leaves; keeps each point's lowest."""
+        step = max(1, 200_000 // self.leaves.shape[1])
+        for a in range(0, len(cell), step):
+            w = np.repeat(which[a : a + step], self.leaves.shape[1])
+            row = self.leaves[cell[a : a + step]].reshape(-1)
+            other = (row < self.own[w, 0]) | (row >= self.own[w, 1])
+            w, row = w[other], row[other]
+            total = (row + 1) * self.equal
+            for o in range(int(self.lost.max())):
+                mine = self.own[w, 0] + o
+                total -= ((mine < self.own[w, 1]) & (mine < row)) * self.equal
+            for i, (j, f) in enumerate(self.varied):
+                x, at = self.points[w, j], self.at[j][w]
+                total = total + f.rank(row, x, at)
+                for o in range(int(self.lost.max())):  # a shopper of both cohorts has no rank before its candidates
+                    there = np.flatnonzero(self.own[w, 0] + o < self.own[w, 1])
+                    mine = self.own[w[there], 0] + o
+                    d, own = np.abs(f.u[f.group[row[there]]] - x[there]), np.abs(f.u[f.group[mine]] - x[there])
+                    total[there] -= (own < d) | ((own == d) & (mine < row[there]))
+                keep = total + len(self.varied) - 1 - i <= self.least[w]
+                if not keep.all():
+                    w, row, total = w[keep], row[keep], total[keep]
+            order = np.lexsort((row, total, w))
+            w, row, total = w[order], row[order], total[order]
+            one = np.flatnonzero(np.diff(w, prepend=-1))
+            w, row, total = w[one], row[one], total[one]
+            better = (total < self.least[w]) | ((total == self.least[w]) & (row < self.found[w]))
+            self.least[w[better]], self.found[w[better]] = total[better], row[better]
+
+    def best_of(self, points: np.ndarray, own: np.ndarray | None = None, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Candidate and sum of ranks for each point; of equal sums the lower id, -1 without any.
+
+        ``own`` (points x 2) are the first candidate, and the one behind the last, that are no candidates of a point.
+        """
+        n = len(self.ids)
+        found, least = np.full(len(points), -1), np.full(len(points), np.iinfo(np.int64).max // 2)
+        if own is None:
+            own = np.zeros((len(points), 2), np.int64)
+        for a in range(0, len(points) if n else 0, step):
+            self._search(points[a : a + step], own[a : a + step])
+            found[a : a + step], least[a : a + step] = np.where(self.found < n, self.found, -1), self.least
+        return found, least
+
+    def _search(self, points: np.ndarray, own: np.ndarray) -> None:
+        m, bottom = len(points), len(self.levels) - 1
+        self.points, self.own, self.lost = points, own, own[:, 1] - own[:, 0]
+        self.at = {j: np.searchsorted(f.u, points[:, j]) for j, f in self.varied}
+        self.least, self.found = np.full(m, np.iinfo(np.int64).max // 2), np.full(m, len(self.ids))
+        # one way down, through the cell with the lowest bound each time
+        which, cell = np.arange(m), np.zeros(m, np.int64)
+        for level in range(1, bottom + 1):
+            w, c, bound = self._bounds(level, *self._opened(level, which, cell), self.least)
+            order = np.lexsort((bound, w))
+            one = order[np.flatnonzero(np.diff(w[order], prepend=-1))]
+            which, cell = w[one], c[one]
+        self._measure(which, cell)
+        which, cell, bound = np.arange(m), np.zeros(m, np.int64), None
+        for level in range(1, bottom + 1):
+            which, cell, bound = self._bounds(level, *self._opened(level, which, cell), self.least)
+        if bound is None:
+            return
+        # the leaves with the lowest bounds first, which leaves fewer to the later ones
+        order = np.lexsort((bound, which))
+        which, cell, bound = which[order], cell[order], bound[order]
+        turn = np.arange(len(which)) - np.searchsorted(which, which)
+        a = 0
+        while a <= turn.max(initial=-1):
+            b = 2 * a + 2
+            now = (turn >= a) & (turn < b) & (bound <= self.least[which])
+            self._measure(which[now], cell[now])
+            a = b
+
+    def _opened(self, level: int, which: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fan = len(self.levels[level][0]) // len(self.levels[level - 1][0])
+        return np.repeat(which, fan), (cell[:, None] * fan + np.arange(fan)).reshape(-1)
 
     def best(self, point: np.ndarray) -> tuple[int, int]:
-        """(candidate, sum of ranks); of equal sums the lower id."""
-        n, lists = len(self.ids), []
-        for v, x in zip(self.sorted, point.tolist(), strict=True):
-            at = int(np.searchsorted(v, x, "left"))
-            lists.append((at, x - v[:at][::-1], v[at:] - x))
-        seen = np.zeros(n, bool)
-        least, found, depth = np.iinfo(np.int64).max, -1, 32
-        while True:
-            bound, near = 0, []
-            for (at, below, above), order in zip(lists, self.order, strict=True):
-                a, b = min(depth, len(below)), min(depth, len(above))
-                edge = min(below[a] if a < len(below) else np.inf, above[b] if b < len(above) else np.inf)
-                near.append(order[at - a : at + b])
-                # whoever is outside has at least the difference ``edge``
-                bound += 1 + int(np.searchsorted(below, edge, "left") + np.searchsorted(above, edge, "left")) if edge < np.inf else n + 1
-            rows = np.unique(np.concatenate(near))
-            rows = rows[~seen[rows]]
-            seen[rows] = True
-            total = np.zeros(len(rows), np.int64)
-            for j, (at, below, above) in enumerate(lists):
-                total += self._ranks(j, rows, at, below, above, float(point[j]))
-                keep = total + len(lists) - 1 - j <= least
-                rows, total = rows[keep], total[keep]
-            if len(rows):
-                k = int(np.lexsort((rows, total))[0])
-                if (total[k], rows[k]) < (least, found if found >= 0 else n):
-                    least, found = int(total[k]), int(rows[k])
-            if bound > least or depth >= n:
-                return found, least
-            depth *= 4
+        """(candidate, sum of ranks) of one point."""
+        found, least = self.best_of(np.asarray(point, dtype=float)[None, :])
+        return int(found[0]), int(least[0])
 
 
 def _rank_match(places: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     """Candidate with the lowest sum of the eight difference ranks, for every place of a chunk."""
     candidates = candidates.sort_values("crn", kind="stable")
     ids, values = candidates["crn"].to_numpy(dtype=object), candidates[FEATURES].to_numpy(dtype=float)
-    every = RankedCandidates(ids, values)
-    points, own = places[FEATURES].to_numpy(dtype=float), places["own"].to_numpy(dtype=object)
-    kept, chosen, sums, diffs = [], [], [], []
-    for i, point in enumerate(points):
-        pool = every
-        if own[i] is not None:  # a shopper of both cohorts is no candidate for itself
-            others = ids != own[i]
-            pool = RankedCandidates(ids[others], values[others])
-        if not len(pool.ids):
-            continue
-        best, total = pool.best(point)
-        kept.append(i)
-        chosen.append(pool.ids[best])
-        sums.append(total)
-        diffs.append(np.abs(pool.values[best] - point))
-    picked = places.iloc[kept]
-    table = np.array(diffs, dtype=float).reshape(len(kept), len(FEATURES))
+    pool = RankedCandidates(ids, values)
+    points = places[FEATURES].to_numpy(dtype=float)
+    # a shopper of both cohorts is no candidate for itself
+    own, both = np.zeros((len(places), 2), np.int64), places["own"].notna().to_numpy()
+    if both.any():
+        mine = places["own"].to_numpy(dtype=object)[both]
+        own[both] = np.stack([np.searchsorted(ids, mine, "left"), np.searchsorted(ids, mine, "right")], axis=1)
+    found, least = pool.best_of(points, own)
+    kept = np.flatnonzero(found >= 0)
+    picked, chosen = places.iloc[kept], found[kept]
+    table = np.abs(values[chosen] - points[kept])
     return pd.DataFrame(
         {
             "booking_id": pd.Series(picked["booking_id"].to_numpy(dtype=object), dtype=object),
             "cluster": picked["cluster"].to_numpy(dtype=np.int64),
             "place": pd.Series(picked["place"].to_numpy(dtype=object), dtype=object),
-            "candidate": pd.Series(chosen, dtype=object),
-            "sum_of_diff_ranks": np.array(sums, dtype=np.int64),
+            "candidate": pd.Series(ids[chosen], dtype=object),
+            "sum_of_diff_ranks": least[kept],
             **{f"{f}_diff": table[:, j] for j, f in enumerate(FEATURES)},
         }
     )
 
 
+def place_chunks(places: DataFrame, candidates: DataFrame, chunk_rows: int) -> DataFrame:
+    """Into how many chunks the places of each cluster are dealt; clusters without candidates have none."""
+    cluster = ["booking_id", "cluster"]
+    asked = places.groupBy(*cluster).agg(F.count(F.lit(1)).alias("asked"))
+    sizes = candidates.groupBy(*cluster).agg(F.greatest(F.lit(float(chunk_rows)), F.count(F.lit(1)) / 4).alias("size"))
+    return asked.join(sizes, cluster).select(*cluster, F.ceil(F.col("asked") / F.col("size")).cast("int").alias("chunks"))
+
+
 def rank_match(people: DataFrame, feats: DataFrame, chunk_rows: int = 2000) -> DataFrame:
     """Best not exposed shopper of each exposed one inside its cluster, over all shoppers.
 
     Each of the eight absolute differences is ranked among the candidates (ties by
     id) and the ranks are summed; of equal sums the lower id is chosen.  Exposed shoppers with equal
     features stand at one place, which is searched once.  The places of a cluster are dealt to chunks of about
-    ``chunk_rows``; each chunk meets the cluster's candidates as sorted lists of about 160 bytes
-    a candidate, whatever their number.
+    ``chunk_rows``, or a quarter of the cluster's candidates where that is more: each chunk meets all of them,
+    which so repeats them no more than four times as often as there are places.
     """
     rows = cut_lineage(people.join(feats, KEY).select("booking_id", F.col("cluster").cast("long"), "crn", "cohort", *FEATURES))
     cluster = ["booking_id", "cluster"]
@@ -265,7 +425,7 @@ def rank_match(people: DataFrame, feats: DataFrame, chunk_rows: int = 2000) -> D
     exposed = rows.filter(F.col("cohort") == "Exposed").drop("cohort").join(both, [*cluster, "crn"], "left").withColumn("place", place)
     places = exposed.groupBy(*cluster, "place").agg(F.min("own").alias("own"), *[F.min(f).alias(f) for f in FEATURES])
     places = cut_lineage(places)
-    chunks = places.groupBy(*cluster).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
+    chunks = place_chunks(places, candidates, chunk_rows)
     asked = places.join(chunks, cluster).withColumn("chunk", F.pmod(F.xxhash64("place"), F.col("chunks").cast("long")).cast("int")).drop("chunks")
     met = candidates.join(chunks, cluster).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     # fresh column ids: both sides come from one stage table
