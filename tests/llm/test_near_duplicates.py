@@ -2,12 +2,16 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
+from counterlift.llm import jaccard_join
 from counterlift.llm.cap_filters import near_duplicate_vectors
 from counterlift.llm.decontamination import benchmark_passages
 from counterlift.llm.jaccard_join import jaccard_components
+from counterlift.llm.textarrays import pack, unpack
 
 SPACE = "\t\n\x0b\x0c\r "
 
@@ -185,3 +189,69 @@ def test_decontamination_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     assert benchmark_passages(docs.limit(0), bench).collect() == []
     assert [(r.doc_id, r.item_id, r.similarity) for r in benchmark_passages(docs, bench).collect()] == [(1, 1, 1.0)]
+
+
+def _random_texts(n, words, seed):
+    rng = random.Random(seed)
+    return pa.record_batch({"doc_id": pa.array(range(n), pa.int64()), "text": [" ".join(f"w{rng.randrange(500)}" for _ in range(words)) for _ in range(n)]})
+
+
+def test_jaccard_tables_on_disk_are_small():
+    """A task's counts and prefix entries, which are written and shuffled, as parts of the texts' bytes."""
+    batch = _random_texts(2000, 300, 8)
+    text = sum(len(t) for t in batch.column("text").to_pylist())
+    digest = pa.Table.from_batches(jaccard_join._digest(5)(iter([batch])))
+    counts = pa.Table.from_batches([digest.filter(digest["chunk"].is_valid()).combine_chunks().to_batches()[0]])
+    assert sum(len(c) for c in counts["counts"].to_pylist()) < text  # 16 MB before
+    total = np.zeros(1 << jaccard_join.COUNT_BITS, np.uint32)
+    for c, raw in zip(counts["chunk"].to_pylist(), counts["counts"].to_pylist(), strict=True):
+        total[c << jaccard_join.CHUNK_BITS : (c + 1) << jaccard_join.CHUNK_BITS] = unpack(raw, 1 << jaccard_join.CHUNK_BITS, [4])[0]
+    assert total.sum() == sum(len(shingles(t)) for t in batch.column("text").to_pylist())
+    often = SimpleNamespace(value=np.full_like(total, 2))
+    entries = pa.Table.from_batches(jaccard_join._prefixes(5, 75, often)(iter([batch])))
+    n = sum(entries["size"].to_pylist())
+    assert n == sum(int(jaccard_join.prefix_length(np.int64(len(shingles(t))), 75)) for t in batch.column("text").to_pylist())
+    assert sum(len(e) for e in entries["entries"].to_pylist()) < 16 * n  # 20 bytes an entry before, 32 as a row
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 700):
+        a, b = rng.integers(0, 1 << 40, n).astype(np.uint64), rng.integers(0, 1 << 32, n).astype(np.uint32)
+        got = unpack(pack([(a, 5), (b, 4)]), n, [5, 4])
+        assert (got[0] == a).all() and (got[1] == b).all()
+
+
+def test_entries_that_meet_equal_brute_force(monkeypatch):
+    """Packed entries of several tasks: those with a partner they may link with come out, once for a set."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 8)
+    rng = random.Random(6)
+    low = (1 << jaccard_join.SHORT_BITS) - 1
+    grams = [rng.getrandbits(jaccard_join.SHORT_BITS) for _ in range(40)]
+    hot = grams[0]
+    size = {k: rng.choice([20, 22, 30, 60]) for k in (rng.getrandbits(40) for _ in range(60))}
+    rows = [(g, k, rng.randrange(size[k] // 4), size[k]) for g in grams for k in rng.sample(list(size), rng.choice([1, 2, 5]))]
+    rows = [r for r in rows if r[0] != hot] + [(hot, k, 0, n) for k, n in size.items()]
+    tasks = [rows[0::2], rows[1::2], rows[:20]]  # some twice
+    batches = [jaccard_join._packed([tuple(np.array(c, t) for c, t in zip(zip(*x, strict=True), ("u8", "u8", "u4", "u4"), strict=True))]) for x in tasks]
+    table = pa.Table.from_batches(batches).sort_by("slot")
+    got = [r for b in jaccard_join._meetings(75)(iter(table.combine_chunks().to_batches())) for r in b.to_pylist()]
+
+    def may(x, y):
+        need = jaccard_join.least_overlap(x[3] + y[3], 75)
+        return 100 * min(x[3], y[3]) >= 75 * max(x[3], y[3]) and 1 + min(x[3] - x[2] - 1, y[3] - y[2] - 1) >= need
+
+    want = {(r[0] & low, r[1], r[2]) for r in rows if r[0] == hot or any(x[0] == r[0] and x[1] != r[1] and may(x, r) for x in rows)}
+    assert sorted((r["gram"], r["short"], r["pos"]) for r in got) == sorted(want)
+    assert {r["n_blocks"] for r in got if r["gram"] == hot} == {8} and {r["n_blocks"] for r in got if r["gram"] != hot} == {1}
+
+
+def test_jaccard_blocks_of_verification_meet(spark, monkeypatch):
+    """With many small blocks no link is lost and none is made up."""
+    monkeypatch.setattr(jaccard_join, "VERIFIED_ROWS", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 16)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(base[: i % 90] + [f"x{i}"] + base[i % 90 + 1 :]), "", 0) for i in range(150)]
+    rows += [(1000 + i, " ".join(f"c{i}-{k}" for k in range(60)), "", 0) for i in range(50)]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _, _, _ in rows}
