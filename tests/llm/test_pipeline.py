@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from counterlift.llm import graph
 from counterlift.llm.pii import base_spans
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +71,29 @@ def test_near_duplicates_equal_brute_force(spark):
             assert rows[left[0]][0] == min(own)
 
 
+@pytest.mark.parametrize("ids", ["i", "nullif(i, 3)"])
+def test_near_duplicates_leave_texts_in_place(spark, ids):
+    """Texts are not dealt anew by id, neither where ids are unique nor where one is null."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    docs = spark.range(40).selectExpr("id AS i", "concat_ws(' ', transform(sequence(1, 30), k -> concat('w', k, '-', id div 2))) AS text")
+    docs = docs.selectExpr(f"{ids} AS doc_id", "text", "'en' AS lang", "'s' AS source", "i AS n_chars")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = pipeline.drop_near_duplicates(spark, docs, SF)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("LeftAnti") and "SortMergeJoin" not in plan
+        assert sorted(r.n_chars for r in kept.collect()) == list(range(0, 40, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_join_small_beyond_its_limit(spark):
+    big, small = spark.range(9).withColumnRenamed("id", "k"), spark.range(3).withColumnRenamed("id", "k")
+    for limit in (0, 5):
+        assert sorted(r.k for r in graph.join_small(big, small, "k", "left_anti", limit).collect()) == list(range(3, 9))
+        assert graph.join_small(big, small, "k", limit=limit).count() == 3
+
+
 def test_decontamination_judges_rows_not_ids(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     rows = [(1, item), (1, "a clean row of the same id"), (None, f"before {item} after"), (None, "clean without id"), (2, None), (3, "")]
